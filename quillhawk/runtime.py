@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 2_000_000
 
 _staged: list[str] = []
+_shipped: set[str] = set()
 
 
 def local_session(cpus: str = "8", memory: str = "8g") -> SparkSession:
@@ -41,6 +45,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application, so that Python stages can import it anywhere."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    if root.is_dir() and Path(__file__).is_file():
+        path = Path(tempfile.mkdtemp(prefix="quillhawk-code-")) / f"{root.name}.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        spark.sparkContext.addPyFile(str(path))
+    _shipped.add(app)
+
+
+def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` with the package sent along."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/quillhawk/{name}-{uuid.uuid4().hex[:12]}"
@@ -73,9 +98,8 @@ def first_wins(df: DataFrame, key: str, order: str, columns: list[str]) -> DataF
     pairs = df.select(F.col(key).alias(k), F.col(order).alias(o)).where(f"{k} is not null and {o} is not null")
     firsts = (
         pairs.groupBy(k, o).agg(F.count(F.lit(1)).alias("m"))
-        .groupBy(k).agg(F.min(F.struct(o, "m")).alias("f"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1 or f.m > 1")
-        .select(k, F.col(f"f.{o}").alias("__qh_first"), F.col("f.m").alias("__qh_m"))
+        .groupBy(k).agg(F.min(o).alias("__qh_first"), F.max("m").alias("__qh_m"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1 or __qh_m > 1").drop("n")
     )
     firsts = stage(firsts, "firsts")
     sizes = firsts.agg(F.count(F.lit(1)), F.coalesce(F.max("__qh_m"), F.lit(1))).first()
