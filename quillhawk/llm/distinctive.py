@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quillhawk.llm.frequencies import ngram_frequencies
 from quillhawk.llm.textarrays import blocks, text_batches, tokens
+from quillhawk.runtime import map_arrow
 
 #: Statistics of up to so many terms are sent to every executor (24 bytes each); more are joined by a shuffle.
 BROADCAST_TERMS = 1_000_000
@@ -173,10 +174,10 @@ def term_scores(df: DataFrame, id_col: str, text_col: str, broadcast_terms: int
         order = np.argsort(h)
         arrays = (h[order], *(stats.column(c).to_numpy()[order] for c in ("occurrences", "records")))
         shared = spark.sparkContext.broadcast(arrays)
-        return source.mapInArrow(partial(_scored, shared=shared, total=total, kind=kind), f"id {id_type}, term string, {_SCORED}")
-    pairs = source.mapInArrow(partial(_pairs, kind=kind), f"id {id_type}, term string, count bigint, length bigint")
+        return map_arrow(source, partial(_scored, shared=shared, total=total, kind=kind), f"id {id_type}, term string, {_SCORED}")
+    pairs = map_arrow(source, partial(_pairs, kind=kind), f"id {id_type}, term string, count bigint, length bigint")
     joined = pairs.join(table.select("term", "occurrences", "records"), "term").select("id", "term", "count", "length", "occurrences", "records")
-    joined = joined.mapInArrow(partial(_tails, total=total), joined.schema.add("ln_p", "double"))
+    joined = map_arrow(joined, partial(_tails, total=total), joined.schema.add("ln_p", "double"))
     w = Window.partitionBy("id")
     ranked = joined.withColumn("v", F.col("ln_p") + F.log(F.count(F.lit(1)).over(w)) - F.log(F.row_number().over(w.orderBy("ln_p", "term"))))
     best = F.min("v").over(w.orderBy("ln_p", "term").rowsBetween(0, Window.unboundedFollowing))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillhawk.llm.textarrays import Tokens, blocks, text_batches, tokens
-from quillhawk.runtime import stage
+from quillhawk.runtime import map_arrow, stage
 
 _SCHEMA = "n int, term string, occurrences bigint, records bigint"
 _BLOCK = 2_000_000
@@ -96,7 +96,7 @@ def ngram_frequencies(df: DataFrame, id_col: str, text_col: str, max_n: int = 1)
     empty texts count as records without terms; each input row is a record, so repeated rows count again. An empty table
     gives an empty result.
     """
-    found = df.select(F.col(id_col), F.col(text_col)).mapInArrow(partial(_counts, max_n=max_n), _SCHEMA)
+    found = map_arrow(df.select(F.col(id_col), F.col(text_col)), partial(_counts, max_n=max_n), _SCHEMA)
     summed = found.groupBy("n", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
     table = stage(summed, "ngrams")
     total = table.where("n = 0").select("records", "occurrences").first()

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillhawk.llm.textarrays import blocks, text_batches, tokens
+from quillhawk.runtime import map_arrow
 
 #: Words of the items of one automaton (about 1 kB each at the worst).
 MOST_WORDS = 200_000
@@ -171,7 +172,7 @@ def leaked_spans(docs: DataFrame, id_col: str, text_col: str, items: DataFrame,
         known = np.unique(np.concatenate([h for _, h in shard]))
         words = [(i, np.searchsorted(known, h).tolist()) for i, h in shard]
         value = (known, Automaton(words, run), min(min(len(w) for _, w in words), run))
-        parts.append(source.mapInArrow(partial(_scan, shared=spark.sparkContext.broadcast(value), kind=to_arrow_type(kind)), schema))
+        parts.append(map_arrow(source, partial(_scan, shared=spark.sparkContext.broadcast(value), kind=to_arrow_type(kind)), schema))
         shard, held = [], 0
 
     for r in items.select(F.col(item_col).cast("bigint").alias("i"), F.col(item_text_col).alias("t")).where("i is not null and t is not null").distinct().orderBy("i", "t").toLocalIterator():
@@ -229,4 +230,4 @@ def clean_documents(docs: DataFrame, id_col: str, text_col: str, spans: DataFram
     per_doc = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"), F.max("words").alias("words"))
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null").join(per_doc, "doc_id")
     kind = source.schema["doc_id"].dataType
-    return source.mapInArrow(partial(_clean, most_share=most_share, kind=to_arrow_type(kind)), f"doc_id {kind.simpleString()}, share double, dropped boolean, text string")
+    return map_arrow(source, partial(_clean, most_share=most_share, kind=to_arrow_type(kind)), f"doc_id {kind.simpleString()}, share double, dropped boolean, text string")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillhawk.llm.selection import seeded_hash, take_prefix
-from quillhawk.runtime import stage
+from quillhawk.runtime import map_arrow, stage
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokenisation of the byte-level vocabulary: a fixed value that goes with the file.
@@ -43,7 +43,7 @@ def count_tokens(df: DataFrame, text_col: str, keep: list[F.Column], path: str =
     """The ``keep`` columns and ``tokens``, the length of the text in tokens of a public vocabulary; null texts have none."""
     source = df.select(*keep, F.col(text_col).alias("__text"))
     schema = source.drop("__text").schema
-    return source.mapInArrow(partial(_sizes, path=path), schema.add("tokens", "long"))
+    return map_arrow(source, partial(_sizes, path=path), schema.add("tokens", "long"))
 
 
 def fill(amount: float, weights: list[float], capacity: list[float]) -> list[float]:

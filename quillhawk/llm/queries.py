@@ -11,6 +11,7 @@ from quillhawk.llm.distinctive import term_scores
 from quillhawk.llm.frequencies import mark_frequencies, ngram_frequencies
 from quillhawk.llm.leakage import clean_documents, leaked_items, leaked_spans
 from quillhawk.llm.mixing import mix_sources
+from quillhawk.llm.nearduplicates import NearDuplicates, near_duplicates
 from quillhawk.llm.proportional import Target, clean_labels, proportional_sample
 from quillhawk.llm.splitting import split_oversized
 from quillhawk.runtime import first_wins
@@ -59,6 +60,25 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_scores(spark, sf_dir).where("length(term) >= 4 and count >= 3 and records between 2 and 6").select("id", "term")
 
 
+def _near(spark: SparkSession, sf_dir: str) -> NearDuplicates:
+    return near_duplicates(_texts(spark, sf_dir), "id", "content", similarity=0.5, run=3, least_words=30)
+
+
+def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate pairs of class representatives with their similarity."""
+    return _near(spark, sf_dir).links.select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), F.round("similarity", 6).alias("similarity"))
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text record that takes part with its class of copies and its group."""
+    return _near(spark, sf_dir).groups()
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of text records whose word-run sets are at least half the same."""
+    return _near(spark, sf_dir).pairs().select("id_a", "id_b")
+
+
 def p4_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every term with its occurrences, records and marks."""
     table, records, _ = ngram_frequencies(_texts(spark, sf_dir), "id", "content", 1)

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillhawk.runtime import map_arrow
+
 CHAR, WORD, SENTENCE, PARAGRAPH = 0, 1, 2, 3
 _NAMES = ("char", "word", "sentence", "paragraph")
 _SENTENCE = re.compile(r"(?:(?<=[.!?])|(?<=[.!?][\"')\]»”]))\s+")
@@ -142,7 +144,7 @@ def split_oversized(df: DataFrame, id_col: str, text_col: str, limit: int = 800,
         raise ValueError("limit must be positive and overlap smaller than it")
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") > limit)
     kind = source.schema["id"].dataType
-    return source.mapInArrow(
+    return map_arrow(source, 
         partial(_split, limit=limit, overlap=overlap, kind=to_arrow_type(kind)),
         f"id {kind.simpleString()}, piece int, start int, stop int, overlap int, cut string, kind string, text string",
     )
