@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillhawk.llm.distinctive import term_scores
@@ -12,6 +12,7 @@ from quillhawk.llm.frequencies import mark_frequencies, ngram_frequencies
 from quillhawk.llm.leakage import clean_documents, leaked_items, leaked_spans
 from quillhawk.llm.mixing import mix_sources
 from quillhawk.llm.nearduplicates import NearDuplicates, near_duplicates
+from quillhawk.llm.neighbours import near_neighbours, scan_neighbours
 from quillhawk.llm.proportional import Target, clean_labels, proportional_sample
 from quillhawk.llm.splitting import split_oversized
 from quillhawk.runtime import first_wins
@@ -107,6 +108,40 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_pieces(spark, sf_dir).where("piece = 0").select("id", "kind")
 
 
+def _modalities(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]]:
+    return [(m, _records(spark, sf_dir, f"pg_{m}_docs", "embedding")) for m in ("image", "audio")]
+
+
+def _by_modality(parts: list[tuple[str, DataFrame]]) -> DataFrame:
+    named = [df.select(F.lit(m).alias("modality"), "*") for m, df in parts]
+    return named[0].unionByName(named[1])
+
+
+def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to five nearest records of every record, as far as the hash tables reach."""
+    return _by_modality([(m, near_neighbours(df, "id", "embedding", 5)) for m, df in _modalities(spark, sf_dir)])
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records of which one is among the five nearest of the other and all five lie within 0.40."""
+    near = p7_near(spark, sf_dir)
+    fifth = F.max(F.when(F.col("rank") == 5, F.col("distance"))).over(Window.partitionBy("modality", "id"))
+    rows = near.withColumn("fifth", fifth).where("fifth <= 0.40")
+    return rows.select("modality", F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
+def p7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact five nearest of every record whose id is divisible by 100, among all records."""
+    return _by_modality([(m, scan_neighbours(df, "id", "embedding", F.col("id") % 100 == 0, 5)) for m, df in _modalities(spark, sf_dir)])
+
+
+def p7_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the exact neighbours within 0.40 of the divisible ids that the hash tables find."""
+    truth = p7_neighbours(spark, sf_dir).where("distance <= 0.40").select("modality", "id", "neighbour")
+    found = p7_near(spark, sf_dir).where("id % 100 = 0").select("modality", "id", "neighbour", F.lit(1).alias("hit"))
+    return truth.join(found, ["modality", "id", "neighbour"], "left").groupBy("modality").agg(F.count(F.lit(1)).alias("neighbours"), F.count("hit").alias("found"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("recall"))
+
+
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_spans(_table(spark, sf_dir, "documents"), "doc_id", "text", _table(spark, sf_dir, "eval_items"), "item_id", "text")
 
