@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillhawk.llm.clusters import similarity_clusters
 from quillhawk.llm.distinctive import term_scores
 from quillhawk.llm.frequencies import mark_frequencies, ngram_frequencies
 from quillhawk.llm.leakage import clean_documents, leaked_items, leaked_spans
@@ -117,6 +118,28 @@ def _by_modality(parts: list[tuple[str, DataFrame]]) -> DataFrame:
     return named[0].unionByName(named[1])
 
 
+def p5_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k-means clusters with their size and their five most typical records."""
+    return _by_modality([(m, similarity_clusters(df, "id", "embedding").typical(5)) for m, df in _modalities(spark, sf_dir)])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records joined to others by steps of at most 0.40, with the smallest id of their cluster."""
+    return _by_modality([(m, similarity_clusters(df, "id", "embedding").close(0.40)) for m, df in _modalities(spark, sf_dir)]).select("modality", "cluster_id", "id")
+
+
+def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of close records with their size and their records nearest to the k-means centre."""
+    parts = []
+    for m, df in _modalities(spark, sf_dir):
+        model = similarity_clusters(df, "id", "embedding")
+        joined = model.close(0.40).join(model.cells(), "id")
+        w = Window.partitionBy("cluster_id")
+        rank = F.row_number().over(w.orderBy("distance", "id"))
+        parts.append((m, joined.withColumns({"size": F.count(F.lit(1)).over(w), "rank": rank}).where("rank <= 5").select("cluster_id", "size", "rank", "id", "distance")))
+    return _by_modality(parts)
+
+
 def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to five nearest records of every record, as far as the hash tables reach."""
     return _by_modality([(m, near_neighbours(df, "id", "embedding", 5)) for m, df in _modalities(spark, sf_dir)])
