@@ -15,6 +15,7 @@ from quillhawk.llm.mixing import mix_sources
 from quillhawk.llm.nearduplicates import NearDuplicates, near_duplicates
 from quillhawk.llm.neighbours import near_neighbours, scan_neighbours
 from quillhawk.llm.proportional import Target, clean_labels, proportional_sample
+from quillhawk.llm.spam import spam_pages
 from quillhawk.llm.splitting import split_oversized
 from quillhawk.runtime import first_wins
 
@@ -210,6 +211,16 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_report(spark, sf_dir).where("short").select("source")
 
 
+def p10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with the shares of its labels and whether it is spam."""
+    return spam_pages(_table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of keywords, links or tags rather than sentences."""
+    return p10_pages(spark, sf_dir).where("spam").select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
