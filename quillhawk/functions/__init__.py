@@ -1 +1 @@
-
+"""Column expressions and Arrow functions."""

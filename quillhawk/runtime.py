@@ -110,3 +110,19 @@ def first_wins(df: DataFrame, key: str, order: str, columns: list[str]) -> DataF
         if sizes[1] > 1:
             rows = rows.where("coalesce(__qh_m, 1) = 1").unionByName(rows.where("__qh_m > 1").dropDuplicates([k]))
     return rows.select(*[F.col(f"__qh_c{i}").alias(c) for i, c in enumerate(wanted)])
+
+
+def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds ``name``: 0, 1, 2, ... in the order of the columns, without sorting everything in one task.
+
+    Rows are range-partitioned and staged with their partition; counts per partition give the offsets. Equal rows get
+    their numbers in no fixed order among themselves.
+    """
+    from pyspark.sql import Window
+
+    ranged = stage(df.repartitionByRange(*order).withColumn("__qh_part", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("__qh_part").agg(F.count(F.lit(1)).alias("__qh_n"))
+    before = F.sum("__qh_n").over(Window.orderBy("__qh_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("__qh_part", F.coalesce(before, F.lit(0)).alias("__qh_before"))  # one row a partition
+    within = F.row_number().over(Window.partitionBy("__qh_part").orderBy(*order)) - 1
+    return ranged.join(F.broadcast(offsets), "__qh_part").withColumn(name, F.col("__qh_before") + within).drop("__qh_part", "__qh_before")

@@ -1 +1 @@
-
+"""Incremental indexing."""
