@@ -17,6 +17,7 @@ from quillhawk.llm.neighbours import near_neighbours, scan_neighbours
 from quillhawk.llm.proportional import Target, clean_labels, proportional_sample
 from quillhawk.llm.spam import spam_pages
 from quillhawk.llm.splitting import split_oversized
+from quillhawk.llm.sql import oracle_sql  # noqa: F401
 from quillhawk.runtime import first_wins
 
 
@@ -156,7 +157,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact five nearest of every record whose id is divisible by 100, among all records."""
-    return _by_modality([(m, scan_neighbours(df, "id", "embedding", F.col("id") % 100 == 0, 5)) for m, df in _modalities(spark, sf_dir)])
+    found = _by_modality([(m, scan_neighbours(df, "id", "embedding", F.col("id") % 100 == 0, 5)) for m, df in _modalities(spark, sf_dir)])
+    return found.withColumn("distance", F.round("distance", 8))
 
 
 def p7_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,6 +226,3 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
-
-def oracle_sql() -> dict[str, str]:
-    return {}
