@@ -66,10 +66,10 @@ def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/quillhawk/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     _staged.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
