@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quillhawk.llm.frequencies import ngram_frequencies
 from quillhawk.llm.textarrays import blocks, text_batches, tokens
@@ -177,7 +178,7 @@ def term_scores(df: DataFrame, id_col: str, text_col: str, broadcast_terms: int
         return map_arrow(source, partial(_scored, shared=shared, total=total, kind=kind), f"id {id_type}, term string, {_SCORED}")
     pairs = map_arrow(source, partial(_pairs, kind=kind), f"id {id_type}, term string, count bigint, length bigint")
     joined = pairs.join(table.select("term", "occurrences", "records"), "term").select("id", "term", "count", "length", "occurrences", "records")
-    joined = map_arrow(joined, partial(_tails, total=total), joined.schema.add("ln_p", "double"))
+    joined = map_arrow(joined, partial(_tails, total=total), StructType([*joined.schema.fields, StructField("ln_p", DoubleType())]))
     w = Window.partitionBy("id")
     ranked = joined.withColumn("v", F.col("ln_p") + F.log(F.count(F.lit(1)).over(w)) - F.log(F.row_number().over(w.orderBy("ln_p", "term"))))
     best = F.min("v").over(w.orderBy("ln_p", "term").rowsBetween(0, Window.unboundedFollowing))
