@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
 import zipfile
@@ -52,11 +53,16 @@ def ship(spark: SparkSession) -> None:
         return
     root = Path(__file__).resolve().parent
     if root.is_dir() and Path(__file__).is_file():
-        path = Path(tempfile.mkdtemp(prefix="quillhawk-code-")) / f"{root.name}.zip"
-        with zipfile.ZipFile(path, "w") as z:
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
             for f in sorted(root.rglob("*.py")):
                 z.write(f, f.relative_to(root.parent))
-        spark.sparkContext.addPyFile(str(path))
+        path = f"{shared_dir(spark)}/quillhawk/code-{uuid.uuid4().hex[:12]}/{root.name}.zip"
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+        out.write(held.getvalue())
+        out.close()
+        spark.sparkContext.addPyFile(path)
     _shipped.add(app)
 
 
