@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillhawk.functions.vector import as_double, cosine, l2_distance
-from quillhawk.runtime import broadcast_if_small
+from quillhawk.runtime import broadcast_if_small, map_arrow
 
-#: Queries that are sent to every executor at once; more are joined by codeword or refused for scans.
-MOST_QUERIES = 100_000
+#: Queries that are sent to every executor at once; more are refused.
+MOST_QUERIES = 20_000
 
 
 def check_k(k: int) -> None:
@@ -54,21 +60,85 @@ def first_per_document(hits: DataFrame, query: str, item: str, document: Column,
     return ranked.select(query, "rank", "document", item, F.round("score", 4).alias("score"))
 
 
+def _plain(ids: pa.Array) -> np.ndarray:
+    """Ids as a sortable array: numbers, or text in code-point order."""
+    return np.array(ids.to_pylist(), dtype=str) if pa.types.is_string(ids.type) or pa.types.is_large_string(ids.type) else ids.to_numpy(zero_copy_only=False)
+
+
+def _vectors(column: pa.Array, dim: int) -> np.ndarray:
+    if len(column) and pc.min(pc.list_value_length(column)).as_py() != pc.max(pc.list_value_length(column)).as_py() or len(column) and len(column[0]) != dim:
+        raise ValueError("vectors must have the same length")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def _best(q: np.ndarray, x: np.ndarray, same: np.ndarray | None, x_ids: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions in q and x and the rounded scores of the k best rows of x for every row of q."""
+    if metric == "l2":
+        rough = (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1) - 2 * (q @ x.T)
+    else:
+        n = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((x * x).sum(axis=1))
+        rough = -np.divide(q @ x.T, n, out=np.zeros((len(q), len(x))), where=n > 0)
+    if same is not None:
+        rough = np.where(same, np.inf, rough)
+    cut = np.partition(rough, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
+    scale = 1e-6 * (1 + np.abs(np.where(np.isfinite(cut), cut, 0)))
+    i, j = np.nonzero((rough <= (cut + scale)[:, None]) & np.isfinite(rough))
+    if metric == "l2":
+        d = q[i] - x[j]
+        score = np.round(np.sqrt((d * d).sum(axis=1)), 8)
+    else:
+        score = np.round(-rough[i, j], 8)
+    order = np.lexsort((x_ids[j], score if metric == "l2" else -score, i))
+    i, j, score = i[order], j[order], score[order]
+    keep = np.arange(len(i)) - np.searchsorted(i, i, side="left") < k
+    return i[keep], j[keep], score[keep]
+
+
+def _scan(batches: Iterable[pa.RecordBatch], shared, k: int, metric: str, exclude_self: bool) -> Iterator[pa.RecordBatch]:
+    """The task's k best rows per query."""
+    q_arrow, q_ids, q = shared.value
+    held: list[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        for a in range(0, batch.num_rows, 2000):
+            part = batch.slice(a, 2000)
+            ids, x = part.column(0), _vectors(part.column(1), q.shape[1])
+            plain = _plain(ids)
+            for b in range(0, len(q), 500):
+                same = q_ids[b : b + 500][:, None] == plain[None, :] if exclude_self else None
+                i, j, score = _best(q[b : b + 500], x, same, plain, k, metric)
+                held.append((i + b, ids.take(pa.array(j)), plain[j], score))
+            i, some, plain, score = np.concatenate([h[0] for h in held]), pa.concat_arrays([h[1] for h in held]), np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
+            order = np.lexsort((plain, score if metric == "l2" else -score, i))
+            order = order[np.arange(len(order)) - np.searchsorted(i[order], i[order], side="left") < k]
+            held = [(i[order], some.take(pa.array(order)), plain[order], score[order])]
+    if held:
+        i, some, _, score = held[0]
+        yield pa.RecordBatch.from_arrays([q_arrow.take(pa.array(i)), some, pa.array(score)], names=["query_id", "id", "score"])
+
+
 def vector_search(queries: DataFrame, base: DataFrame, id_col: str, vector_col: str, k: int, metric: str = "l2", exclude_self: bool = False) -> DataFrame:
     """(query_id, rank, id, score): exact neighbours of a stated set of queries among all vectors.
 
-    The queries, at most ``MOST_QUERIES``, are sent to the executors and meet every stored vector; each task keeps its k
-    best per query before the shuffle. ``l2`` ranks by distance, ``cosine`` by similarity; scores have eight places.
+    The queries, at most ``MOST_QUERIES``, are sent to the executors and meet every stored vector in matrix products;
+    each task keeps its k best per query, so the shuffle is of k rows a query and task. ``l2`` ranks by distance,
+    ``cosine`` by similarity (0 for a zero vector); scores have eight places, ties go to the smaller id. Null ids and null
+    vectors take no part; vectors of another length than the queries are an error.
     """
     check_k(k)
-    n = queries.count()
-    if n > MOST_QUERIES:
+    spark, rows = base.sparkSession, F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()
+    kind = base.schema[id_col].dataType.simpleString()
+    schema = f"query_id {kind}, id {kind}, score double"
+    asked = queries.where(rows).select(F.col(id_col).alias("id"), as_double(F.col(vector_col)).alias("v")).limit(MOST_QUERIES + 1).toArrow().combine_chunks()  # a stated, bounded set
+    if asked.num_rows > MOST_QUERIES:
         raise ValueError(f"more than {MOST_QUERIES} queries; search them in parts")
-    q = queries.select(F.col(id_col).alias("query_id"), as_double(F.col(vector_col)).alias("q"))
-    b = base.select(F.col(id_col).alias("id"), as_double(F.col(vector_col)).alias("v"))
-    pairs = b.join(F.broadcast(q), F.col("query_id") != F.col("id")) if exclude_self else b.crossJoin(F.broadcast(q))
-    score = l2_distance(F.col("q"), F.col("v")) if metric == "l2" else cosine(F.col("q"), F.col("v"))
-    scored = pairs.select("query_id", "id", F.round(score, 8).alias("score"))
+    if not asked.num_rows:
+        scored = spark.createDataFrame([], schema)
+    else:
+        ids, v = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (asked.column("id"), asked.column("v")))
+        ids, v = (c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in (ids, v))
+        shared = spark.sparkContext.broadcast((ids, _plain(ids), _vectors(v, len(v[0]))))
+        stored = base.where(rows).select(F.col(id_col).alias("id"), as_double(F.col(vector_col)).alias("v"))
+        scored = map_arrow(stored, partial(_scan, shared=shared, k=k, metric=metric, exclude_self=exclude_self), schema)
     ranked = top_k(scored, "query_id", F.asc("score") if metric == "l2" else F.desc("score"), "id", k)
     return ranked.select("query_id", "rank", "id", "score")
 
