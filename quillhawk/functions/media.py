@@ -111,6 +111,26 @@ def color_histograms(height: Column, width: Column, data: Column) -> Column:
     return run(height, width, data)
 
 
+def descriptors(height: Column, width: Column, data: Column, detect, root: bool = True) -> Column:
+    """Local descriptors of RGB bytes by a detector (grey image -> rows), as roots of their shares; no detector is an error."""
+    if detect is None:
+        raise ValueError("no key-point detector is installed; pass one, or start from a descriptor table")
+
+    @F.pandas_udf("array<array<float>>")
+    def run(h: pd.Series, w: pd.Series, d: pd.Series) -> pd.Series:
+        def one(a, b, raw):
+            if raw is None or len(raw) != int(a) * int(b) * 3:
+                return []
+            found = np.asarray(detect(grey(np.frombuffer(raw, dtype=np.uint8).reshape(int(a), int(b), 3))), dtype=np.float64)
+            if not found.size:
+                return []
+            return [list(map(float, x)) for x in (np.sqrt(found / (found.sum(axis=1, keepdims=True) + 1e-7)) if root else found)]
+
+        return pd.Series([one(*x) for x in zip(h, w, d)])
+
+    return run(height, width, data)
+
+
 @lru_cache(maxsize=4)
 def mel_filters(sample_rate: int, n_fft: int, n_mels: int) -> np.ndarray:
     """Triangular filters on the Slaney mel scale, of equal area."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillhawk.functions import media
 from quillhawk.functions import vector as V
+from quillhawk.operators import ann
 from quillhawk.operators import codebook as cb
 from quillhawk.operators import evaluate, search
 from quillhawk.plans.common import records, registry, sql_first, table
@@ -220,3 +221,19 @@ select p_partkey, (row_number() over (partition by p_partkey order by y, x) - 1)
 def patch_grid(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select("p_partkey", (224 + F.col("p_size") * 16).alias("w"), (200 + F.col("p_size") * 9).alias("h"))
     return media.patch_grid(parts, "p_partkey", "w", "h")
+
+
+@query()
+def ann_cells(spark, sf_dir):
+    """Recall of three of the nearest cells for the images whose id is divisible by 100."""
+    df = _finite(records(spark, sf_dir, "pg_image_docs", "embedding"), 116)
+    found = ann.CellIndex(df, "id", "embedding", 16).search(_asked(df, "id"), "id", "embedding", 10, 6)
+    return ann.recall(found, search.vector_search(_asked(df, "id"), df, "id", "embedding", 10))
+
+
+@query()
+def ann_projections(spark, sf_dir):
+    """Recall of the library's bucketed projections for the vectors whose id is divisible by 100."""
+    df = _emb(spark, sf_dir)
+    found = ann.projection_search(_asked(df), df, "vec_id", "embedding", 10, 2.0)
+    return ann.recall(found, search.vector_search(_asked(df), df, "vec_id", "embedding", 10))
