@@ -145,6 +145,18 @@ def text_search(spark, sf_dir):
     return search.text_search(queries, items, "query_id", "chunk_id", 10)
 
 
+_ITEM_SQL = _QUERY_SQL.replace("doc_id as query_id", "item_id as query_id").replace("from documents where doc_id % 100 = 0 and title is not null", "from eval_items").replace(f"unnest({sql_tokens('title')})", f"unnest({sql_tokens('text')})")
+
+
+@query(f"with {_ITEM_SQL} select query_id, (row_number() over (partition by query_id order by score desc, chunk_id))::int as rank, chunk_id, score from scored qualify rank <= 5")
+def item_search(spark, sf_dir):
+    """The five best chunks for every evaluation item."""
+    _, tf, book = _book(spark, sf_dir)
+    asked = table(spark, sf_dir, "eval_items").select(F.col("item_id").alias("query_id"), "text")
+    queries = cb.text_histogram(tfidf.term_frequency(asked, "query_id", "text", HOW), book, "query_id")
+    return search.text_search(queries, cb.text_histogram(tf, book, "chunk_id"), "query_id", "chunk_id", 5)
+
+
 @query(f"""with {_QUERY_SQL}, hits as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as r from scored qualify r <= 30),
 best as (select *, regexp_extract(chunk_id, '^(.*)_text_', 1) as document from hits qualify row_number() over (partition by query_id, document order by r) = 1)
 select query_id, (row_number() over (partition by query_id order by score desc, chunk_id))::int as rank, document, chunk_id, round(score, 4) as score from best qualify rank <= 10""")

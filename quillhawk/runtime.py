@@ -17,6 +17,7 @@ BROADCAST_ROWS = 2_000_000
 
 _staged: list[str] = []
 _shipped: set[str] = set()
+_own_dirs: dict[str, str] = {}
 
 
 def local_session(cpus: str = "8", memory: str = "8g") -> SparkSession:
@@ -36,13 +37,13 @@ def local_session(cpus: str = "8", memory: str = "8g") -> SparkSession:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it; a temporary one on a local master without it."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_dirs.get(spark.sparkContext.applicationId)
     if not found:
         if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
             found = "file://" + tempfile.mkdtemp(prefix="quillhawk-")
         else:
             found = spark.conf.get("spark.sql.warehouse.dir") + "/quillhawk-staging"
-        spark.conf.set("spark.checkpoint.dir", found)
+        _own_dirs[spark.sparkContext.applicationId] = found
     return found
 
 
