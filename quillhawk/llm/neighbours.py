@@ -4,6 +4,7 @@ Vectors are scaled to unit length. In each of several tables a vector falls into
 on Gaussian directions; it is stored there and looks into the buckets that a small move would reach, in the order of
 their estimated success. Bucket mates are linked to the bucket's first vector, a 256-bit sign sketch drops links that are
 plainly far, and linked vectors of all tables merge into candidate sets. Within each set distances are computed exactly.
+The tables reach close vectors only; ``all_neighbours`` scans all vectors for those without k close ones.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from quillhawk.llm.components import components
 from quillhawk.llm.textarrays import mix64
 from quillhawk.llm.vectors import BLOCK_ROWS, block_pairs, exact_squares, matrices, matrix, packed, unit, unpacked, usual_length
-from quillhawk.runtime import map_arrow, stage
+from quillhawk.runtime import broadcast_if_small, map_arrow, stage
 
 
 @dataclass(frozen=True)
@@ -59,10 +60,19 @@ def _directions(dim: int, h: Hashing) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return rng.normal(size=(dim, n)), rng.uniform(0, 1, n), rng.integers(1, 2**62, n), rng.normal(size=(dim, 256))
 
 
+def _rows(batches: Iterable[pa.RecordBatch], dim: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Ids and raw rows of valid vectors, given as lists or packed."""
+    for b in batches:
+        if pa.types.is_binary(b.schema.field(1).type):
+            yield b.column(0), unpacked(b.column(1), dim)
+        else:
+            yield from matrices([b], dim)
+
+
 def _keys(batches: Iterable[pa.RecordBatch], dim: int, h: Hashing, probes: int) -> Iterator[pa.RecordBatch]:
     a, shift, odd, _ = _directions(dim, h)
     m = h.projections
-    for ids, raw in matrices(batches, dim):
+    for ids, raw in _rows(batches, dim):
         y = unit(raw) @ a / h.width + shift
         low = np.floor(y)
         part, cell = y - low, low.astype(np.int64)
@@ -85,7 +95,7 @@ def _keys(batches: Iterable[pa.RecordBatch], dim: int, h: Hashing, probes: int)
 
 def _signs(batches: Iterable[pa.RecordBatch], dim: int, h: Hashing) -> Iterator[pa.RecordBatch]:
     s = _directions(dim, h)[3]
-    for ids, raw in matrices(batches, dim):
+    for ids, raw in _rows(batches, dim):
         bits = np.packbits(unit(raw) @ s > 0, axis=1).view(np.int64)
         yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(4))], names=["id", "s0", "s1", "s2", "s3"])
 
@@ -133,17 +143,19 @@ def _best(df: DataFrame, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def near_neighbours(df: DataFrame, id_col: str, vector_col: str, k: int = 5, hashing: Hashing = Hashing(), block_rows: int = BLOCK_ROWS) -> DataFrame:
+def near_neighbours(df: DataFrame, id_col: str, vector_col: str, k: int = 5, hashing: Hashing = Hashing(), block_rows: int = BLOCK_ROWS, dim: int | None = None) -> DataFrame:
     """The k nearest of every vector among those its hash tables reach: (id, neighbour, distance, rank).
 
     Valid vectors have the table's most frequent length, finite components and are not all zero; others take no part,
     nor do null ids; ids are taken as unique. Distances are Euclidean between unit vectors in double precision, ties go
     to the smaller id. Copies are neighbours at distance 0. A candidate set larger than ``block_rows`` is cut into
     blocks and every pair of blocks is a task's group, so nothing is capped. Close neighbours (here within 0.4) are found
-    with near certainty; vectors without close ones may come out with fewer than k rows or none.
+    with near certainty; vectors without close ones may come out with fewer than k rows or none: see ``all_neighbours``.
+    With ``dim`` the vectors are packed ones of that length, all valid.
     """
     source = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    dim, id_type = usual_length(source, "v"), source.schema["id"].dataType.simpleString()
+    id_type, is_packed = source.schema["id"].dataType.simpleString(), dim is not None
+    dim = dim if is_packed else usual_length(source, "v")
     key_schema = f"key bigint, id {id_type}"
     stored = map_arrow(source, partial(_keys, dim=dim, h=hashing, probes=0), key_schema).groupBy("key").agg(F.min("id").alias("mate"))
     looked = map_arrow(source, partial(_keys, dim=dim, h=hashing, probes=hashing.probes), key_schema)
@@ -155,13 +167,93 @@ def near_neighbours(df: DataFrame, id_col: str, vector_col: str, k: int = 5, has
     sets = components(links, "id", "mate")
     sizes = sets.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
     members = sets.join(sizes, "component")
-    vectors = map_arrow(source, partial(_pack, dim=dim), f"id {id_type}, v binary").join(members, "id")
+    vectors = (source if is_packed else map_arrow(source, partial(_pack, dim=dim), f"id {id_type}, v binary")).join(members, "id")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     rows = vectors.select("id", "v", "component", F.explode(block_pairs(block, F.col("blocks"))).alias("p")).select("id", "v", "component", "p.left", "p.right", "p.is_left")
     out = rows.groupBy("component", "left", "right").applyInArrow(lambda t: _rank(t, dim, k), f"id {id_type}, neighbour {id_type}, distance double")
     return _best(out, k)
 
 
+def _exact(q: np.ndarray, i: np.ndarray, x: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Squares of the distances of the pairs (i, j), ``q`` raw and ``x`` of unit length, in parts of bounded size."""
+    out = np.empty(len(i))
+    for a in range(0, len(i), 10_000):
+        at = slice(a, a + 10_000)
+        out[at] = exact_squares(unit(q[i[at]].astype(np.float64)), x[j[at]])
+    return out
+
+
+def _scan_short(batches: Iterable[pa.RecordBatch], shared, dim: int, k: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """The task's k nearest rows per query. Single precision finds what may be among them, double precision ranks."""
+    q_ids, raw = shared.value
+    rough = np.concatenate([unit(raw[a : a + 2000].astype(np.float64)).astype(np.float32) for a in range(0, len(raw), 2000)])
+    bound = np.full(len(raw), np.inf)
+    held = (np.zeros(0, np.int64), np.zeros(0, q_ids.dtype), np.zeros(0))
+    for b in batches:
+        for c in range(0, b.num_rows, 4000):
+            some = b.slice(c, 4000)
+            plain, x = some.column(0).to_numpy(zero_copy_only=False), unit(unpacked(some.column(1), dim))
+            turned = np.ascontiguousarray(x.T, dtype=np.float32)
+            found = [held]
+            for a in range(0, len(raw), 1000):
+                near = 2 - 2 * (rough[a : a + 1000] @ turned)
+                cut = bound[a : a + 1000]
+                if np.isinf(cut).any() and len(plain) > k:  # one more than k: the query itself may be there
+                    cut = np.minimum(cut, np.partition(near, k, axis=1)[:, k])
+                i, j = np.nonzero(near <= (cut + 1e-5).astype(np.float32)[:, None])
+                other = q_ids[i + a] != plain[j]
+                i, j = i[other] + a, j[other]
+                found.append((i, plain[j], _exact(raw, i, x, j)))
+            i, mate, d = (np.concatenate(f) for f in zip(*found))
+            order = np.lexsort((mate, d, i))
+            i, mate, d = i[order], mate[order], d[order]
+            at = np.arange(len(i)) - np.searchsorted(i, i, side="left")
+            held = (i[at < k], mate[at < k], d[at < k])
+            bound[i[at == k - 1]] = d[at == k - 1]
+    i, mate, d = held
+    yield pa.RecordBatch.from_arrays([pa.array(q_ids[i], kind), pa.array(mate, kind), pa.array(np.sqrt(d))], names=["id", "neighbour", "distance"])
+
+
+def all_neighbours(df: DataFrame, id_col: str, vector_col: str, k: int = 5, sure: float = 0.40, hashing: Hashing = Hashing(), block: int = 10_000, slice_rows: int = 200_000) -> DataFrame:
+    """The k nearest of every valid vector: (id, neighbour, distance, rank).
+
+    A vector with k neighbours within ``sure`` among those of ``near_neighbours`` keeps them. Every other vector is
+    compared with all vectors: such vectors are sent to the executors in blocks of ``block`` rows, each block one pass over
+    the packed table in slices of about ``slice_rows``, so the cost grows as their number times the rows. Validity,
+    distances and ties as in ``near_neighbours``; fewer than k rows come out only if there are no k other valid vectors.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    spark = df.sparkSession
+    source = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    dim, kind = usual_length(source, "v"), source.schema["id"].dataType
+    schema = f"id {kind.simpleString()}, neighbour {kind.simpleString()}, distance double"
+    vectors = stage(map_arrow(source, partial(_pack, dim=dim), f"id {kind.simpleString()}, v binary"), "vectors", "zstd")
+    near = stage(near_neighbours(vectors, "id", "v", k, hashing, dim=dim), "near")
+    done = near.where(F.col("distance") <= sure).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("id")
+    short = stage(vectors.join(done, "id", "left_anti").select("id"), "short")
+    rows, asked = vectors.count(), short.count()
+    passes = -(-asked // block)
+    out = near.join(done, "id", "left_semi")
+    if not passes:
+        return out
+    queries = vectors.join(broadcast_if_small(short, asked), "id", "left_semi").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(passes)).cast("int"))
+    if passes > 8:  # a block's rows together; fewer passes may each read all
+        queries = queries.repartitionByRange("block").sortWithinPartitions("block")
+    queries = stage(queries, "queries", "zstd")
+    slices = max(-(-rows // slice_rows), -(-4 * spark.sparkContext.defaultParallelism // passes))
+    parts = []
+    for p in range(passes):
+        some = queries.where(F.col("block") == p).select("id", "v").toArrow()  # about ``block`` rows
+        if some.num_rows:
+            value = (some.column("id").to_numpy(), unpacked(some.column("v"), dim).astype(np.float32))
+            parts.append(map_arrow(vectors.coalesce(slices), partial(_scan_short, shared=spark.sparkContext.broadcast(value), dim=dim, k=k, kind=to_arrow_type(kind)), schema))
+    found = parts[0]
+    for x in parts[1:]:
+        found = found.unionByName(x)
+    return out.unionByName(_best(found, k))
+
+
 def _scan(batches: Iterable[pa.RecordBatch], shared, dim: int, k: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     q_ids, q = shared.value
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []

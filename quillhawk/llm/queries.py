@@ -13,7 +13,7 @@ from quillhawk.llm.frequencies import mark_frequencies, ngram_frequencies
 from quillhawk.llm.leakage import clean_documents, leaked_items, leaked_spans
 from quillhawk.llm.mixing import mix_sources
 from quillhawk.llm.nearduplicates import NearDuplicates, near_duplicates
-from quillhawk.llm.neighbours import near_neighbours, scan_neighbours
+from quillhawk.llm.neighbours import all_neighbours, near_neighbours, scan_neighbours
 from quillhawk.llm.proportional import Target, clean_labels, proportional_sample
 from quillhawk.llm.spam import spam_pages
 from quillhawk.llm.splitting import split_oversized
@@ -143,13 +143,13 @@ def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to five nearest records of every record, as far as the hash tables reach."""
-    return _by_modality([(m, near_neighbours(df, "id", "embedding", 5)) for m, df in _modalities(spark, sf_dir)])
+    """The five nearest records of every record."""
+    return _by_modality([(m, all_neighbours(df, "id", "embedding", 5)) for m, df in _modalities(spark, sf_dir)])
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of records of which one is among the five nearest of the other and all five lie within 0.40."""
-    near = p7_near(spark, sf_dir)
+    near = _by_modality([(m, near_neighbours(df, "id", "embedding", 5)) for m, df in _modalities(spark, sf_dir)])  # the tables reach all that is close
     fifth = F.max(F.when(F.col("rank") == 5, F.col("distance"))).over(Window.partitionBy("modality", "id"))
     rows = near.withColumn("fifth", fifth).where("fifth <= 0.40")
     return rows.select("modality", F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillhawk.llm.clusters import hashed_features, similarity_clusters
-from quillhawk.llm.neighbours import near_neighbours, probe_sets, scan_neighbours
+from quillhawk.llm.neighbours import all_neighbours, near_neighbours, probe_sets, scan_neighbours
 from quillhawk.llm.vectors import packed, unpacked
 
 DIM = 24
@@ -67,6 +67,19 @@ def test_neighbours_equal_brute_force(spark, groups, block_rows):
     assert {i: got.get(i) for i in want} == want
 
 
+def test_every_row_has_its_neighbours(spark, groups):
+    d = exact(groups)
+    for block in (20_000, 60):
+        out = all_neighbours(table(spark, groups), "key", "v", 5, block=block).collect()
+        got = {}
+        for r in sorted(out, key=lambda r: (r.id, r["rank"])):
+            got.setdefault(r.id, []).append(r.neighbour)
+        assert got == {i: sorted(range(len(groups)), key=lambda j: (round(d[i, j], 12), j))[:5] for i in range(len(groups))}
+    few = all_neighbours(table(spark, groups).where("key < 3"), "key", "v", 5)
+    assert sorted((r.id, r.neighbour) for r in few.collect()) == [(i, j) for i in range(3) for j in range(3) if i != j]
+    assert all_neighbours(table(spark, groups).limit(0), "key", "v").count() == 0
+
+
 def test_scan_and_empty_tables(spark, groups):
     d = exact(groups)
     df = table(spark, groups)
