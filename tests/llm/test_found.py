@@ -32,3 +32,10 @@ def test_short_sources(spark, con):
     """At the smallest scale tokens and words may disagree on a source near its border; the larger scales agree."""
     df = queries()["p9_found"](spark, "/root/testdata/sf0.01")
     assert oracle.difference(df, oracle.connect("/root/testdata/sf0.01"), oracle_sql()["p9_found"]) == ""
+
+
+def test_recall_is_over_all_neighbours(spark):
+    out = {r.modality: r for r in queries()["p7_recall"](spark, SMALL).collect()}
+    asked = queries()["p7_neighbours"](spark, SMALL).groupBy("modality").count().collect()
+    assert {m: r.neighbours for m, r in out.items()} == {r.modality: r["count"] for r in asked}
+    assert all(r.recall >= 0.9 for r in out.values())
