@@ -3,7 +3,7 @@
 Seeding draws, in each of a few rounds, as many centres as wanted clusters with probability proportional to the squared
 distance from those drawn so far (one pass, every task keeps its own best draws), weighs the draws by the rows nearest to
 them and reduces them to k on the driver, whose work is bounded by k. The k-means cells then bound the search for close
-pairs: a row joins its own cell and every cell that is nearly as near, close rows meet in a shared cell.
+pairs: rows meet those of their own cell, and those of every cell whose border is within half the radius.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ from quillhawk.runtime import map_arrow, stage
 CELL_ROWS, MOST_CELLS = 100, 4096
 #: Most hashed features; vectors of fewer components keep theirs.
 FEATURES = 512
+#: Parts of a cell by the hash of the id.
+_PARTS = 1 << 20
 
 
 def hashed_features(x: np.ndarray, features: int = FEATURES, weights: np.ndarray | None = None) -> np.ndarray:
@@ -164,22 +168,16 @@ def fit_kmeans(vectors: DataFrame, dim: int, k: int, rounds: int = 3, iterations
     return centres
 
 
-def _assign(batches: Iterable[pa.RecordBatch], dim: int, shared, slack: float) -> Iterator[pa.RecordBatch]:
-    """Each row in its own cell (first) and, with ``slack``, in all cells whose squared distance exceeds it by no more."""
-    centres = shared.value
+def _assign(batches: Iterable[pa.RecordBatch], dim: int, shared) -> Iterator[pa.RecordBatch]:
+    """Each row with its cell and the distance from the centre."""
     for ids, raw in _parts(batches, dim):
-        d = squares(_features(raw), centres)
-        own = d.argmin(axis=1)
-        least = d[np.arange(len(own)), own]
-        near = d <= least[:, None] + slack
-        near[np.arange(len(own)), own] = True
-        i, cell = np.nonzero(near)
-        names, parts = ["id", "cell", "own", "distance"], [ids.take(pa.array(i)), pa.array(cell), pa.array(cell == own[i]), pa.array(np.sqrt(d[i, cell].astype(np.float64)))]
-        yield pa.RecordBatch.from_arrays([*parts, packed(raw).take(pa.array(i))], names=[*names, "v"])
-
-
-def _light(batches: Iterable[pa.RecordBatch], dim: int, shared, slack: float) -> Iterator[pa.RecordBatch]:
-    for b in _assign(batches, dim, shared, slack):
+        d = squares(_features(raw), shared.value)
+        cell = d.argmin(axis=1)
+        yield pa.RecordBatch.from_arrays([ids, pa.array(cell), pa.array(np.sqrt(d[np.arange(len(cell)), cell].astype(np.float64))), packed(raw)], names=["id", "cell", "distance", "v"])
+
+
+def _light(batches: Iterable[pa.RecordBatch], dim: int, shared) -> Iterator[pa.RecordBatch]:
+    for b in _assign(batches, dim, shared):
         yield b.drop_columns(["v"])
 
 
@@ -198,17 +196,23 @@ def _labels(near: np.ndarray) -> np.ndarray:
     return label
 
 
-def _close(table: pa.Table, dim: int, radius: float) -> pa.Table:
-    """Within a block pair, links of every row to the smallest row of its component of pairs at most ``radius`` apart."""
-    table = table.sort_by("id")
-    ids, x = table.column("id").combine_chunks(), unit(unpacked(table.column("v"), dim))
+def _within(x: np.ndarray, y: np.ndarray, radius: float) -> np.ndarray:
+    """Which rows of x and y, of unit length, are at most ``radius`` apart."""
     limit = radius * radius
-    d = 2 - 2 * (x @ x.T)
+    d = 2 - 2 * (x @ y.T)
     near = d <= limit
     i, j = np.nonzero(np.abs(d - limit) < 1e-9)
     if len(i):
-        near[i, j] = np.sqrt(exact_squares(x[i], x[j])) <= radius
-        near |= near.T
+        near[i, j] = np.sqrt(exact_squares(x[i], y[j])) <= radius
+    return near
+
+
+def _close(table: pa.Table, dim: int, radius: float) -> pa.Table:
+    """Within a block pair, links of every row to the smallest row of its component of pairs at most ``radius`` apart."""
+    table = table.sort_by("id")
+    ids, x = table.column("id").combine_chunks(), unit(unpacked(table.column("v"), dim))
+    near = _within(x, x, radius)
+    near |= near.T
     np.fill_diagonal(near, False)
     some = np.flatnonzero(near.any(axis=1))
     label = some[_labels(near[np.ix_(some, some)])] if len(some) else some
@@ -216,6 +220,52 @@ def _close(table: pa.Table, dim: int, radius: float) -> pa.Table:
     return pa.table([ids.take(pa.array(some[keep])), ids.take(pa.array(label[keep]))], names=["a", "b"])
 
 
+def _members(files: list[str], low: int, high: int, part: int, parts: int) -> tuple[np.ndarray, np.ndarray, pa.ChunkedArray]:
+    """Ids, cells and packed vectors of the rows of cells low to high, of one part of their hashes, sorted by cell."""
+    found = [fs.FileSystem.from_uri("file:///" + f.removeprefix("file:").lstrip("/") if f.startswith("file:") else f) for f in files]
+    system, paths = found[0][0], [path for _, path in found]
+    of = ds.field
+    wanted = (of("cell") >= low) & (of("cell") <= high) & (of("part") >= part * _PARTS // parts) & (of("part") < (part + 1) * _PARTS // parts)
+    some = ds.dataset(paths, format="parquet", filesystem=system).to_table(columns=["id", "cell", "v"], filter=wanted, use_threads=False, batch_size=4096).sort_by("cell")
+    return some.column("id").to_numpy(), some.column("cell").to_numpy(), some.column("v")
+
+
+def _borders(batches: Iterable[pa.RecordBatch], dim: int, shared, block: tuple[list[str], int, int, int, int], radius: float, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Links of rows to close members of other cells, a spanning forest for each part of rows and cell.
+
+    For x of cell c and y of cell e at most ``radius`` apart, the distances of x and y from the plane halfway between the
+    two centres add up to at most ``radius``, so one of them is within half of it: (|x-e|^2 - |x-c|^2) <= radius |c-e| for
+    x, or the like for y, which has its turn as a row.
+    """
+    centres, (m_ids, m_cell, m_packed) = shared.value, _members(*block)
+    if not len(m_ids):
+        return
+    cells, first = np.unique(m_cell, return_index=True)
+    last = np.append(first[1:], len(m_cell))
+    apart = np.sqrt(squares(centres.astype(np.float64), centres[cells].astype(np.float64)))
+    y = unit(unpacked(m_packed, dim))
+    for b in batches:
+        for a in range(0, b.num_rows, 2000):
+            some = b.slice(a, 2000)
+            ids, own = some.column("id").to_numpy(zero_copy_only=False), some.column("cell").to_numpy()
+            raw = unpacked(some.column("v"), dim)
+            x = unit(raw)
+            gap = squares(_features(raw), centres[cells]) - some.column("distance").to_numpy()[:, None] ** 2
+            enter = (gap <= (radius + 2e-3) * apart[own] + 1e-5) & (own[:, None] != cells)  # with room for single precision
+            for c in np.flatnonzero(enter.any(axis=0)):
+                i = np.flatnonzero(enter[:, c])
+                for low in range(first[c], last[c], 2000):
+                    near = _within(x[i], y[low : min(low + 2000, last[c])], radius)
+                    p, q = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+                    if not len(p):
+                        continue
+                    whole = np.zeros((len(p) + len(q),) * 2, dtype=bool)
+                    whole[: len(p), len(p) :] = near[np.ix_(p, q)]
+                    label = _labels(whole | whole.T)
+                    names, keep = np.concatenate([ids[i[p]], m_ids[low + q]]), label != np.arange(len(label))
+                    yield pa.RecordBatch.from_arrays([pa.array(names[keep], kind), pa.array(names[label[keep]], kind)], names=["a", "b"])
+
+
 class Clusters:
     """The k-means cells of a vector column and the clusters of close rows."""
 
@@ -232,8 +282,7 @@ class Clusters:
         """(id, cell, distance): every valid row with its cell and the distance from the centre."""
         if not self.rows:
             return self.vectors.select("id", F.lit(0).cast("bigint").alias("cell"), F.lit(0.0).alias("distance"))
-        schema = f"id {self.id_type}, cell bigint, own boolean, distance double"
-        return map_arrow(self.vectors, partial(_light, dim=self.dim, shared=self.shared, slack=0.0), schema).where("own").drop("own")
+        return map_arrow(self.vectors, partial(_light, dim=self.dim, shared=self.shared), f"id {self.id_type}, cell bigint, distance double")
 
     def typical(self, most: int = 5) -> DataFrame:
         """(cell, size, rank, id, distance): every cell's size and its ``most`` rows nearest to the centre."""
@@ -242,28 +291,52 @@ class Clusters:
         rank = F.row_number().over(Window.partitionBy("cell").orderBy("distance", "id"))
         return cells.withColumn("rank", rank).where(F.col("rank") <= most).join(size, "cell").select("cell", "size", "rank", "id", "distance")
 
-    def close(self, radius: float, slack: float = 35.0, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    def close(self, radius: float, block_rows: int = BLOCK_ROWS, scan_rows: int = 10_000) -> DataFrame:
         """(id, cluster_id) of the rows that a chain of steps of at most ``radius`` joins to another row.
 
-        ``cluster_id`` is the smallest id of the cluster. A row also enters the cells whose squared distance exceeds that
-        of its own by up to ``slack`` times the squared radius per component: a small move changes the difference of
-        two squared distances the less, the more components share it. Cells over ``block_rows`` rows are cut into blocks and
-        every pair of blocks is a group of its own, so a hot cell is spread and none is capped.
+        ``cluster_id`` is the smallest id of the cluster. Rows are compared within their cell: cells over ``block_rows``
+        rows are cut into blocks and every pair of blocks is a group of its own, so a hot cell is spread and none is
+        capped. Steps between cells are found exactly by ``_borders``: tasks read the members of whole cells, about
+        ``scan_rows`` at once, from the shared folder, and each row meets those cells whose border is near enough; no
+        vectors are copied.
         """
         spark = self.vectors.sparkSession
         if not self.rows:
             return self.vectors.select("id", F.col("id").alias("cluster_id"))
-        how = {"dim": self.dim, "shared": self.shared, "slack": slack * radius * radius / max(self.dim, 1)}
-        light = map_arrow(self.vectors, partial(_light, **how), f"id {self.id_type}, cell bigint, own boolean, distance double")
-        counts = light.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a cell
-        many = spark.createDataFrame([(r.cell, -(-r.n // block_rows)) for r in counts if r.n > 1], "cell bigint, blocks int")
-        rows = map_arrow(self.vectors, partial(_assign, **how), f"id {self.id_type}, cell bigint, own boolean, distance double, v binary").join(F.broadcast(many), "cell")
+        dim, link = self.dim, f"a {self.id_type}, b {self.id_type}"
+        rows = stage(map_arrow(self.vectors, partial(_assign, dim=dim, shared=self.shared), f"id {self.id_type}, cell bigint, distance double, v binary").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(_PARTS))), "assigned", "zstd")
+        counts = sorted((r.cell, r.n) for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect())  # one row a cell
+        many = spark.createDataFrame([(c, -(-n // block_rows)) for c, n in counts if n > 1], "cell bigint, blocks int")
         block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-        pairs = rows.select("id", "v", "cell", F.explode(block_pairs(block, F.col("blocks"))).alias("p")).select("id", "v", "cell", "p.left", "p.right")
-        dim = self.dim
-        links = pairs.groupBy("cell", "left", "right").applyInArrow(lambda t: _close(t, dim, radius), f"a {self.id_type}, b {self.id_type}")
+        pairs = rows.join(F.broadcast(many), "cell").select("id", "v", "cell", F.explode(block_pairs(block, F.col("blocks"))).alias("p")).select("id", "v", "cell", "p.left", "p.right")
+        links = pairs.groupBy("cell", "left", "right").applyInArrow(lambda t: _close(t, dim, radius), link)
+        for found in self._between(rows, counts, radius, scan_rows, link) if len(counts) > 1 else []:
+            links = links.unionByName(found)
         return components(links, "a", "b").withColumnRenamed("component", "cluster_id")
 
+    def _between(self, rows: DataFrame, counts: list[tuple[int, int]], radius: float, scan_rows: int, link: str) -> list[DataFrame]:
+        """Links between cells, one pass over ``rows`` for each block of cells; a cell over ``scan_rows`` takes several."""
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        spark, kind = rows.sparkSession, to_arrow_type(rows.schema["id"].dataType)
+        spans: list[tuple[int, int, int, int]] = []  # cells low to high, part, parts
+        full = 0
+        for cell, n in counts:
+            if n > scan_rows:
+                parts, full = -(-n // scan_rows), 0
+                spans += [(cell, cell, p, parts) for p in range(parts)]
+            elif full and full + n <= scan_rows:
+                spans[-1], full = (spans[-1][0], cell, 0, 1), full + n
+            else:
+                spans.append((cell, cell, 0, 1))
+                full = n
+        files = rows
+        if len(spans) > 8:  # sorted, so that a reader skips what isn't its own; fewer may each read all
+            files = stage(rows.repartitionByRange("cell", "part").sortWithinPartitions("cell", "part"), "members", "zstd")
+        files = files.inputFiles()
+        slices = max(-(-self.rows // 200_000), -(-2 * spark.sparkContext.defaultParallelism // len(spans)))
+        return [map_arrow(rows.coalesce(slices), partial(_borders, dim=self.dim, shared=self.shared, block=(files, *x), radius=radius, kind=kind), link) for x in spans]
+
 
 def similarity_clusters(df: DataFrame, id_col: str, vector_col: str) -> Clusters:
     """Clusters of a vector column.

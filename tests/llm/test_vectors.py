@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillhawk.llm.clusters import hashed_features, similarity_clusters
+from quillhawk.llm.clusters import Clusters, hashed_features, similarity_clusters
 from quillhawk.llm.neighbours import all_neighbours, near_neighbours, probe_sets, scan_neighbours
 from quillhawk.llm.vectors import packed, unpacked
 
@@ -117,3 +117,16 @@ def test_clusters_equal_chains(spark, groups):
     assert max(r["rank"] for r in typical) == 2
     empty = similarity_clusters(table(spark, groups).limit(0), "key", "v")
     assert empty.close(0.4).count() == 0 and empty.typical().count() == 0
+
+
+def test_steps_across_cell_borders(spark):
+    """Steps of 0.35 along an arc in 512 dimensions, ten rows a stop: one chain, whatever the cells."""
+    angle = np.repeat(np.arange(16) * 0.35, 10)
+    x = np.zeros((160, 512))
+    x[:, 0], x[:, 1] = np.cos(angle), np.sin(angle)
+    x[:, 2:] = 0.001 * np.random.default_rng(1).normal(size=(160, 510))
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "key int, v array<float>")
+    model = Clusters(df, "key", "v", cell_rows=10)
+    assert model.cells().select("cell").distinct().count() > 4
+    for scan_rows in (10_000, 7):
+        assert {r.id: r.cluster_id for r in model.close(0.4, scan_rows=scan_rows).collect()} == {i: 0 for i in range(160)}
