@@ -51,11 +51,12 @@ def text_tokens(spark, sf_dir):
 
 @query()
 def stem_tokens_languages(spark, sf_dir):
-    """Full preprocessing with the library's stop words and Snowball stems, English and Spanish by the documents' language."""
-    lang = F.lower(F.substring(F.trim("lang"), 1, 2))
+    """Full preprocessing by the documents' language: the library's stop words where it has them, Snowball stems for English and Spanish, other words as they are."""
+    lang = F.coalesce(F.lower(F.substring(F.trim("lang"), 1, 2)), F.lit(""))
+    known = (("en", "english"), ("es", "spanish"), ("fr", "french"), ("de", "german"))
     out = None
-    for code, name in (("en", "english"), ("es", "spanish")):
-        rows = _docs(spark, sf_dir).where(lang == code)
+    for code, name in (*known, (None, "")):
+        rows = _docs(spark, sf_dir).where(lang == code if code else ~lang.isin([c for c, _ in known]))
         part = rows.select("doc_id", F.posexplode(stem_tokens(T.tokens(F.col("text"), T.stopwords(spark, name)), name)).alias("position", "stem"))
         out = part if out is None else out.unionByName(part)
     return out.groupBy("doc_id", "stem").agg(F.count(F.lit(1)).alias("count"))

@@ -95,3 +95,12 @@ def test_tfidf_rows_have_unit_length(spark):
 def test_tf_weight(spark):
     row = spark.createDataFrame([(0,), (1,), (5,)], "c int").select(tfidf.tf_weight(F.col("c")).alias("w")).collect()
     assert [round(r.w, 6) for r in row] == [0.0, 1.0, 2.609438]
+
+
+def test_stems_of_all_languages(spark, tmp_path):
+    from quillhawk.plans.text_queries import stem_tokens_languages
+
+    rows = [(1, "en", "running houses"), (2, "ES-mx", "casas"), (3, "fr", "les maisons"), (4, "de", "und katzen"), (5, None, "the running"), (6, "xx", "running")]
+    spark.createDataFrame(rows, "doc_id bigint, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.stem) for r in stem_tokens_languages(spark, str(tmp_path)).collect())
+    assert got == [(1, "hous"), (1, "run"), (2, "cas"), (3, "maisons"), (4, "katzen"), (5, "running"), (5, "the"), (6, "running")]
