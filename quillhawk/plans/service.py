@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import time
 from collections.abc import Callable
 
@@ -22,18 +21,6 @@ def health() -> dict[str, str]:
     return {"status": "ok"}
 
 
-def env_flag(name: str, default: bool = False) -> bool:
-    return os.environ.get(name, str(default)).strip().lower() in ("1", "true", "yes", "on")
-
-
-def env_limit(name: str, default: int) -> int:
-    """A non-negative limit; a bad value gives the default, a negative one 0."""
-    try:
-        return max(0, int(os.environ.get(name, default)))
-    except ValueError:
-        return default
-
-
 def check_request(query: str, k: int) -> None:
     if not query:
         raise ValueError("the query is empty")

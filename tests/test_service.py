@@ -30,17 +30,11 @@ def test_vector_pipeline(spark):
         service.VectorPipeline().index(spark.createDataFrame([("a", [1.0]), ("a", [2.0])], "id string, v array<double>"), "id", "v")
 
 
-def test_requests(monkeypatch):
+def test_requests():
     for bad in (("", 5), ("x", 0), ("x", 101)):
         with pytest.raises(ValueError):
             service.check_request(*bad)
     assert service.health() == {"status": "ok"}
-    monkeypatch.setenv("LIMIT_X", "-3")
-    assert service.env_limit("LIMIT_X", 5) == 0
-    monkeypatch.setenv("LIMIT_X", "many")
-    assert service.env_limit("LIMIT_X", 5) == 5
-    monkeypatch.setenv("FLAG_X", "Yes")
-    assert service.env_flag("FLAG_X")
 
 
 def test_descriptors(spark):
