@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,7 @@ BROADCAST_ROWS = 2_000_000
 _staged: list[str] = []
 _shipped: set[str] = set()
 _own_dirs: dict[str, str] = {}
+_files: dict[tuple[str, str], str] = {}
 
 
 def local_session(cpus: str = "8", memory: str = "8g") -> SparkSession:
@@ -36,17 +40,29 @@ def local_session(cpus: str = "8", memory: str = "8g") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a temporary one on a local master without it."""
+    """The folder all executors share, as ``spark.checkpoint.dir`` names it.
+
+    Without that setting a local master gets a temporary folder of its own; any other master is refused, since a folder
+    of one machine would lose tables with that machine.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_dirs.get(spark.sparkContext.applicationId)
     if not found:
-        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-            found = "file://" + tempfile.mkdtemp(prefix="quillhawk-")
-        else:
-            found = spark.conf.get("spark.sql.warehouse.dir") + "/quillhawk-staging"
-        _own_dirs[spark.sparkContext.applicationId] = found
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = _own_dirs[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="quillhawk-")
     return found
 
 
+def put_shared(spark: SparkSession, name: str, data: bytes) -> str:
+    """Writes ``data`` under a fresh name in the shared folder and returns its path."""
+    path = f"{shared_dir(spark)}/quillhawk/{uuid.uuid4().hex[:12]}/{name}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+    out.write(data)
+    out.close()
+    return path
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once per application, so that Python stages can import it anywhere."""
     app = spark.sparkContext.applicationId
@@ -58,37 +74,73 @@ def ship(spark: SparkSession) -> None:
         with zipfile.ZipFile(held, "w") as z:
             for f in sorted(root.rglob("*.py")):
                 z.write(f, f.relative_to(root.parent))
-        path = f"{shared_dir(spark)}/quillhawk/code-{uuid.uuid4().hex[:12]}/{root.name}.zip"
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
-        out.write(held.getvalue())
-        out.close()
-        spark.sparkContext.addPyFile(path)
+        spark.sparkContext.addPyFile(put_shared(spark, f"{root.name}.zip", held.getvalue()))
     _shipped.add(app)
 
 
+def ship_file(spark: SparkSession, path: str) -> str:
+    """Sends a file of the driver to every executor through the shared folder, once; returns the name to open by ``shipped``."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _files:
+        data = Path(path).read_bytes()
+        name = f"{hashlib.sha256(data).hexdigest()[:16]}-{Path(path).name}"
+        spark.sparkContext.addFile(put_shared(spark, name, data))
+        _files[key] = name
+    return _files[key]
+
+
+def shipped(name: str) -> str:
+    """Where a task finds a file that ``ship_file`` sent."""
+    return SparkFiles.get(name)
+
+
 def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
     """``df.mapInArrow`` with the package sent along."""
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 
-def stage(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/quillhawk/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", codec).parquet(path)
+#: Bytes of one shuffle partition aimed at by ``stage``.
+PARTITION_BYTES = 64 << 20
+
+
+def stage(df: DataFrame, name: str, codec: str = "snappy", shuffled: int = 0) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: cuts the lineage and survives lost executors.
+
+    With ``shuffled``, the bytes that its largest shuffle will carry, the write runs with enough shuffle partitions that
+    none exceeds ``PARTITION_BYTES`` on average; adaptive execution joins those that stay small.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/quillhawk/{name}-{uuid.uuid4().hex[:12]}"
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    wanted = max(int(before), -(-shuffled // PARTITION_BYTES))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     _staged.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def release_staged(spark: SparkSession) -> None:
-    """Deletes every table staged so far; results that still read them must have been consumed."""
+def release_staged(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the tables staged so far, or those after the first ``since``; results that read them must have been consumed."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _staged:
+    while len(_staged) > since:
         path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """A scope that owns the tables staged within it and deletes them at its end; consume or write results inside."""
+    since = len(_staged)
+    try:
+        yield
+    finally:
+        release_staged(spark, since)
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint when it has at most ``limit`` rows, else as it is (a shuffle join follows)."""
     return F.broadcast(df) if rows <= limit else df
