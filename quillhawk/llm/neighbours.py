@@ -2,14 +2,17 @@
 
 Vectors are scaled to unit length. In each of several tables a vector falls into the bucket of its quantised projections
 on Gaussian directions; it is stored there and looks into the buckets that a small move would reach, in the order of
-their estimated success. Bucket mates are linked to the bucket's first vector, a 256-bit sign sketch drops links that are
-plainly far, and linked vectors of all tables merge into candidate sets. Within each set distances are computed exactly.
-The tables reach close vectors only; ``all_neighbours`` scans all vectors for those without k close ones.
+their estimated success. Every member of every bucket looked into is a candidate. So that vectors aren't copied once per
+table and probe, each vector is placed once, beside the smallest id among its close bucket mates (its leader), and visits
+the other leaders whose members it met; exact distances are taken wherever a vector is placed or visits, and the k best
+of all places are merged. The tables reach close vectors only; ``all_neighbours`` scans all vectors for those without k
+close ones.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache, partial
@@ -19,7 +22,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillhawk.llm.components import components
 from quillhawk.llm.textarrays import mix64
 from quillhawk.llm.vectors import BLOCK_ROWS, block_pairs, exact_squares, matrices, matrix, packed, unit, unpacked, usual_length
 from quillhawk.runtime import broadcast_if_small, map_arrow, stage
@@ -27,16 +29,25 @@ from quillhawk.runtime import broadcast_if_small, map_arrow, stage
 
 @dataclass(frozen=True)
 class Hashing:
-    """Tables, projections and bucket width; further buckets probed; sign bits that may differ in a link."""
+    """Tables, projections and bucket width; further buckets probed."""
 
     tables: int = 5
     projections: int = 20
-    width: float = 1.5
+    width: float = 2.0
     probes: int = 10
-    bits: int = 52
     seed: int = 7
 
 
+#: Signs of random projections in a sketch, in four 64-bit words.
+SIGNS = 256
+
+
+def sign_limit(radius: float, deviations: float = 7.0) -> int:
+    """Differing signs allowed to unit vectors at most ``radius`` apart: the mean at that distance and seven deviations."""
+    p = 2 * math.asin(min(radius, 2.0) / 2) / math.pi
+    return math.ceil(SIGNS * p + deviations * math.sqrt(SIGNS * p * (1 - p)))
+
+
 @lru_cache(maxsize=4)
 def probe_sets(projections: int, probes: int) -> list[tuple[int, ...]]:
     """Sets of ranks (of the 2M distances to bucket borders, ascending) to cross, by expected squared distance."""
@@ -57,7 +68,7 @@ def probe_sets(projections: int, probes: int) -> list[tuple[int, ...]]:
 def _directions(dim: int, h: Hashing) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(h.seed)
     n = h.tables * h.projections
-    return rng.normal(size=(dim, n)), rng.uniform(0, 1, n), rng.integers(1, 2**62, n), rng.normal(size=(dim, 256))
+    return rng.normal(size=(dim, n)), rng.uniform(0, 1, n), rng.integers(1, 2**62, n), rng.normal(size=(dim, SIGNS))
 
 
 def _rows(batches: Iterable[pa.RecordBatch], dim: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
@@ -124,13 +135,15 @@ def nearest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray,
 
 
 def _rank(table: pa.Table, dim: int, k: int) -> pa.Table:
-    ids, v, left = table.column("id").combine_chunks(), unit(unpacked(table.column("v"), dim)), table.column("is_left").to_numpy(zero_copy_only=False)
+    """The k nearest per vector within a pair of blocks of one place; visitors ask but are no answers there."""
+    flag = lambda c: table.column(c).to_numpy(zero_copy_only=False)
+    ids, v, left, visits = table.column("id").combine_chunks(), unit(unpacked(table.column("v"), dim)), flag("is_left"), flag("visits")
     plain = ids.to_numpy(zero_copy_only=False)
     one_block = table.column("left")[0].as_py() == table.column("right")[0].as_py()
-    sides = [(slice(None), slice(None))] if one_block else [(left, ~left), (~left, left)]
+    sides = [(np.ones(len(plain), bool), ~visits)] if one_block else [(left, ~left), (~left, left)]
     parts = []
     for a, b in sides:
-        qa, xb = np.arange(len(plain))[a], np.arange(len(plain))[b]
+        qa, xb = np.flatnonzero(a), np.flatnonzero(b)
         if not len(qa) or not len(xb):
             continue
         i, j, d = nearest(v[qa], plain[qa], v[xb], plain[xb], k)
@@ -143,35 +156,55 @@ def _best(df: DataFrame, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def near_neighbours(df: DataFrame, id_col: str, vector_col: str, k: int = 5, hashing: Hashing = Hashing(), block_rows: int = BLOCK_ROWS, dim: int | None = None) -> DataFrame:
+def _close_signs(limit: int) -> F.Column:
+    """Whether the sketches (s0..s3) and (r0..r3) differ in at most ``limit`` signs."""
+    return sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"r{i}"))) for i in range(1, 4)), F.bit_count(F.col("s0").bitwiseXOR(F.col("r0")))) <= limit
+
+
+def near_neighbours(df: DataFrame, id_col: str, vector_col: str, k: int = 5, radius: float = 0.40, hashing: Hashing = Hashing(), block_rows: int = BLOCK_ROWS, dim: int | None = None) -> DataFrame:
     """The k nearest of every vector among those its hash tables reach: (id, neighbour, distance, rank).
 
     Valid vectors have the table's most frequent length, finite components and are not all zero; others take no part,
     nor do null ids; ids are taken as unique. Distances are Euclidean between unit vectors in double precision, ties go
-    to the smaller id. Copies are neighbours at distance 0. A candidate set larger than ``block_rows`` is cut into
-    blocks and every pair of blocks is a task's group, so nothing is capped. Close neighbours (here within 0.4) are found
-    with near certainty; vectors without close ones may come out with fewer than k rows or none: see ``all_neighbours``.
-    With ``dim`` the vectors are packed ones of that length, all valid.
+    to the smaller id. Copies are neighbours at distance 0. A pair met in a bucket counts as a candidate unless its sign
+    sketches differ by seven deviations more than those of vectors ``radius`` apart do on average, so what is within
+    ``radius`` isn't dropped. Nothing is capped: a place of more than ``block_rows`` vectors is cut into blocks, every
+    pair of blocks is a task's group, and a visitor meets every block. Vectors with fewer than k others near them may
+    come out with fewer than k rows or none: see ``all_neighbours``. With ``dim`` the vectors are packed ones of that
+    length, all valid.
     """
     source = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
     id_type, is_packed = source.schema["id"].dataType.simpleString(), dim is not None
     dim = dim if is_packed else usual_length(source, "v")
-    key_schema = f"key bigint, id {id_type}"
-    stored = map_arrow(source, partial(_keys, dim=dim, h=hashing, probes=0), key_schema).groupBy("key").agg(F.min("id").alias("mate"))
-    looked = map_arrow(source, partial(_keys, dim=dim, h=hashing, probes=hashing.probes), key_schema)
-    links = looked.join(stored, "key").where("id <> mate").select("id", "mate").distinct()
-    signs = map_arrow(source, partial(_signs, dim=dim, h=hashing), f"id {id_type}, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
-    other = signs.select(F.col("id").alias("mate"), *[F.col(f"s{i}").alias(f"r{i}") for i in range(4)])
-    apart = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"r{i}"))) for i in range(1, 4)), F.bit_count(F.col("s0").bitwiseXOR(F.col("r0"))))
-    links = links.join(signs, "id").join(other, "mate").where(apart <= hashing.bits).select("id", "mate")
-    sets = components(links, "id", "mate")
-    sizes = sets.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
-    members = sets.join(sizes, "component")
-    vectors = (source if is_packed else map_arrow(source, partial(_pack, dim=dim), f"id {id_type}, v binary")).join(members, "id")
+    keys = lambda probes: map_arrow(source, partial(_keys, dim=dim, h=hashing, probes=probes), f"key bigint, id {id_type}")
+    signs = stage(map_arrow(source, partial(_signs, dim=dim, h=hashing), f"id {id_type}, s0 bigint, s1 bigint, s2 bigint, s3 bigint"), "signs")
+    rows = signs.count()
+    theirs = signs.select(F.col("id").alias("mate"), *[F.col(f"s{i}").alias(f"r{i}") for i in range(4)])
+    close = _close_signs(sign_limit(radius))
+    first = keys(0).groupBy("key").agg(F.min("id").alias("mate"), F.count(F.lit(1)).alias("n"))
+    asked = rows * hashing.tables * (1 + hashing.probes)
+    met = stage(keys(hashing.probes).join(first, "key").where("n > 1 or id <> mate").select("key", "id", "mate"), "met", shuffled=24 * asked)
+    links = met.where("id <> mate").select("id", "mate").distinct().join(signs, "id").join(theirs, "mate").where(close)
+    lead = stage(links.groupBy("id").agg(F.min("mate").alias("m")).select("id", F.least("id", "m").alias("leader")), "lead", shuffled=24 * asked)
+    jump = lead.select(F.col("id").alias("leader"), F.col("leader").alias("top"))
+    placed = signs.select("id").join(lead, "id", "left").select("id", F.coalesce("leader", "id").alias("leader")).join(jump, "leader", "left").select("id", F.coalesce("top", "leader").alias("leader"))
+    placed = stage(placed, "placed", shuffled=16 * rows)
+    home = keys(0).join(placed, "id")
+    span = home.groupBy("key").agg(F.min("leader").alias("low"), F.max("leader").alias("high"))
+    strays = met.select("key", "id").join(placed, "id").join(span, "key").where("low <> leader or high <> leader").select("key", "id", "leader")  # a bucket of the own place only has nothing to visit
+    hosts = home.select("key", F.col("id").alias("mate"), F.col("leader").alias("host"))
+    visits = strays.join(signs, "id").join(hosts.join(theirs, "mate"), "key").where((F.col("host") != F.col("leader")) & close).select("id", F.col("host").alias("leader")).distinct()
+    visits = stage(visits, "visits", shuffled=48 * asked)
+    sizes = placed.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).join(visits.select("leader").distinct().withColumn("visited", F.lit(True)), "leader", "left")
+    places = sizes.where("n > 1 or visited").select("leader", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    rows = vectors.select("id", "v", "component", F.explode(block_pairs(block, F.col("blocks"))).alias("p")).select("id", "v", "component", "p.left", "p.right", "p.is_left")
-    out = rows.groupBy("component", "left", "right").applyInArrow(lambda t: _rank(t, dim, k), f"id {id_type}, neighbour {id_type}, distance double")
-    return _best(out, k)
+    alone = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(j.alias("left"), j.alias("right"), F.lit(True).alias("is_left")))
+    stay = placed.join(places, "leader").select("id", "leader", F.explode(block_pairs(block, F.col("blocks"))).alias("p"), F.lit(False).alias("visits"))
+    come = visits.join(places, "leader").select("id", "leader", F.explode(alone).alias("p"), F.lit(True).alias("visits"))
+    seats = stay.unionByName(come).select("id", "leader", "p.left", "p.right", "p.is_left", "visits")
+    vectors = source if is_packed else map_arrow(source, partial(_pack, dim=dim), f"id {id_type}, v binary")
+    out = vectors.join(seats, "id").groupBy("leader", "left", "right").applyInArrow(lambda t: _rank(t, dim, k), f"id {id_type}, neighbour {id_type}, distance double")
+    return _best(stage(out, "near", shuffled=(4 * dim + 40) * rows), k)
 
 
 def _exact(q: np.ndarray, i: np.ndarray, x: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -229,7 +262,7 @@ def all_neighbours(df: DataFrame, id_col: str, vector_col: str, k: int = 5, sure
     dim, kind = usual_length(source, "v"), source.schema["id"].dataType
     schema = f"id {kind.simpleString()}, neighbour {kind.simpleString()}, distance double"
     vectors = stage(map_arrow(source, partial(_pack, dim=dim), f"id {kind.simpleString()}, v binary"), "vectors", "zstd")
-    near = stage(near_neighbours(vectors, "id", "v", k, hashing, dim=dim), "near")
+    near = stage(near_neighbours(vectors, "id", "v", k, sure, hashing, dim=dim), "near")
     done = near.where(F.col("distance") <= sure).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("id")
     short = stage(vectors.join(done, "id", "left_anti").select("id"), "short")
     rows, asked = vectors.count(), short.count()
