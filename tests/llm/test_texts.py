@@ -2,7 +2,7 @@ import math
 import random
 import re
 from collections import Counter
-from itertools import combinations, groupby
+from itertools import combinations, groupby, product
 from unicodedata import category
 
 import numpy as np
@@ -16,7 +16,7 @@ from quillhawk.llm.distinctive import adjust, ln_upper_tail, term_scores
 from quillhawk.llm.frequencies import mark_frequencies, ngram_frequencies
 from quillhawk.llm.leakage import Automaton, clean_documents, leaked_items, leaked_spans
 from quillhawk.llm.nearduplicates import masks, near_duplicates, radius
-from quillhawk.llm.spam import first_model, label, spam_pages
+from quillhawk.llm.spam import LABELS, LEVELS, STATES, first_model, fit, label, label_alone, spam_pages, units
 from quillhawk.llm.splitting import cut, split_oversized
 from quillhawk.llm.textarrays import tokens
 
@@ -198,30 +198,79 @@ def test_leaks(spark):
     assert leaked_spans(d.limit(0), "doc_id", "text", i, "item_id", "text").count() == 0
 
 
-def test_viterbi_equals_enumeration():
-    from itertools import product
-
-    rng, m = np.random.default_rng(1), first_model()
-    lengths = np.array([3, 0, 4, 1])
-    obs = np.stack([rng.integers(0, 5, 8), rng.integers(0, 5, 8), rng.integers(0, 2, 8)], axis=1)
-    got = label(m, obs, lengths)
+def common_words():
+    return np.unique(tokens(["the a an of in and to was it is with for on under"]).hash)
+
+
+def named(states):
+    return [LABELS.index(STATES[x]) for x in states]
+
+
+def corpus(rng):
+    noun = [a + b for a in ("ka", "lo", "mi", "ru", "te", "vo") for b in ("bel", "dan", "fir", "gos", "lum", "nar", "pex")]
+    sentence = lambda: "The %s of the %s was in a %s." % tuple(rng.sample(noun, 3))
+    link = lambda: f"* [{rng.choice(noun)} {rng.choice(noun)}](https://{rng.choice(noun)}.test/{rng.choice(noun)})"
+    title = lambda: f"{rng.choice(noun).title()} {rng.choice(noun).title()}"
+    pages = [" ".join(sentence() for _ in range(12)) for _ in range(60)]
+    pages += ["\n".join(link() if rng.random() < 0.7 else title() for _ in range(20)) for _ in range(15)]
+    pages += [", ".join(rng.choice(noun[:3]) + " " + rng.choice(noun[:3]) for _ in range(80)) for _ in range(15)]
+    pages += [" | ".join(title() for _ in range(30)) for _ in range(15)]
+    pages += ["\n".join(sentence() if rng.random() < 0.9 else title() for _ in range(12)) for _ in range(20)]
+    return pages
+
+
+def test_context_decides_what_a_line_is():
+    """The same bare title is prose between sentences and part of a list between links; without the chain it is one thing."""
+    u = units(corpus(random.Random(4)), common_words())
+    model = fit(first_model(), u.signs, u.length)
+    said, link, bare = "The kabel of the lodan was in a mifir.", "* [rugos tedan](https://vonar.test/kapex)", "Milum Ruvos"
+    pages = [[said] * 4 + [bare] + [said] * 4, [link] * 4 + [bare] + [link] * 4]
+    found = [units(["\n".join(p)], common_words()) for p in pages]
+    chained = [named(label(model, x.signs, x.length)) for x in found]
+    alone = [named(label_alone(model, x.signs)) for x in found]
+    assert chained == [[0] * 9, [1] * 9]
+    assert alone[0][4] == alone[1][4]
+    assert any(c != a for c, a in zip(chained, alone))
+    # order matters: the same lines, dealt in turn, leave the bare lines without a context of their own kind
+    mixed = units(["\n".join([said, bare, link, bare, said, bare, link])], common_words())
+    sorted_ = units(["\n".join([said, said, link, link, bare, bare, bare])], common_words())
+    assert sorted(named(label(model, mixed.signs, mixed.length))) != sorted(named(label(model, sorted_.signs, sorted_.length)))
+
+
+def test_estimation_changes_labels():
+    u = units(corpus(random.Random(5)), common_words())
+    first = first_model()
+    model = fit(first, u.signs, u.length)
+    assert named(label(first, u.signs, u.length)) != named(label(model, u.signs, u.length))
+    page = np.repeat(np.arange(len(u.length)), u.length)
+    share = np.array([np.mean(np.array(named(label(model, u.signs, u.length)))[page == i] == 0) for i in range(len(u.length))])
+    assert (share[:60] > 0.9).all() and (share[60:105] < 0.5).all() and (share[105:] > 0.9).all()
+
+
+def test_labels_are_the_best_path():
+    rng = np.random.default_rng(0)
+    model = fit(first_model(), np.stack([rng.integers(0, n, 200) for n in LEVELS], axis=1), np.array([50, 0, 100, 50]), rounds=3)
+    length = np.array([3, 0, 4, 1])
+    signs = np.stack([rng.integers(0, n, 8) for n in LEVELS], axis=1)
+    got = label(model, signs, length)
     at = 0
-    for n in lengths:
-        part = obs[at : at + n]
-
-        def score(path, part=part):
-            s = 0.0
-            for t, z in enumerate(path):
-                s += np.log(m.start[z] if t == 0 else m.step[path[t - 1], z]) + sum(np.log(sign[z, part[t, c]]) for c, sign in enumerate(m.signs))
-            return s
-
+    for n in length:
+        def score(path):
+            out = np.log(model.start[path[0]]) + sum(np.log(model.step[a, b]) for a, b in zip(path, path[1:]))
+            return out + sum(np.log(t[s, signs[at + i, j]]) for i, s in enumerate(path) for j, t in enumerate(model.signs))
         if n:
-            best = max(product(range(4), repeat=int(n)), key=score)
+            best = max(product(range(len(STATES)), repeat=int(n)), key=score)
             assert score(tuple(got[at : at + n])) == pytest.approx(score(best))
         at += n
 
 
-PROSE = "The quiet scene of the city was exported to the figure, but nobody went to the stadium with it. "
+@given(st.lists(TEXT, max_size=6))
+@settings(max_examples=40, deadline=None)
+def test_units_of_any_text(texts):
+    u = units(texts, common_words())
+    assert len(u.length) == len(texts) and u.length.sum() == len(u.chars) == len(u.words) == len(u.signs)
+    assert (u.signs >= 0).all() and (u.signs < np.array(LEVELS)).all()
+    assert [n > 0 for n in u.length] == [bool(re.sub("[\u00ad\u200b\u200c\u200d\ufeff]", "", t).strip()) for t in texts]
 
 
 def test_spam(spark):
