@@ -206,7 +206,7 @@ def named(states):
     return [LABELS.index(STATES[x]) for x in states]
 
 
-def corpus(rng):
+def spam_corpus(rng):
     noun = [a + b for a in ("ka", "lo", "mi", "ru", "te", "vo") for b in ("bel", "dan", "fir", "gos", "lum", "nar", "pex")]
     sentence = lambda: "The %s of the %s was in a %s." % tuple(rng.sample(noun, 3))
     link = lambda: f"* [{rng.choice(noun)} {rng.choice(noun)}](https://{rng.choice(noun)}.test/{rng.choice(noun)})"
@@ -221,7 +221,7 @@ def corpus(rng):
 
 def test_context_decides_what_a_line_is():
     """The same bare title is prose between sentences and part of a list between links; without the chain it is one thing."""
-    u = units(corpus(random.Random(4)), common_words())
+    u = units(spam_corpus(random.Random(4)), common_words())
     model = fit(first_model(), u.signs, u.length)
     said, link, bare = "The kabel of the lodan was in a mifir.", "* [rugos tedan](https://vonar.test/kapex)", "Milum Ruvos"
     pages = [[said] * 4 + [bare] + [said] * 4, [link] * 4 + [bare] + [link] * 4]
@@ -238,7 +238,7 @@ def test_context_decides_what_a_line_is():
 
 
 def test_estimation_changes_labels():
-    u = units(corpus(random.Random(5)), common_words())
+    u = units(spam_corpus(random.Random(5)), common_words())
     first = first_model()
     model = fit(first, u.signs, u.length)
     assert named(label(first, u.signs, u.length)) != named(label(model, u.signs, u.length))
@@ -273,6 +273,9 @@ def test_units_of_any_text(texts):
     assert [n > 0 for n in u.length] == [bool(re.sub("[\u00ad\u200b\u200c\u200d\ufeff]", "", t).strip()) for t in texts]
 
 
+PROSE = "The quiet scene of the city was exported to the figure, but nobody went to the stadium with it. "
+
+
 def test_spam(spark):
     pages = [
         (1, PROSE * 6), (2, "cheap shoes, best shoes, shoes sale, buy shoes, " * 12), (3, "* [red hat](https://a-shop.test/x)\n" * 12), (4, "#red #blue #hat12 #coat #shoe9 " * 10),
