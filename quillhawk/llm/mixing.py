@@ -1,8 +1,10 @@
 """Sources mixed to target weights of tokens, by hierarchical budgets and seeded epochs.
 
-The budget of all tokens flows down a domain, language, source tree in proportion to the weights. What a source cannot
-supply within its repeats goes to its siblings first and to the rest of the tree only when their parent is exhausted.
-Each source then gives whole epochs of its documents and a seeded prefix of one more.
+A leaf is what one source has in one domain and language, by its documents' own category and language; a source's weight
+is divided among its leaves by their size. The budget of all tokens flows down the domain, language, source tree in
+proportion to the weights. What a leaf cannot supply within its repeats goes to its siblings, the other sources of the same
+domain and language, then to the domain's other languages, and to other domains only when the domain is exhausted. Each
+leaf then gives whole epochs of its documents and a seeded prefix of one more.
 """
 
 from __future__ import annotations
@@ -16,9 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillhawk.llm.selection import seeded_hash, take_prefix
-from quillhawk.runtime import map_arrow, stage
+from quillhawk.runtime import map_arrow, ship_file, shipped, stage
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+_SEP = "\u001f"
 #: Pre-tokenisation of the byte-level vocabulary: a fixed value that goes with the file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -32,18 +35,21 @@ def _encoding(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _sizes(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    encode = _encoding(path).encode_ordinary
+def _sizes(batches: Iterable[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
+    encode = _encoding(shipped(name)).encode_ordinary
     for b in batches:
         sizes = [len(encode(t)) if t else 0 for t in b.column("__text").to_pylist()]
         yield b.drop_columns(["__text"]).append_column("tokens", pa.array(sizes, pa.int64()))
 
 
 def count_tokens(df: DataFrame, text_col: str, keep: list[F.Column], path: str = VOCABULARY) -> DataFrame:
-    """The ``keep`` columns and ``tokens``, the length of the text in tokens of a public vocabulary; null texts have none."""
+    """The ``keep`` columns and ``tokens``, the length of the text in tokens of a public vocabulary; null texts have none.
+
+    The vocabulary file is read on the driver and sent to the executors through the shared folder.
+    """
     source = df.select(*keep, F.col(text_col).alias("__text"))
     schema = source.drop("__text").schema
-    return map_arrow(source, partial(_sizes, path=path), schema.add("tokens", "long"))
+    return map_arrow(source, partial(_sizes, name=ship_file(df.sparkSession, path)), schema.add("tokens", "long"))
 
 
 def fill(amount: float, weights: list[float], capacity: list[float]) -> list[float]:
@@ -87,6 +93,10 @@ def budgets(leaves: list[tuple[tuple[str, ...], float, float]], amount: float) -
     return out
 
 
+def _used_up(planned: float, most: float) -> bool:
+    return planned >= most * (1 - 1e-12)
+
+
 def _name(c: F.Column) -> F.Column:
     return F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
 
@@ -97,9 +107,11 @@ def mix_sources(docs: DataFrame, id_col: str, text_col: str, source_col: str, do
     ``targets`` has (source, weight, max_repeats), one row per source; sources are compared trimmed and in lower case.
     Returns (doc_id, source, tokens, uses) of the documents of the named sources, unused ones with 0, and the report
     (source, weight, max_repeats, documents, size, target, planned, used, share, short): ``target`` is weight times the
-    size of all documents of named sources, ``short`` says that max_repeats times the source's size is below it. A
-    source's domain and language are those of most of its documents. Null ids and null sources take no part, null texts
-    have size 0, repeated rows count each, a source named twice counts by its first row, absent sources have size 0.
+    size of all documents of named sources, ``planned`` the budget its leaves got, ``short`` says that all its leaves are
+    used up to ``max_repeats`` and their budget is still below the target. A document's domain and language are its own
+    (trimmed, lower case, two letters of the language; null counts as a value). Null ids and null sources take no part,
+    null texts have size 0, repeated rows count each, a source named twice counts by its first row, absent sources have
+    size 0 and leave their weight to the whole tree.
     """
     spark = docs.sparkSession
     wanted: dict[str, tuple[float, int]] = {}
@@ -107,26 +119,34 @@ def mix_sources(docs: DataFrame, id_col: str, text_col: str, source_col: str, do
         wanted.setdefault(r.s, (float(r.weight or 0), int(r.max_repeats or 0)))
     keep = [F.col(id_col).alias("doc_id"), _name(F.col(source_col)).alias("source"), F.coalesce(_name(F.col(domain_col)), F.lit("")).alias("domain"), F.coalesce(F.substring(_name(F.col(lang_col)), 1, 2), F.lit("")).alias("lang")]
     named = docs.where(F.col(id_col).isNotNull() & _name(F.col(source_col)).isin(list(wanted)))
-    sized = stage(count_tokens(named, text_col, keep, vocabulary), "sizes")
-    by = sized.groupBy("source", "domain", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens"))
-    top = by.groupBy("source").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"), F.max_by("domain", F.struct("n", "domain")).alias("domain"), F.max_by("lang", F.struct("n", "lang")).alias("lang"))
-    found = {r.source: r for r in top.collect()}  # one row a named source
+    sized = stage(count_tokens(named, text_col, keep, vocabulary).withColumn("leaf", F.concat_ws(_SEP, "domain", "lang", "source")), "sizes")
+    found = [r for r in sized.groupBy("domain", "lang", "source", "leaf").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens")).collect()]  # one row a leaf
+    found.sort(key=lambda r: r.leaf)
     names = list(wanted)
-    size = [int(found[s].tokens) if s in found else 0 for s in names]
-    whole = sum(size)
-    leaves = [((found[s].domain, found[s].lang, s) if s in found else ("", "", s), wanted[s][0], float(size[i] * wanted[s][1])) for i, s in enumerate(names)]
+    docs_of, size_of = dict.fromkeys(names, 0), dict.fromkeys(names, 0)
+    for r in found:
+        docs_of[r.source] += r.n
+        size_of[r.source] += r.tokens
+    whole = sum(size_of.values())
+    leaves = [((r.domain, r.lang, r.source), wanted[r.source][0] * r.tokens / size_of[r.source] if size_of[r.source] else 0.0, float(r.tokens * wanted[r.source][1])) for r in found]
+    leaves += [((_SEP + s,), wanted[s][0], 0.0) for s in names if not size_of[s]]  # a domain of its own with nothing in it
     plan = budgets(leaves, float(whole))
-    epochs = [min(wanted[s][1], int(b // z)) if z else 0 for s, b, z in zip(names, plan, size)]
-    rest = {s: b - e * z for s, b, e, z in zip(names, plan, epochs, size) if z and e < wanted[s][1]}
-    used = take_prefix(sized.withColumn("__h", seeded_hash(seed, "doc_id")), "source", "__h", "doc_id", "tokens", {s: x for s, x in rest.items() if x > 0})
-    base = F.create_map(*[x for s, e in zip(names, epochs) for x in (F.lit(s), F.lit(e))]) if names else None
-    whole_epochs = F.coalesce(F.try_element_at(base, F.col("source")), F.lit(0)) if names else F.lit(0)
-    usage = stage(used.select("doc_id", "source", "tokens", (whole_epochs + F.col("taken").cast("int")).alias("uses")), "usage")
+    epochs, rest, planned = {}, {}, dict.fromkeys(names, 0.0)
+    for r, budget in zip(found, plan):
+        most = wanted[r.source][1]
+        planned[r.source] += budget
+        epochs[r.leaf] = min(most, int(budget / r.tokens + 1e-9)) if r.tokens else 0
+        if r.tokens and epochs[r.leaf] < most and budget > epochs[r.leaf] * r.tokens:
+            rest[r.leaf] = budget - epochs[r.leaf] * r.tokens
+    used = take_prefix(sized.withColumn("__h", seeded_hash(seed, "doc_id")), "leaf", "__h", "doc_id", "tokens", rest)
+    base = spark.createDataFrame(list(epochs.items()) or [("", 0)], "leaf string, __epochs int")  # one row a leaf
+    usage = used.join(F.broadcast(base), "leaf", "left").select("doc_id", "source", "tokens", (F.coalesce("__epochs", F.lit(0)) + F.col("taken").cast("int")).alias("uses"))
+    usage = stage(usage, "usage")
     reached = {r.source: r.used for r in usage.groupBy("source").agg(F.sum(F.col("uses") * F.col("tokens")).alias("used")).collect()}  # one row a source
     total = sum(reached.values()) or 1
     report = [
-        (s, wanted[s][0], wanted[s][1], int(found[s].n) if s in found else 0, z, wanted[s][0] * whole, b, int(reached.get(s, 0)), reached.get(s, 0) / total, wanted[s][1] * z < wanted[s][0] * whole)
-        for s, z, b in zip(names, size, plan)
+        (s, wanted[s][0], wanted[s][1], docs_of[s], size_of[s], wanted[s][0] * whole, planned[s], int(reached.get(s, 0)), reached.get(s, 0) / total, _used_up(planned[s], wanted[s][1] * size_of[s]) and planned[s] < wanted[s][0] * whole)
+        for s in names
     ]
     schema = "source string, weight double, max_repeats int, documents bigint, size bigint, target double, planned double, used bigint, share double, short boolean"
     return usage, spark.createDataFrame(report, schema)
