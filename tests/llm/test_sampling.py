@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillhawk.llm.mixing import budgets, fill, mix_sources
-from quillhawk.llm.proportional import Target, clean_labels, plan_counts, proportional_sample
+from quillhawk.llm.proportional import Target, clean_labels, plan_counts, proportional_sample, random_start
 from quillhawk.llm.selection import seeded_hash, take_prefix
 
 
@@ -32,6 +32,34 @@ def test_floors_and_two_attributes():
     assert got.tolist() == [7, 3]
 
 
+def test_start_is_random_and_holds_floors():
+    available, member, floor = np.array([500, 40, 3, 200]), np.eye(4), np.array([0.0, 20.0, 5.0, 10.0])
+    starts = [random_start(available, member, np.minimum(floor, available), 100, np.random.default_rng(s)) for s in range(40)]
+    for x in starts:
+        assert x.sum() == 100 and (x <= available).all() and x[1] >= 20 and x[2] == 3 and x[3] >= 10
+    assert len({tuple(x) for x in starts}) > 20
+    mean = np.mean([random_start(np.array([600, 300, 100]), np.eye(3), np.zeros(3), 100, np.random.default_rng(s)) for s in range(300)], axis=0)
+    assert mean == pytest.approx([60, 30, 10], abs=2)
+    assert random_start(np.array([2_000_000_000, 10]), np.eye(2), np.array([0.0, 4.0]), 1000, np.random.default_rng(1)).sum() == 1000
+
+
+def test_many_signatures_end_at_a_point_no_exchange_improves():
+    rng = np.random.default_rng(3)
+    available = rng.integers(0, 30, 150)
+    member = np.zeros((150, 15))
+    for i in range(3):
+        member[np.arange(150), 5 * i + rng.integers(0, 5, 150)] = 1
+    target = np.concatenate([rng.dirichlet(np.ones(5)) * 300 for _ in range(3)])
+    got = plan_counts(available, member, target, np.zeros(15), 300, 5)
+    now = ((got @ member - target) ** 2).sum()
+    for u in np.flatnonzero(got > 0):
+        for v in np.flatnonzero(got < available):
+            x = got.copy()
+            x[u] -= 1
+            x[v] += 1
+            assert ((x @ member - target) ** 2).sum() >= now - 1e-9
+
+
 def test_sample_and_report(spark):
     rows = [(i, "a") for i in range(60)] + [(100 + i, "b") for i in range(30)] + [(200 + i, None) for i in range(9)] + [(None, "a")]
     df = spark.createDataFrame(rows, "id int, genre string").withColumns({"taken": F.lit(1), "n": F.lit(2), "__h": F.lit(3)})
