@@ -8,6 +8,7 @@ signature.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -125,7 +126,7 @@ def proportional_sample(df: DataFrame, id_col: str, targets: dict[str, list[Targ
     the sample size and the floor; ``short`` says that the sample holds all rows of the category and still fewer. Rows whose value in some category column is null
     or has no target count for the size but are not drawn; rows with a null id are not drawn either. Repeated ids are
     rows of their own. An empty table gives an empty sample and a report of zeros. If targets cannot be met, the nearest
-    sample of full size is taken.
+    sample of full size is taken; if the floors need more than that size, the sample is as large as they need.
     """
     spark = df.sparkSession
     names = list(targets)
@@ -143,7 +144,8 @@ def proportional_sample(df: DataFrame, id_col: str, targets: dict[str, list[Targ
     size = fraction * everything
     available = np.array([n for _, n in sigs], dtype=np.int64)
     member = np.array([[float(s[i] == t.category) for i, t in flat] for s, _ in sigs], dtype=np.float64).reshape(len(sigs), len(flat))
-    drawn = round(size)
+    needs = [min(float(t.floor), float(available @ member[:, j])) for j, (_, t) in enumerate(flat)]
+    drawn = max([round(size), *(math.ceil(sum(x for x, (k, _) in zip(needs, flat) if k == i)) for i in range(len(names)))])
     target = np.array([t.share * min(drawn, available.sum()) for _, t in flat])
     count = plan_counts(available, member, target, np.array([t.floor for _, t in flat], dtype=np.float64), drawn, seed)
     budgets = {_SEP.join(s): float(k) for (s, _), k in zip(sigs, count)}

@@ -46,7 +46,7 @@ def p1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share reached per genre, and the genres that fell short."""
-    return _genre_sample(spark, sf_dir)[1]
+    return _genre_sample(spark, sf_dir)[1].withColumns({"needed": F.round("needed", 6), "share": F.round("share", 6)})
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every distinct term of every text record."""
-    return term_scores(_texts(spark, sf_dir), "id", "content")
+    return term_scores(_texts(spark, sf_dir), "id", "content").drop("p_value").withColumn("score", F.round("score", 2))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +106,16 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(_texts(spark, sf_dir), "id", "content", 800, 80)
 
 
+def p6_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every split record: no piece over 800 characters, no overlap over 80, and all letters and digits kept."""
+    own = F.substring("text", F.col("overlap") + 1, F.length("text"))
+    per = p6_pieces(spark, sf_dir).groupBy("id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", own.alias("own")))), lambda p: p["own"]), "").alias("whole"),
+        (F.max(F.length("text")) <= 800).alias("within_limit"), (F.max("overlap") <= 80).alias("within_overlap"), F.max("stop").alias("chars"), F.min("kind").alias("kind"),
+    )  # a record's pieces are as large as the record
+    return per.select("id", "chars", "kind", "within_limit", "within_overlap", F.md5(F.regexp_replace("whole", r"[^\p{L}\p{N}]", "")).alias("kept"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records over 800 characters, and whether natural boundaries suffice."""
     return p6_pieces(spark, sf_dir).where("piece = 0").select("id", "kind")
@@ -186,7 +196,7 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items, leaked items and their share, per task."""
     items = _table(spark, sf_dir, "eval_items").select("item_id", "task")
     leaked = _spans(spark, sf_dir).groupBy("item_id").agg(F.lit(1).alias("hit"))
-    return items.join(leaked, "item_id", "left").groupBy("task").agg(F.count(F.lit(1)).alias("items"), F.count("hit").alias("leaked"), F.avg(F.coalesce("hit", F.lit(0))).alias("share"))
+    return items.join(leaked, "item_id", "left").groupBy("task").agg(F.count(F.lit(1)).alias("items"), F.count("hit").alias("leaked"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("share"))
 
 
 def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Cutting long texts into pieces under a limit, at natural boundaries, with a bounded overlap.
 
 The least number of pieces gives equally spaced targets; each target snaps to the strongest boundary nearby (paragraph,
-then sentence; words and single characters only inside a stretch that is itself over the limit). While a piece is too
-long another piece is added; when the targets cannot be met the cuts are taken greedily, which always succeeds.
+then sentence; words and single characters only inside a stretch that is itself over the limit). Where a piece is still
+too long, or leaves no room for the overlap, pieces are added within its stretch in the same way until none is.
 """
 
 from __future__ import annotations
@@ -64,39 +64,34 @@ def cut(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, int, int]]
         return [(0, n, -1)], False
     cuts, hard = _all_cuts(text, boundaries(text), limit)
     starts = [c[0] for c in cuts]
-    room = max(1, limit - overlap)
-    least = -(-n // room)
-
-    def fits(chosen: list[tuple[int, int, int]]) -> bool:
-        at = 0
-        for a, b, _ in chosen:
-            if a - at > limit:
-                return False
-            at = b
-        return n - at <= limit
-
-    best = None
-    for pieces in range(least, least + 4):
-        chosen, at = [], 0
+    chosen: list[tuple[int, int, int]] = []
+    room = limit - overlap
+
+    def place(low: int, high: int, pieces: int) -> list[tuple[int, int, int]]:
+        """Cuts near the equal targets of ``pieces`` pieces of the text from low to high."""
+        found, at, width = [], low, (high - low) / pieces
         for i in range(1, pieces):
-            target, reach = i * n / pieces, n / pieces / 2
-            lo, hi = bisect.bisect_right(starts, max(at, target - reach)), bisect.bisect_left(starts, target + reach)
-            if lo >= hi:
+            target = low + i * width
+            a, b = bisect.bisect_right(starts, max(at, target - width / 2)), bisect.bisect_left(starts, min(high, target + width / 2))
+            if a < b:
+                found.append(max(cuts[a:b], key=lambda c: (c[2], -abs(c[0] - target))))
+                at = found[-1][1]
+        return found
+
+    todo = [(0, n, 1 + -(-(n - limit) // room))]  # stretches from the end of a cut to the start of the next
+    while todo:
+        low, high, pieces = todo.pop()
+        found = place(low, high, pieces)
+        if not found:
+            if high - low <= limit:  # no boundary near: the piece stays and its overlap is shorter
                 continue
-            c = max(cuts[lo:hi], key=lambda c: (c[2], -abs(c[0] - target)))
-            chosen.append(c)
-            at = c[1]
-        if fits(chosen):
-            best = chosen
-            break
-    if best is None:
-        best, at = [], 0
-        while n - at > limit:
-            hi = bisect.bisect_right(starts, at + limit)
-            lo = bisect.bisect_right(starts, at)
-            c = cuts[hi - 1] if hi > lo else cuts[lo]
-            best.append(c)
-            at = c[1]
+            middle, a, b = (low + high) / 2, bisect.bisect_right(starts, low), bisect.bisect_left(starts, high)
+            found = [max(cuts[a:b], key=lambda c: (c[2] > CHAR, -abs(c[0] - middle)))]
+        chosen += found
+        for a, b in zip([low, *(c[1] for c in found)], [*(c[0] for c in found), high]):
+            if b - a > (limit if a == 0 else room):
+                todo.append((a, b, max(2, -(-(b - a) // room))))
+    best = sorted(chosen)
     out, at, before = [], 0, 0
     for a, b, s in [*best, (n, n, -1)]:
         start = at
@@ -120,8 +115,8 @@ def _split(batches: Iterable[pa.RecordBatch], limit: int, overlap: int, kind: pa
             text = (text or "").strip()
             if len(text) <= limit:
                 continue
-            parts, hard = cut(text, limit, overlap)
-            end = 0
+            parts, _ = cut(text, limit, overlap)
+            hard, end = any(s in (CHAR, WORD) for _, _, s in parts), 0
             for piece, (a, b, s) in enumerate(parts):
                 rows.append((i, piece, a, b, max(0, end - a), _NAMES[s] if s >= 0 else "end", "hard" if hard else "soft", text[a:b]))
                 end = b

@@ -115,6 +115,22 @@ def test_pieces(text, overlap):
         if m.group().count("\n") >= 2 or re.search(r"[.!?][\"')\]»”]?$", before):
             over, at = over or m.start() - at > limit, m.end()
     assert hard == (len(text) > limit and (over or len(text) - at > limit))
+    assert hard == any(s in (0, 1) for _, _, s in parts)
+
+
+def test_pieces_are_few_balanced_and_overlap():
+    rng = random.Random(8)
+    few = overlapping = later = 0
+    for _ in range(200):
+        words = [rng.choice(["word", "longer", "a", "sentences"]) + rng.choice(["", "", "", "."]) for _ in range(rng.randrange(150, 900))]
+        text = " ".join(words)
+        parts, _ = cut(text, 800, 80)
+        if len(text) > 800:
+            few += len(parts) == 1 + -(-(len(text) - 800) // 720)
+            ends = [b for _, b, _ in parts]
+            overlapping += sum(b > a for b, (a, _, _) in zip(ends, parts[1:]))
+            later += len(parts) - 1
+    assert few > 100 and overlapping > 0.95 * later
 
 
 def test_split_table(spark):
