@@ -1,5 +1,10 @@
 """Similarity clusters: hashed weighted features, distributed k-means with parallel oversampled seeding.
 
+Every component gets a weight from the share of rows that have it (as rare terms do), and the weighted components are
+hashed into half as many signed features or fewer. The clusters of ``cells`` and ``typical`` are those of k-means over
+these features, about the square root of the number of rows: their number grows with the data, and both the distances to
+centres and the pairs within cells grow with its power of 1.5 only.
+
 Seeding draws, in each of a few rounds, as many centres as wanted clusters with probability proportional to the squared
 distance from those drawn so far (one pass, every task keeps its own best draws), weighs the draws by the rows nearest to
 them and reduces them to k on the driver, whose work is bounded by k. The k-means cells then bound the search for close
@@ -9,7 +14,7 @@ pairs: rows meet those of their own cell, and those of every cell whose border i
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,35 +28,57 @@ from quillhawk.llm.textarrays import mix64
 from quillhawk.llm.vectors import BLOCK_ROWS, block_pairs, exact_squares, matrices, packed, unit, unpacked, usual_length
 from quillhawk.runtime import map_arrow, stage
 
-#: Rows per cell aimed at, and the most cells of one model.
-CELL_ROWS, MOST_CELLS = 100, 4096
-#: Most hashed features; vectors of fewer components keep theirs.
+#: Most hashed features.
 FEATURES = 512
 #: Parts of a cell by the hash of the id.
 _PARTS = 1 << 20
 
 
-def hashed_features(x: np.ndarray, features: int = FEATURES, weights: np.ndarray | None = None) -> np.ndarray:
-    """Weighted components hashed into at most ``features`` signed buckets, each divided by the root of its load.
+def feature_count(dim: int, most: int = FEATURES) -> int:
+    """The largest power of two below ``dim``, at least 1 and at most ``most``."""
+    return min(most, 1 << max(0, (max(dim, 1) - 1).bit_length() - 1))
 
-    The rows of this map are orthonormal, so with unit weights distances never grow; up to ``features`` components it is
-    the identity.
-    """
-    if weights is not None:
-        x = x * weights
-    dim = x.shape[1]
-    if dim <= features:
-        return x
+
+def component_weights(rows: int, held: np.ndarray) -> np.ndarray:
+    """Smoothed inverse row frequency of each component, the greatest being 1; ``held`` counts the rows with a non-zero value."""
+    w = np.log((1 + rows) / (1 + held)) + 1
+    return w / w.max() if len(w) else w
+
+
+@lru_cache(maxsize=8)
+def _hashing(dim: int, features: int) -> np.ndarray:
     h = mix64(np.arange(dim, dtype=np.uint64))
-    bucket, sign = (h >> np.uint64(1)) % np.uint64(features), np.where(h & np.uint64(1), 1.0, -1.0)
-    load = np.bincount(bucket.astype(np.int64), minlength=features)
+    bucket, sign = ((h >> np.uint64(1)) % np.uint64(features)).astype(np.int64), np.where(h & np.uint64(1), 1.0, -1.0)
     m = np.zeros((dim, features))
-    m[np.arange(dim), bucket.astype(np.int64)] = sign / np.sqrt(load[bucket.astype(np.int64)])
-    return x @ m
+    m[np.arange(dim), bucket] = sign / np.sqrt(np.bincount(bucket, minlength=features)[bucket])
+    return m
+
+
+def hashed_features(x: np.ndarray, features: int, weights: np.ndarray) -> np.ndarray:
+    """Weighted components hashed into ``features`` signed buckets, each divided by the root of its load.
+
+    The columns of this map are orthonormal and no weight exceeds 1, so distances never grow.
+    """
+    return (x * weights) @ _hashing(x.shape[1], features)
+
+
+class Features:
+    """The map from raw rows to features, sent to the tasks."""
 
+    def __init__(self, dim: int, weights: np.ndarray) -> None:
+        self.width, self.weights = feature_count(dim), weights
 
-def _features(raw: np.ndarray) -> np.ndarray:
-    return hashed_features(unit(raw)).astype(np.float32)
+    def __call__(self, raw: np.ndarray) -> np.ndarray:
+        return hashed_features(unit(raw), self.width, self.weights).astype(np.float32)
+
+
+def _held(batches: Iterable[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
+    """Rows, and for each component the rows with a non-zero value: one row a task."""
+    rows, held = 0, np.zeros(dim, dtype=np.int64)
+    for _, raw in _parts(batches, dim):
+        rows += len(raw)
+        held += (raw != 0).sum(axis=0)
+    yield pa.RecordBatch.from_arrays([pa.array([rows]), pa.array([held.tolist()], pa.list_(pa.int64()))], names=["rows", "held"])
 
 
 def squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -70,12 +97,12 @@ def _parts(batches: Iterable[pa.RecordBatch], dim: int, rows: int = 2000) -> Ite
             yield some.column(0), unpacked(some.column(1), dim)
 
 
-def _draw(batches: Iterable[pa.RecordBatch], dim: int, shared, want: int, seed: int) -> Iterator[pa.RecordBatch]:
+def _draw(batches: Iterable[pa.RecordBatch], dim: int, features: Features, shared, want: int, seed: int) -> Iterator[pa.RecordBatch]:
     """The task's ``want`` smallest exponential variates of rate squared distance: together, a weighted draw."""
     centres = shared.value if shared else None
     held: list[tuple[np.ndarray, np.ndarray]] = []
     for ids, raw in _parts(batches, dim):
-        x = _features(raw)
+        x = features(raw)
         h = mix64(mix64(x.view(np.uint32).astype(np.uint64).sum(axis=1) + np.uint64(seed)) + np.asarray(ids.to_numpy(zero_copy_only=False).astype(np.int64)).view(np.uint64))
         u = ((h >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53
         rate = squares(x, centres).min(axis=1).astype(np.float64) if centres is not None else np.ones(len(x))
@@ -96,31 +123,34 @@ def _least(held: list[tuple[np.ndarray, np.ndarray]], want: int) -> tuple[np.nda
     return key[best], x[best]
 
 
-def _sums(batches: Iterable[pa.RecordBatch], dim: int, shared) -> Iterator[pa.RecordBatch]:
-    """Rows and vector sums of the cells that the task meets."""
+def _sums(batches: Iterable[pa.RecordBatch], dim: int, features: Features, shared) -> Iterator[pa.RecordBatch]:
+    """Rows, summed squared distances and vector sums of the cells that the task meets."""
     centres = shared.value
-    count, total = np.zeros(len(centres), dtype=np.int64), np.zeros(centres.shape)
+    count, total, far = np.zeros(len(centres), dtype=np.int64), np.zeros(centres.shape), np.zeros(len(centres))
     for _, raw in _parts(batches, dim):
-        x = _features(raw)
-        near = squares(x, centres).argmin(axis=1)
+        x = features(raw)
+        d = squares(x, centres)
+        near = d.argmin(axis=1)
+        far += np.bincount(near, weights=d[np.arange(len(near)), near], minlength=len(centres))
         order = np.argsort(near, kind="stable")
         cell, first = np.unique(near[order], return_index=True)
         total[cell] += np.add.reduceat(x[order], first, axis=0)
         count[cell] += np.diff(np.append(first, len(near)))
     met = np.flatnonzero(count)
-    yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(count[met]), packed(total[met]) if len(met) else pa.array([], pa.binary())], names=["cell", "rows", "v"])
+    yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(count[met]), pa.array(far[met]), packed(total[met]) if len(met) else pa.array([], pa.binary())], names=["cell", "rows", "far", "v"])
 
 
 def _add(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     count: dict[int, int] = {}
+    far: dict[int, float] = {}
     total: dict[int, np.ndarray] = {}
     for b in batches:
-        x = unpacked(b.column(2), width)
-        for c, n, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), x):
-            count[c] = count.get(c, 0) + n
+        x = unpacked(b.column(3), width)
+        for c, n, d, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), x):
+            count[c], far[c] = count.get(c, 0) + n, far.get(c, 0.0) + d
             total[c] = total[c] + v if c in total else v
     cells = sorted(count)
-    yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array([count[c] for c in cells], pa.int64()), packed(np.stack([total[c] for c in cells])) if cells else pa.array([], pa.binary())], names=["cell", "rows", "v"])
+    yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array([count[c] for c in cells], pa.int64()), pa.array([far[c] for c in cells], pa.float64()), packed(np.stack([total[c] for c in cells])) if cells else pa.array([], pa.binary())], names=["cell", "rows", "far", "v"])
 
 
 def _reduce(points: np.ndarray, weight: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -139,14 +169,20 @@ def _reduce(points: np.ndarray, weight: np.ndarray, k: int, seed: int) -> np.nda
     return points[chosen]
 
 
-def fit_kmeans(vectors: DataFrame, dim: int, k: int, rounds: int = 3, iterations: int = 1, seed: int = 11) -> np.ndarray:
-    """Centres of ``vectors`` (id, v packed) in hashed feature space, by seeding and Lloyd's steps over all rows."""
-    spark, width = vectors.sparkSession, min(dim, FEATURES)
+_SUMS = "cell bigint, rows bigint, far double, v binary"
+
+
+def fit_kmeans(vectors: DataFrame, dim: int, features: Features, k: int, rounds: int = 3, iterations: int = 10, settled: float = 0.01, seed: int = 11) -> np.ndarray:
+    """Centres of ``vectors`` (id, v packed) in feature space, by seeding and Lloyd's steps over all rows.
+
+    The steps end when the summed squared distances fall by less than the share ``settled``, or after ``iterations``.
+    """
+    spark, width = vectors.sparkSession, features.width
     share = spark.sparkContext.broadcast
     centres: np.ndarray | None = None
     for r in range(rounds + 1):
         want = k if r else 1
-        drawn = map_arrow(vectors, partial(_draw, dim=dim, shared=share(centres) if r else None, want=want, seed=seed + r), "key double, v binary")
+        drawn = map_arrow(vectors, partial(_draw, dim=dim, features=features, shared=share(centres) if r else None, want=want, seed=seed + r), "key double, v binary")
         got = drawn.orderBy("key").limit(want).toArrow()  # at most k centres
         new = unpacked(got.column("v"), width).astype(np.float32)
         centres = new if centres is None else np.concatenate([centres, new])
@@ -154,30 +190,36 @@ def fit_kmeans(vectors: DataFrame, dim: int, k: int, rounds: int = 3, iterations
             break
     if not len(centres):
         return centres.reshape(0, width)
-    weight = np.zeros(len(centres))
-    for r in map_arrow(vectors, partial(_sums, dim=dim, shared=share(centres)), "cell bigint, rows bigint, v binary").groupBy("cell").agg(F.sum("rows").alias("n")).collect():  # one row a centre
-        weight[r.cell] = r.n
-    centres = _reduce(centres, weight, k, seed)
-    parts = max(1, min(64, len(centres) // 16))
+
+    def step() -> pa.Table:
+        sums = map_arrow(vectors, partial(_sums, dim=dim, features=features, shared=share(centres)), _SUMS)
+        parts = max(1, min(64, len(centres) // 16))
+        return map_arrow(sums.repartition(parts, "cell"), partial(_add, width=width), _SUMS).toArrow()  # one row a centre
+
+    weight, got = np.zeros(len(centres)), step()
+    weight[got.column("cell").to_numpy()] = got.column("rows").to_numpy()
+    centres, before = _reduce(centres, weight, k, seed), np.inf
     for _ in range(iterations):
-        sums = map_arrow(vectors, partial(_sums, dim=dim, shared=share(centres)), "cell bigint, rows bigint, v binary")
-        got = map_arrow(sums.repartition(parts, "cell"), partial(_add, width=width), "cell bigint, rows bigint, v binary").toArrow()  # one row a centre
-        if got.num_rows:
-            centres = centres.copy()
-            centres[got.column("cell").to_numpy()] = unpacked(got.column("v"), width) / got.column("rows").to_numpy()[:, None]
+        got = step()
+        centres = centres.copy()
+        centres[got.column("cell").to_numpy()] = unpacked(got.column("v"), width) / got.column("rows").to_numpy()[:, None]
+        now = float(got.column("far").to_numpy().sum())
+        if before - now < settled * now:
+            break
+        before = now
     return centres
 
 
-def _assign(batches: Iterable[pa.RecordBatch], dim: int, shared) -> Iterator[pa.RecordBatch]:
+def _assign(batches: Iterable[pa.RecordBatch], dim: int, features: Features, shared) -> Iterator[pa.RecordBatch]:
     """Each row with its cell and the distance from the centre."""
     for ids, raw in _parts(batches, dim):
-        d = squares(_features(raw), shared.value)
+        d = squares(features(raw), shared.value)
         cell = d.argmin(axis=1)
         yield pa.RecordBatch.from_arrays([ids, pa.array(cell), pa.array(np.sqrt(d[np.arange(len(cell)), cell].astype(np.float64))), packed(raw)], names=["id", "cell", "distance", "v"])
 
 
-def _light(batches: Iterable[pa.RecordBatch], dim: int, shared) -> Iterator[pa.RecordBatch]:
-    for b in _assign(batches, dim, shared):
+def _light(batches: Iterable[pa.RecordBatch], dim: int, features: Features, shared) -> Iterator[pa.RecordBatch]:
+    for b in _assign(batches, dim, features, shared):
         yield b.drop_columns(["v"])
 
 
@@ -230,12 +272,12 @@ def _members(files: list[str], low: int, high: int, part: int, parts: int) -> tu
     return some.column("id").to_numpy(), some.column("cell").to_numpy(), some.column("v")
 
 
-def _borders(batches: Iterable[pa.RecordBatch], dim: int, shared, block: tuple[list[str], int, int, int, int], radius: float, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _borders(batches: Iterable[pa.RecordBatch], dim: int, features: Features, shared, block: tuple[list[str], int, int, int, int], radius: float, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Links of rows to close members of other cells, a spanning forest for each part of rows and cell.
 
-    For x of cell c and y of cell e at most ``radius`` apart, the distances of x and y from the plane halfway between the
-    two centres add up to at most ``radius``, so one of them is within half of it: (|x-e|^2 - |x-c|^2) <= radius |c-e| for
-    x, or the like for y, which has its turn as a row.
+    In feature space x of cell c and y of cell e are at most ``radius`` apart if they are so by themselves, and the signed
+    distances of x and y from the plane halfway between the two centres add up to at most that, so one of them is within
+    half of it: (|x-e|^2 - |x-c|^2) <= radius |c-e| for x, or the like for y, which has its turn as a row.
     """
     centres, (m_ids, m_cell, m_packed) = shared.value, _members(*block)
     if not len(m_ids):
@@ -250,7 +292,7 @@ def _borders(batches: Iterable[pa.RecordBatch], dim: int, shared, block: tuple[l
             ids, own = some.column("id").to_numpy(zero_copy_only=False), some.column("cell").to_numpy()
             raw = unpacked(some.column("v"), dim)
             x = unit(raw)
-            gap = squares(_features(raw), centres[cells]) - some.column("distance").to_numpy()[:, None] ** 2
+            gap = squares(features(raw), centres[cells]) - some.column("distance").to_numpy()[:, None] ** 2
             enter = (gap <= (radius + 2e-3) * apart[own] + 1e-5) & (own[:, None] != cells)  # with room for single precision
             for c in np.flatnonzero(enter.any(axis=0)):
                 i = np.flatnonzero(enter[:, c])
@@ -269,20 +311,24 @@ def _borders(batches: Iterable[pa.RecordBatch], dim: int, shared, block: tuple[l
 class Clusters:
     """The k-means cells of a vector column and the clusters of close rows."""
 
-    def __init__(self, df: DataFrame, id_col: str, vector_col: str, cell_rows: int = CELL_ROWS, seed: int = 11) -> None:
+    def __init__(self, df: DataFrame, id_col: str, vector_col: str, cells: int | None = None, seed: int = 11) -> None:
         source = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
         self.dim, self.id_type = usual_length(source, "v"), source.schema["id"].dataType.simpleString()
         self.vectors = stage(map_arrow(source, partial(_pack, dim=self.dim), f"id {self.id_type}, v binary"), "vectors", "zstd")
-        self.rows = self.vectors.count()
-        k = max(1, min(MOST_CELLS, self.rows // cell_rows))
-        self.centres = fit_kmeans(self.vectors, max(self.dim, 1), k, seed=seed)
+        dim = max(self.dim, 1)
+        counted = map_arrow(self.vectors, partial(_held, dim=dim), "rows bigint, held array<bigint>").select("rows", F.posexplode("held").alias("at", "n"))
+        found = counted.groupBy("at").agg(F.sum("rows").alias("rows"), F.sum("n").alias("n")).orderBy("at").collect()  # one row a component
+        self.rows = found[0].rows if found else 0
+        self.features = Features(dim, component_weights(self.rows, np.array([r.n for r in found], dtype=np.float64)) if found else np.ones(dim))
+        k = max(1, cells or round(self.rows**0.5))
+        self.centres = fit_kmeans(self.vectors, dim, self.features, k, seed=seed)
         self.shared = df.sparkSession.sparkContext.broadcast(self.centres)
 
     def cells(self) -> DataFrame:
         """(id, cell, distance): every valid row with its cell and the distance from the centre."""
         if not self.rows:
             return self.vectors.select("id", F.lit(0).cast("bigint").alias("cell"), F.lit(0.0).alias("distance"))
-        return map_arrow(self.vectors, partial(_light, dim=self.dim, shared=self.shared), f"id {self.id_type}, cell bigint, distance double")
+        return map_arrow(self.vectors, partial(_light, dim=self.dim, features=self.features, shared=self.shared), f"id {self.id_type}, cell bigint, distance double")
 
     def typical(self, most: int = 5) -> DataFrame:
         """(cell, size, rank, id, distance): every cell's size and its ``most`` rows nearest to the centre."""
@@ -304,7 +350,7 @@ class Clusters:
         if not self.rows:
             return self.vectors.select("id", F.col("id").alias("cluster_id"))
         dim, link = self.dim, f"a {self.id_type}, b {self.id_type}"
-        rows = stage(map_arrow(self.vectors, partial(_assign, dim=dim, shared=self.shared), f"id {self.id_type}, cell bigint, distance double, v binary").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(_PARTS))), "assigned", "zstd")
+        rows = stage(map_arrow(self.vectors, partial(_assign, dim=dim, features=self.features, shared=self.shared), f"id {self.id_type}, cell bigint, distance double, v binary").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(_PARTS))), "assigned", "zstd")
         counts = sorted((r.cell, r.n) for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect())  # one row a cell
         many = spark.createDataFrame([(c, -(-n // block_rows)) for c, n in counts if n > 1], "cell bigint, blocks int")
         block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
@@ -312,6 +358,7 @@ class Clusters:
         links = pairs.groupBy("cell", "left", "right").applyInArrow(lambda t: _close(t, dim, radius), link)
         for found in self._between(rows, counts, radius, scan_rows, link) if len(counts) > 1 else []:
             links = links.unionByName(found)
+        links = stage(links, "close", shuffled=4 * dim * self.rows)
         return components(links, "a", "b").withColumnRenamed("component", "cluster_id")
 
     def _between(self, rows: DataFrame, counts: list[tuple[int, int]], radius: float, scan_rows: int, link: str) -> list[DataFrame]:
@@ -335,7 +382,7 @@ class Clusters:
             files = stage(rows.repartitionByRange("cell", "part").sortWithinPartitions("cell", "part"), "members", "zstd")
         files = files.inputFiles()
         slices = max(-(-self.rows // 200_000), -(-2 * spark.sparkContext.defaultParallelism // len(spans)))
-        return [map_arrow(rows.coalesce(slices), partial(_borders, dim=self.dim, shared=self.shared, block=(files, *x), radius=radius, kind=kind), link) for x in spans]
+        return [map_arrow(rows.coalesce(slices), partial(_borders, dim=self.dim, features=self.features, shared=self.shared, block=(files, *x), radius=radius, kind=kind), link) for x in spans]
 
 
 def similarity_clusters(df: DataFrame, id_col: str, vector_col: str) -> Clusters:

@@ -18,7 +18,7 @@ from quillhawk.llm.proportional import Target, clean_labels, proportional_sample
 from quillhawk.llm.spam import spam_pages
 from quillhawk.llm.splitting import split_oversized
 from quillhawk.llm.sql import oracle_sql  # noqa: F401
-from quillhawk.runtime import first_wins
+from quillhawk.runtime import first_wins, stage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -145,10 +145,10 @@ def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for m, df in _modalities(spark, sf_dir):
         model = similarity_clusters(df, "id", "embedding")
-        joined = model.close(0.40).join(model.cells(), "id")
-        w = Window.partitionBy("cluster_id")
-        rank = F.row_number().over(w.orderBy("distance", "id"))
-        parts.append((m, joined.withColumns({"size": F.count(F.lit(1)).over(w), "rank": rank}).where("rank <= 5").select("cluster_id", "size", "rank", "id", "distance")))
+        joined = stage(model.close(0.40).join(model.cells(), "id"), "clusters")
+        size = joined.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
+        rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy("distance", "id"))  # cut to five before the shuffle
+        parts.append((m, joined.withColumn("rank", rank).where("rank <= 5").join(size, "cluster_id").select("cluster_id", "size", "rank", "id", "distance")))
     return _by_modality(parts)
 
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillhawk.llm.clusters import Clusters, hashed_features, similarity_clusters
+from quillhawk.llm.clusters import Clusters, component_weights, feature_count, hashed_features, similarity_clusters
 from quillhawk.llm.neighbours import all_neighbours, near_neighbours, probe_sets, scan_neighbours
 from quillhawk.llm.vectors import packed, unpacked
 
@@ -39,10 +39,29 @@ def test_packing():
 
 def test_hashed_features_never_stretch():
     x = np.random.default_rng(0).normal(size=(30, 100))
-    assert hashed_features(x, 128) is x
-    y = hashed_features(x, 16)
+    weights = component_weights(50, np.random.default_rng(1).integers(0, 51, 100).astype(float))
+    assert weights.max() == 1 and weights.min() > 0
+    assert [feature_count(d) for d in (1, 2, 24, 116, 512, 4096)] == [1, 1, 16, 64, 256, 512]
+    y = hashed_features(x, 16, weights)
     assert y.shape == (30, 16)
     assert (np.linalg.norm(y[:, None] - y[None], axis=-1) <= np.linalg.norm(x[:, None] - x[None], axis=-1) + 1e-9).all()
+    assert not np.allclose(y, hashed_features(x, 16, np.ones(100)))
+
+
+def test_cells_follow_planted_groups(spark):
+    """Eight well separated groups become eight cells, each of one group, and typical members lie nearest the centre."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(8, 64))
+    x = np.concatenate([c + 0.1 * rng.normal(size=(50, 64)) for c in centres])
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "key int, v array<float>")
+    model = Clusters(df, "key", "v", cells=8)
+    cells = model.cells().collect()
+    held = {}
+    for r in cells:
+        held.setdefault(r.cell, []).append(r)
+    assert len(held) == 8 and all(len({r.id // 50 for r in rows}) == 1 for rows in held.values())
+    for r in model.typical(1).collect():
+        assert r.distance == min(m.distance for m in held[r.cell]) and r.size == 50
 
 
 def test_probes_are_distinct_and_consistent():
@@ -126,7 +145,7 @@ def test_steps_across_cell_borders(spark):
     x[:, 0], x[:, 1] = np.cos(angle), np.sin(angle)
     x[:, 2:] = 0.001 * np.random.default_rng(1).normal(size=(160, 510))
     df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "key int, v array<float>")
-    model = Clusters(df, "key", "v", cell_rows=10)
+    model = Clusters(df, "key", "v", cells=16)
     assert model.cells().select("cell").distinct().count() > 4
     for scan_rows in (10_000, 7):
         assert {r.id: r.cluster_id for r in model.close(0.4, scan_rows=scan_rows).collect()} == {i: 0 for i in range(160)}
