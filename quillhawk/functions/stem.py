@@ -5,8 +5,11 @@ from __future__ import annotations
 from functools import lru_cache
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillhawk.runtime import broadcast_if_small, ship, stage
+
 _VOWELS = {"english": "aeiouy", "spanish": "aeiouáéíóúü"}
 
 
@@ -200,6 +203,21 @@ def stem(word: str, language: str) -> str:
     return f(word) if f else word
 
 
+def stemmed(rows: DataFrame, term: str, language: str) -> DataFrame:
+    """``rows`` with stems for terms. Only the distinct terms go through Python; their stems are joined back."""
+    if language not in _STEMMERS:
+        return rows
+
+    @F.pandas_udf("string")
+    def run(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: None if w is None else stem(w, language))
+
+    ship(rows.sparkSession)
+    book = stage(rows.select(F.col(term).alias("__word")).where("__word is not null").distinct().withColumn("__stem", run("__word")), "stems")
+    joined = rows.join(broadcast_if_small(book, book.count()), F.col(term) == F.col("__word"), "left")
+    return joined.withColumn(term, F.col("__stem")).drop("__word", "__stem")
+
+
 def stem_tokens(column: F.Column, language: str) -> F.Column:
     """Stems of an array of tokens."""
     if language not in _STEMMERS:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillhawk.functions.vector import as_double, l2_distance
+from quillhawk.functions.vector import as_double
 from quillhawk.operators.tfidf import codebook_idf, tf_weight
+from quillhawk.runtime import map_arrow, stage
 
 
 def text_codebook(tf: DataFrame, items: int, top_k: int) -> DataFrame:
@@ -35,17 +41,47 @@ def dense(histogram: DataFrame, id_col: str, size: int) -> DataFrame:
     return maps.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("histogram"))
 
 
-def kmeans_codebook(df: DataFrame, vector_col: str, k: int, seed: int = 42, max_iter: int = 20):
-    """A k-means model of the library over a vector column."""
+def kmeans_codebook(df: DataFrame, vector_col: str, k: int, seed: int = 42, max_iter: int = 20, minibatch: bool = False, batch_rows: int = 1024, **options):
+    """A k-means model of the library over a vector column; further ``options`` go to it (``tol``, ``initSteps``, ...).
+
+    With ``minibatch`` the model starts from a fit of a sample and takes ``max_iter`` steps of about ``batch_rows`` rows
+    each, every centre moving to the mean of all rows it has met: an array of centres comes back.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    if k < 1:
+        raise ValueError("k must be positive")
     data = df.select(array_to_vector(as_double(F.col(vector_col))).alias("features"))
-    return KMeans(k=k, seed=seed, maxIter=max_iter).fit(data)
+    if not minibatch:
+        return KMeans(k=k, seed=seed, maxIter=max_iter, **options).fit(data)
+    vectors = df.select(as_double(F.col(vector_col)).alias("v")).where("v is not null").withColumn("h", F.pmod(F.xxhash64(F.lit(seed), "v"), F.lit(1 << 40)))
+    vectors = stage(vectors, "minibatch")
+    total = vectors.count()
+    share = min(1.0, max(batch_rows, 3 * k) / max(total, 1))
+    model = None
+    for i in range(max_iter + 1):
+        low = (i * share) % 1.0
+        x = np.array([r.v for r in vectors.where((F.col("h") >= int(low * (1 << 40))) & (F.col("h") < int(min(1.0, low + share) * (1 << 40)))).select("v").collect()])  # about batch_rows rows
+        if not len(x):
+            continue
+        if model is None:
+            rng = np.random.default_rng(seed)
+            model, met = x[rng.permutation(len(x))[:k]].copy(), np.zeros(min(k, len(x)))
+        near = ((model * model).sum(axis=1) - 2 * (x @ model.T)).argmin(axis=1)
+        for c in np.unique(near):
+            part = x[near == c]
+            met[c] += len(part)
+            model[c] += (part.mean(axis=0) - model[c]) * (len(part) / met[c])
+    if model is None:
+        raise ValueError("there are no vectors")
+    return model
 
 
 def centroid_table(model, spark) -> DataFrame:
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+    """(cluster, centroid) of a k-means model or an array of centres."""
+    centres = model if isinstance(model, np.ndarray) else model.clusterCenters()
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(centres)]
     return spark.createDataFrame(rows, "cluster int, centroid array<double>")
 
 
@@ -56,11 +92,39 @@ def mean_centroids(df: DataFrame, label_col: str, vector_col: str) -> DataFrame:
     return means.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"))
 
 
+def _nearest(batches: Iterable[pa.RecordBatch], shared, name: str) -> Iterator[pa.RecordBatch]:
+    clusters, book = shared.value
+    sizes = (book * book).sum(axis=1)
+    for batch in batches:
+        for a in range(0, batch.num_rows, 2000):
+            part = batch.slice(a, 2000)
+            x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1)
+            if x.shape[1] != book.shape[1]:
+                raise ValueError("vectors must have the same length")
+            rough = sizes - 2 * (x @ book.T)
+            own = (x * x).sum(axis=1)
+            i, j = np.nonzero(rough <= rough.min(axis=1, keepdims=True) + 1e-6 * (1 + own[:, None]))
+            d = np.round(np.sqrt(((x[i] - book[j]) ** 2).sum(axis=1)), 8)
+            order = np.lexsort((clusters[j], d, i))
+            first = order[np.unique(i[order], return_index=True)[1]]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(clusters[j[first]]), pa.array(d[first])], names=[name, "cluster", "distance"])
+
+
 def assign(df: DataFrame, id_col: str, vector: Column, centroids: DataFrame) -> DataFrame:
-    """(id, cluster, distance): the nearest centroid, ties to the smaller cluster. The centroids are k rows and broadcast."""
-    table = centroids.agg(F.array_sort(F.collect_list(F.struct("cluster", "centroid"))).alias("__book"))
-    near = F.array_min(F.transform("__book", lambda c: F.struct(F.round(l2_distance(vector, c["centroid"]), 8).alias("d"), c["cluster"].alias("c"))))
-    return df.join(F.broadcast(table)).select(id_col, near.alias("n")).select(id_col, F.col("n.c").alias("cluster"), F.col("n.d").alias("distance"))
+    """(id, cluster, distance): the nearest centroid, ties to the smaller cluster; null vectors are left out.
+
+    The centroids are k rows and sent to the executors; vectors meet them in matrix products, and what may be nearest is
+    compared by exact differences.
+    """
+    book = sorted((r["cluster"], r["centroid"]) for r in centroids.select("cluster", "centroid").collect())  # k rows
+    kind, cluster = df.schema[id_col].dataType.simpleString(), centroids.schema["cluster"].dataType.simpleString()
+    schema = f"`{id_col}` {kind}, cluster {cluster}, distance double"
+    if not book:
+        return df.sparkSession.createDataFrame([], schema)
+    clusters = np.array([c for c, _ in book], dtype=np.int32 if cluster == "int" else np.int64)
+    shared = df.sparkSession.sparkContext.broadcast((clusters, np.array([c for _, c in book], dtype=np.float64)))
+    rows = df.select(F.col(id_col), as_double(vector).alias("__v")).where("__v is not null")
+    return map_arrow(rows, partial(_nearest, shared=shared, name=id_col), schema)
 
 
 def word_histogram(assigned: DataFrame, item: Column, cluster: str = "cluster") -> DataFrame:
@@ -70,6 +134,12 @@ def word_histogram(assigned: DataFrame, item: Column, cluster: str = "cluster")
     return counts.select("item", cluster, (F.col("n") / norm).alias("weight"))
 
 
-def bounded_sample(df: DataFrame, group: str, order: Column, most: int) -> DataFrame:
-    """At most ``most`` rows of each group, those first in ``order``."""
-    return df.withColumn("__rank", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("__rank") <= most).drop("__rank")
+def descriptor_sample(df: DataFrame, group: str, order: Column, tie: str, most: int, files: int | None = None) -> DataFrame:
+    """At most ``most`` rows of each of the first ``files`` groups (all without), those first in ``order``, then ``tie``.
+
+    The ranks are cut to ``most`` before the shuffle, so a large group isn't sorted as a whole.
+    """
+    rows = df
+    if files:
+        rows = df.join(F.broadcast(df.select(group).distinct().orderBy(group).limit(files)), group, "left_semi")  # ``files`` rows
+    return rows.withColumn("__rank", F.row_number().over(Window.partitionBy(group).orderBy(order, tie))).where(F.col("__rank") <= most).drop("__rank")

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillhawk.operators.selection import exact_quantile, first_of_groups
+from quillhawk.runtime import broadcast_if_small, stage
+
 
 def label_counts(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("items"))
 
 
 def eligible(df: DataFrame, label: str, unknown: str = "unknown") -> DataFrame:
-    """Rows whose label is known and held by more than one row."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
-    return df.withColumn("__n", n).where((F.col("__n") > 1) & (F.col(label).cast("string") != unknown)).drop("__n")
+    """Rows whose label is known and held by more than one row; all rows if there are none. Only labels are counted and joined."""
+    known = label_counts(df, label).where((F.col("items") > 1) & (F.col(label).cast("string") != unknown)).select(label)
+    known = stage(known, "labels")
+    n = known.count()
+    return df.join(broadcast_if_small(known, n), label, "left_semi") if n else df
 
 
 def precision_recall(queries: DataFrame, hits: DataFrame, items: DataFrame, id_col: str, label: str) -> DataFrame:
@@ -40,20 +45,30 @@ def mean_effectiveness(per_query: DataFrame) -> DataFrame:
 
 def latency(df: DataFrame, ms: str, *by: str) -> DataFrame:
     """Mean, interpolated 95th percentile and queries per second."""
-    out = df.groupBy(*by).agg(F.round(F.avg(ms), 6).alias("mean_ms"), F.round(F.percentile(ms, 0.95), 6).alias("p95_ms"))
+    tail = exact_quantile(df, ms, 0.95, *by).withColumnsRenamed({c: f"__{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    means = df.groupBy(*by).agg(F.round(F.avg(ms), 6).alias("mean_ms"))
+    out = means.join(tail, same, "left").select(*by, "mean_ms", F.round("quantile", 6).alias("p95_ms"))
     return out.withColumn("qps", F.round(F.try_divide(F.lit(1000.0), F.col("mean_ms")), 4))
 
 
-def balanced_sample(df: DataFrame, label: str, n: int, order: list[Column]) -> DataFrame:
-    """n rows spread evenly over the labels, the remainder to the first labels by name; rows by ``order``."""
+def balanced_sample(df: DataFrame, label: str, n: int, order: str, tie: str) -> DataFrame:
+    """n rows spread evenly over the labels, the remainder to the first labels by name; rows by the number ``order``, then ``tie``."""
     labels = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.lit(1).alias("one"))
     k = F.count(F.lit(1)).over(Window.partitionBy("one"))
     place = F.row_number().over(Window.partitionBy("one").orderBy(label))  # one row a label
     quota = labels.select(label, (F.floor(F.lit(n) / k) + (place <= F.lit(n) % k).cast("int")).alias("__quota"))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(*order))
-    return df.withColumn("__rank", rank).join(F.broadcast(quota), label).where("__rank <= __quota").drop("__rank", "__quota")
+    return first_of_groups(df, label, order, tie, quota)
+
+
+def seeded_order(id_col: str, seed: int = 42) -> F.Column:
+    """A scrambled order of whole numbers by arithmetic that any SQL can repeat: multiplication modulo a prime."""
+    prime = 2_147_483_647
+    return F.pmod(F.pmod(F.col(id_col).cast("bigint"), F.lit(prime)) * F.lit(48_271 + 2 * seed), F.lit(prime))
 
 
-def hashed_sample(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows without replacement, those with the smallest seeded hash."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col).limit(n)
+def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
+    """n rows without replacement, those first in the seeded order of a whole-number id."""
+    return df.orderBy(seeded_order(id_col, seed), id_col).limit(n)

@@ -45,8 +45,11 @@ def postings(df: DataFrame, id_col: str = "chunk_id", vector_col: str = "histogr
 
 
 def clustered(rows: DataFrame, id_col: str = "chunk_id") -> DataFrame:
-    """Postings placed and sorted by codeword, the layout to write: one shuffle and an external sort merge the blocks."""
-    return rows.repartition("codeword").sortWithinPartitions("codeword", id_col)
+    """Postings placed and sorted by codeword and id, the layout to write: one shuffle and an external sort merge the blocks.
+
+    Ranges are of codeword and id together, so a frequent codeword takes several partitions.
+    """
+    return rows.repartitionByRange("codeword", id_col).sortWithinPartitions("codeword", id_col)
 
 
 def blocks(df: DataFrame, block_size: int, id_col: str = "chunk_id", vector_col: str = "histogram") -> DataFrame:
@@ -58,10 +61,50 @@ def blocks(df: DataFrame, block_size: int, id_col: str = "chunk_id", vector_col:
     return rows.groupBy("block_id", "codeword").agg(F.array_sort(F.collect_list(F.struct(id_col, "frequency"))).alias("postings"))
 
 
-def merge_blocks(blocked: DataFrame) -> DataFrame:
-    """(codeword, postings): the blocks' postings of each codeword, sorted by id."""
-    rows = blocked.select("codeword", F.explode("postings").alias("p"))
-    return rows.groupBy("codeword").agg(F.array_sort(F.collect_list("p")).alias("postings"))
+def merge_blocks(blocked: DataFrame, id_col: str = "chunk_id") -> DataFrame:
+    """(codeword, id, frequency): the postings of all blocks in order of codeword and id, one row each.
+
+    No list of a codeword is ever gathered: a frequent one spans partitions.
+    """
+    return clustered(blocked.select("codeword", F.explode("postings").alias("p")).select("codeword", f"p.{id_col}", "p.frequency"), id_col)
+
+
+def build(df: DataFrame, path: str, block_size: int = 1000, id_col: str = "chunk_id", vector_col: str = "histogram") -> int:
+    """Validates records, writes their merged postings in ``clustered`` layout to ``path`` and returns the number of blocks."""
+    if block_size <= 0:
+        raise ValueError("block_size must be positive")
+    good, bad = split_records(df)
+    if bad.limit(1).count():
+        raise ValueError("a record is not valid")
+    require_unique(good, id_col)
+    clustered(postings(good, id_col, vector_col), id_col).write.mode("overwrite").parquet(path)
+    return -(-good.count() // block_size)
+
+
+class Index:
+    """The accessors of a built index: postings of a codeword, histogram and metadata of a record, number of records."""
+
+    def __init__(self, records: DataFrame, postings_path: str, id_col: str = "chunk_id") -> None:
+        self.records, self.id_col = records, id_col
+        self.stored = records.sparkSession.read.parquet(postings_path)
+
+    def __len__(self) -> int:
+        return self.records.count()
+
+    def postings(self, codeword: int) -> list[tuple[str, float]]:
+        """Sorted by id; empty for an unknown codeword."""
+        return [(r[0], r[1]) for r in self.stored.where(F.col("codeword") == codeword).select(self.id_col, "frequency").orderBy(self.id_col).toLocalIterator()]
+
+    def histogram(self, key: str) -> list[float]:
+        found = self.records.where(F.col(self.id_col) == key).select("histogram").first()
+        if found is None:
+            raise KeyError(key)
+        return found.histogram
+
+    def metadata(self, key: str) -> dict[str, str]:
+        """Empty for an unknown record."""
+        found = self.records.where(F.col(self.id_col) == key).select("metadata").first()
+        return dict(found.metadata or {}) if found else {}
 
 
 def statistics(df: DataFrame, vector_col: str, block_size: int | None = None) -> DataFrame:

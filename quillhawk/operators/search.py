@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillhawk.functions.vector import as_double, cosine, l2_distance
-from quillhawk.runtime import broadcast_if_small, map_arrow
+from quillhawk.runtime import broadcast_if_small, map_arrow, stage
 
-#: Queries that are sent to every executor at once; more are refused.
+#: Queries that are sent to every executor at once; more are taken in blocks, each one pass over the vectors.
 MOST_QUERIES = 20_000
 
 
@@ -37,13 +37,15 @@ def candidates(queries: DataFrame, postings: DataFrame, query: str, item: str) -
 
 def sparse_cosine(queries: DataFrame, items: DataFrame, query: str, item: str) -> DataFrame:
     """(query, item, score): cosine over shared components of (id, idx, weight) tables with weights above zero."""
-    rows_q, rows_i = queries.where("weight > 0"), items.where("weight > 0")
-    norm_q = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(query)))
-    norm_i = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(item)))
-    q = rows_q.select(query, "idx", F.col("weight").alias("wq"), norm_q.alias("nq"))
-    i = rows_i.select(item, "idx", F.col("weight").alias("wi"), norm_i.alias("ni"))
-    shared = i.join(broadcast_if_small(q, rows_q.count()), "idx")
-    return shared.groupBy(query, item).agg(F.round(F.sum(F.col("wq") * F.col("wi") / (F.col("nq") * F.col("ni"))), 8).alias("score"))
+    rows_q, rows_i = stage(queries.where("weight > 0").select(query, "idx", "weight"), "asked"), items.where("weight > 0")
+
+    def norms(rows: DataFrame, key: str, name: str) -> DataFrame:
+        return rows.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias(name))
+
+    q = rows_q.join(norms(rows_q, query, "nq"), query).select(query, "idx", (F.col("weight") / F.col("nq")).alias("wq"))
+    i = rows_i.select(item, "idx", F.col("weight").alias("wi"))
+    dots = i.join(broadcast_if_small(q, rows_q.count()), "idx").groupBy(query, item).agg(F.sum(F.col("wq") * F.col("wi")).alias("dot"))
+    return dots.join(norms(rows_i, item, "ni"), item).select(query, item, F.round(F.col("dot") / F.col("ni"), 8).alias("score"))
 
 
 def text_search(queries: DataFrame, items: DataFrame, query: str, item: str, k: int) -> DataFrame:
@@ -116,11 +118,11 @@ def _scan(batches: Iterable[pa.RecordBatch], shared, k: int, metric: str, exclud
         yield pa.RecordBatch.from_arrays([q_arrow.take(pa.array(i)), some, pa.array(score)], names=["query_id", "id", "score"])
 
 
-def vector_search(queries: DataFrame, base: DataFrame, id_col: str, vector_col: str, k: int, metric: str = "l2", exclude_self: bool = False) -> DataFrame:
+def vector_search(queries: DataFrame, base: DataFrame, id_col: str, vector_col: str, k: int, metric: str = "l2", exclude_self: bool = False, block: int = MOST_QUERIES) -> DataFrame:
     """(query_id, rank, id, score): exact neighbours of a stated set of queries among all vectors.
 
-    The queries, at most ``MOST_QUERIES``, are sent to the executors and meet every stored vector in matrix products;
-    each task keeps its k best per query, so the shuffle is of k rows a query and task. ``l2`` ranks by distance,
+    The queries are sent to the executors in blocks of about ``block`` rows and meet every stored vector in matrix
+    products; each task keeps its k best per query, so the shuffle is of k rows a query and task. ``l2`` ranks by distance,
     ``cosine`` by similarity (0 for a zero vector); scores have eight places, ties go to the smaller id. Null ids and null
     vectors take no part; vectors of another length than the queries are an error.
     """
@@ -128,17 +130,22 @@ def vector_search(queries: DataFrame, base: DataFrame, id_col: str, vector_col:
     spark, rows = base.sparkSession, F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()
     kind = base.schema[id_col].dataType.simpleString()
     schema = f"query_id {kind}, id {kind}, score double"
-    asked = queries.where(rows).select(F.col(id_col).alias("id"), as_double(F.col(vector_col)).alias("v")).limit(MOST_QUERIES + 1).toArrow().combine_chunks()  # a stated, bounded set
-    if asked.num_rows > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries; search them in parts")
-    if not asked.num_rows:
-        scored = spark.createDataFrame([], schema)
-    else:
-        ids, v = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (asked.column("id"), asked.column("v")))
+    asked = queries.where(rows).select(F.col(id_col).alias("id"), as_double(F.col(vector_col)).alias("v"))
+    stored = base.where(rows).select(F.col(id_col).alias("id"), as_double(F.col(vector_col)).alias("v"))
+    parts = max(1, -(-asked.count() // block))
+    if parts > 1:
+        asked = stage(asked, "asked")
+    scored = spark.createDataFrame([], schema)
+    for p in range(parts):
+        some = asked.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == p) if parts > 1 else asked
+        held = some.toArrow().combine_chunks()  # about ``block`` rows
+        if not held.num_rows:
+            continue
+        ids, v = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (held.column("id"), held.column("v")))
         ids, v = (c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in (ids, v))
         shared = spark.sparkContext.broadcast((ids, _plain(ids), _vectors(v, len(v[0]))))
-        stored = base.where(rows).select(F.col(id_col).alias("id"), as_double(F.col(vector_col)).alias("v"))
-        scored = map_arrow(stored, partial(_scan, shared=shared, k=k, metric=metric, exclude_self=exclude_self), schema)
+        found = map_arrow(stored, partial(_scan, shared=shared, k=k, metric=metric, exclude_self=exclude_self), schema)
+        scored = found if p == 0 else scored.unionByName(found)
     ranked = top_k(scored, "query_id", F.asc("score") if metric == "l2" else F.desc("score"), "id", k)
     return ranked.select("query_id", "rank", "id", "score")
 

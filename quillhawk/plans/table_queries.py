@@ -43,7 +43,12 @@ def safe_names(spark, sf_dir):
     return table(spark, sf_dir, "pg_text_docs").select("id", T.safe_name(F.col("source")).alias("safe_name"))
 
 
-@query()
+def _url_sql(x: str) -> str:
+    return f"replace(url_encode({x}), '%2F', '/')"
+
+
+@query(f"""with r as (select id, filename, coalesce(genre, 'unknown') as genre, case when regexp_matches(filename, '[^/]\\.[^./]*$') then regexp_extract(filename, '([^/]+)\\.[^./]*$', 1) else regexp_extract(filename, '([^/]*)$', 1) end as stem from {sql_first('pg_audio_docs', 'filename, genre')} where filename is not null and filename <> '')
+select id, array_to_string(list_transform(string_split(translate(stem, '._', '  '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') as title, '/audio-full/' || {_url_sql("genre || '/' || filename")} as url from r""")
 def pretty_titles(spark, sf_dir):
     """Display titles and encoded URLs of the audio recordings."""
     rows = records(spark, sf_dir, "pg_audio_docs", "filename", "genre").where("filename is not null and filename <> ''")

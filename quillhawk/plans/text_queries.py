@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillhawk.functions import text as T
-from quillhawk.functions.stem import stem_tokens
+from quillhawk.functions.stem import stemmed
 from quillhawk.operators import codebook as cb
 from quillhawk.operators import fulltext, index, search, tfidf
 from quillhawk.plans.common import SQL_BOOK, SQL_CHUNKS, STOP, records, registry, sql_clean, sql_first, sql_paragraphs, sql_strip, sql_tokens, table
@@ -57,9 +57,14 @@ def stem_tokens_languages(spark, sf_dir):
     out = None
     for code, name in (*known, (None, "")):
         rows = _docs(spark, sf_dir).where(lang == code if code else ~lang.isin([c for c, _ in known]))
-        part = rows.select("doc_id", F.posexplode(stem_tokens(T.tokens(F.col("text"), T.stopwords(spark, name)), name)).alias("position", "stem"))
+        words = rows.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("stem"))
+        stop = T.stopwords(spark, name)
+        if stop:
+            words = words.join(F.broadcast(spark.createDataFrame([(w,) for w in stop], "stem string")), "stem", "left_anti")  # a fixed list
+        counts = words.groupBy("doc_id", "stem").agg(F.count(F.lit(1)).alias("count"))
+        part = stemmed(counts, "stem", name).groupBy("doc_id", "stem").agg(F.sum("count").alias("count"))
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("doc_id", "stem").agg(F.count(F.lit(1)).alias("count"))
+    return out
 
 
 _TF = f"tf as (select doc_id, term, count(*) as count from (select doc_id, unnest({sql_tokens('text')}) as term from documents) group by all)"
@@ -211,6 +216,29 @@ def fulltext_match(spark, sf_dir):
     return fulltext.fulltext_search(records(spark, sf_dir, "pg_text_docs", "content"), "id", "content", WEB)
 
 
+_STOPPED = fulltext.Analysis(stop=(*STOP, "or"))
+_STORED_SQL = f"""p as (select id, len(t) as terms, unnest(t) as term, generate_subscripts(t, 1) - 1 as position from (select id, {_TERMS} as t from {sql_first('pg_text_docs', 'content')})),
+kept as (select * from p where term not in ({', '.join(f"'{w}'" for w in _STOPPED.stop)}))"""
+
+
+@query(f"with {_STORED_SQL} select term, id, array_to_string(list(position order by position), ' ') as positions, any_value(terms)::int as terms from kept group by term, id")
+def fulltext_postings(spark, sf_dir):
+    """The stored full-text index of the records: positions of every term that is no stop word."""
+    found = fulltext.postings(records(spark, sf_dir, "pg_text_docs", "content"), "id", "content", _STOPPED)
+    return found.select("term", "id", F.array_join(F.transform("positions", lambda p: p.cast("string")), " ").alias("positions"), "terms")
+
+
+@query(f"""with {_STORED_SQL}, c as (select id, term, any_value(terms) as terms, 1 + ln(count(*)) as w from kept where term in ('table', 'language', 'central', 'note', 'singer') group by all),
+near as (select distinct a.id from kept a join kept b on a.id = b.id and b.position = a.position + 1 where a.term = 'central' and b.term = 'note'),
+m as (select id, any_value(terms) as terms, (count(*) filter (where term in ('table', 'language')) = 2) or (id in (select id from near) and count(*) filter (where term = 'singer') = 0) as web,
+ coalesce(sum(w) filter (where term <> 'singer'), 0) as r, sum(w) as o from c group by id)
+select id, web, round((case when web then r else 0 end + 0.5 * o) / (1 + ln(1 + terms)), 8) as score from m""")
+def fulltext_stored_search(spark, sf_dir):
+    """The web query over stored postings without stop words: only the postings of its terms are read."""
+    found = stage(fulltext.postings(records(spark, sf_dir, "pg_text_docs", "content"), "id", "content", _STOPPED), "postings")
+    return fulltext.search_postings(found, WEB, _STOPPED)
+
+
 @query(f"select * from ({_FULLTEXT}) order by score desc, id limit 20")
 def fulltext_top(spark, sf_dir):
     return fulltext.fulltext_search(records(spark, sf_dir, "pg_text_docs", "content"), "id", "content", WEB, 20)
@@ -247,9 +275,9 @@ def spimi_blocks(spark, sf_dir):
     return _flat(index.blocks(_text_records(spark, sf_dir), 100), "block_id", "codeword")
 
 
-@query(f"with {_BLOCKS} select codeword, array_to_string(list(chunk_id order by chunk_id), ' ') as ids, sum(frequency) as total from f where frequency > 0 group by all")
+@query(f"with {_BLOCKS} select codeword, chunk_id, frequency from f where frequency > 0")
 def spimi_merge(spark, sf_dir):
-    return _flat(index.merge_blocks(index.blocks(_text_records(spark, sf_dir), 100)), "codeword")
+    return index.merge_blocks(index.blocks(_text_records(spark, sf_dir), 100))
 
 
 def _flat(df: DataFrame, *keys: str) -> DataFrame:

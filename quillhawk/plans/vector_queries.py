@@ -10,11 +10,15 @@ from quillhawk.operators import ann
 from quillhawk.operators import codebook as cb
 from quillhawk.operators import evaluate, search
 from quillhawk.plans.common import records, registry, sql_first, table
+from quillhawk.runtime import stage
 
 REGISTERED, query = registry()
 E = "embedding::double[]"
 
 
+_SEEDED = "((vec_id % 2147483647) * 48355) % 2147483647"
+
+
 def _emb(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").withColumn("embedding", V.as_double(F.col("embedding")))
 
@@ -45,9 +49,9 @@ def weighted_concat(spark, sf_dir):
     return _emb(spark, sf_dir).select("vec_id", _rounded(V.weighted_concat(F.slice("embedding", 1, 48), F.slice("embedding", 49, 16))).alias("v"))
 
 
-@query()
+@query(f"select id, '[' || array_to_string(list_transform(embedding::double[], lambda x: printf('%.6f', x)), ',') || ']' as literal from {sql_first('pg_image_docs', 'embedding')} where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x))) = 0")
 def vector_literals(spark, sf_dir):
-    rows = records(spark, sf_dir, "pg_image_docs", "embedding").where(F.col("embedding").isNotNull())
+    rows = records(spark, sf_dir, "pg_image_docs", "embedding").where(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)))
     return rows.select("id", V.vector_literal(V.as_double(F.col("embedding"))).alias("literal"))
 
 
@@ -96,13 +100,13 @@ def _finite(df, dim):
 
 @query(_table_knn_sql("pg_image_docs", 116))
 def visual_search(spark, sf_dir):
-    df = _finite(records(spark, sf_dir, "pg_image_docs", "embedding"), 116)
+    df = stage(_finite(records(spark, sf_dir, "pg_image_docs", "embedding"), 116), "vectors", "zstd")
     return search.vector_search(_asked(df, "id"), df, "id", "embedding", 10)
 
 
 @query(_table_knn_sql("pg_audio_docs", 512))
 def audio_search(spark, sf_dir):
-    df = _finite(records(spark, sf_dir, "pg_audio_docs", "embedding"), 512)
+    df = stage(_finite(records(spark, sf_dir, "pg_audio_docs", "embedding"), 512), "vectors", "zstd")
     return search.vector_search(_asked(df, "id"), df, "id", "embedding", 10)
 
 
@@ -128,11 +132,11 @@ def codebook_kmeans(spark, sf_dir):
     return cb.assign(df, "vec_id", F.col("embedding"), centroids).groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg("distance"), 6).alias("mean_distance"))
 
 
-@query()
+@query(f"select vec_id % 50 as item, vec_id from embeddings where vec_id % 50 < 40 qualify row_number() over (partition by vec_id % 50 order by {_SEEDED}, vec_id) <= 10")
 def descriptor_sample(spark, sf_dir):
-    """At most ten descriptors of each item, a seeded draw."""
+    """At most ten descriptors of each of the first forty items, a seeded draw."""
     df = _emb(spark, sf_dir).withColumn("item", F.col("vec_id") % 50)
-    return cb.bounded_sample(df, "item", F.xxhash64(F.lit(42), "vec_id"), 10).select("item", "vec_id")
+    return cb.descriptor_sample(df, "item", evaluate.seeded_order("vec_id"), "vec_id", 10, 40).select("item", "vec_id")
 
 
 _HITS = _knn_sql(_L2, "asc", "q.vec_id <> b.vec_id")
@@ -173,13 +177,13 @@ def eval_latency(spark, sf_dir):
 @query("""with l as (select label, row_number() over (order by label) as p, count(*) over () as k from (select distinct label from embeddings))
 select vec_id, label from (select vec_id, label, row_number() over (partition by label order by (vec_id * 7919) % 10007, vec_id) as r from embeddings) join l using (label) where r <= 123 // k + case when p <= 123 % k then 1 else 0 end""")
 def balanced_sample(spark, sf_dir):
-    order = [(F.col("vec_id") * 7919) % 10007, F.col("vec_id")]
-    return evaluate.balanced_sample(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "label", 123, order)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", ((F.col("vec_id") * 7919) % 10007).alias("order"))
+    return evaluate.balanced_sample(rows, "label", 123, "order", "vec_id").select("vec_id", "label")
 
 
-@query()
+@query(f"select vec_id, label from embeddings order by {_SEEDED}, vec_id limit 50")
 def query_sample(spark, sf_dir):
-    return evaluate.hashed_sample(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id", 50)
+    return evaluate.seeded_sample(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id", 50)
 
 
 @query(r"""with s as (select vec_id, embedding as x, unnest([0, 16, 32, 44]) as start_sample, generate_subscripts([0, 16, 32, 44], 1) - 1 as i from embeddings)
