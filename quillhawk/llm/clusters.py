@@ -46,12 +46,14 @@ def component_weights(rows: int, held: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=8)
-def _hashing(dim: int, features: int) -> np.ndarray:
+def _hashing(dim: int, features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Components in order of their buckets, the factor of each, where each used bucket starts, and the used buckets."""
     h = mix64(np.arange(dim, dtype=np.uint64))
     bucket, sign = ((h >> np.uint64(1)) % np.uint64(features)).astype(np.int64), np.where(h & np.uint64(1), 1.0, -1.0)
-    m = np.zeros((dim, features))
-    m[np.arange(dim), bucket] = sign / np.sqrt(np.bincount(bucket, minlength=features)[bucket])
-    return m
+    factor = sign / np.sqrt(np.bincount(bucket, minlength=features)[bucket])
+    order = np.argsort(bucket, kind="stable")
+    used, starts = np.unique(bucket[order], return_index=True)
+    return order, factor[order], starts, used
 
 
 def hashed_features(x: np.ndarray, features: int, weights: np.ndarray) -> np.ndarray:
@@ -59,7 +61,11 @@ def hashed_features(x: np.ndarray, features: int, weights: np.ndarray) -> np.nda
 
     The columns of this map are orthonormal and no weight exceeds 1, so distances never grow.
     """
-    return (x * weights) @ _hashing(x.shape[1], features)
+    order, factor, starts, used = _hashing(x.shape[1], features)
+    out = np.zeros((len(x), features), dtype=x.dtype)
+    if len(x):
+        out[:, used] = np.add.reduceat(x[:, order] * (factor * weights[order]).astype(x.dtype), starts, axis=1)
+    return out
 
 
 class Features:
@@ -69,7 +75,7 @@ class Features:
         self.width, self.weights = feature_count(dim), weights
 
     def __call__(self, raw: np.ndarray) -> np.ndarray:
-        return hashed_features(unit(raw), self.width, self.weights).astype(np.float32)
+        return hashed_features(unit(raw).astype(np.float32), self.width, self.weights)
 
 
 def _held(batches: Iterable[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
@@ -238,12 +244,13 @@ def _labels(near: np.ndarray) -> np.ndarray:
     return label
 
 
-def _within(x: np.ndarray, y: np.ndarray, radius: float) -> np.ndarray:
-    """Which rows of x and y, of unit length, are at most ``radius`` apart."""
+def _within(x: np.ndarray, y: np.ndarray, radius: float, rough: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Which rows of x and y, of unit length, are at most ``radius`` apart; products in single precision, doubts in double."""
     limit = radius * radius
-    d = 2 - 2 * (x @ y.T)
+    a, b = rough or (x.astype(np.float32), y.astype(np.float32))
+    d = 2 - 2 * (a @ b.T)
     near = d <= limit
-    i, j = np.nonzero(np.abs(d - limit) < 1e-9)
+    i, j = np.nonzero(np.abs(d - limit) < 1e-5)
     if len(i):
         near[i, j] = np.sqrt(exact_squares(x[i], y[j])) <= radius
     return near
@@ -272,32 +279,50 @@ def _members(files: list[str], low: int, high: int, part: int, parts: int) -> tu
     return some.column("id").to_numpy(), some.column("cell").to_numpy(), some.column("v")
 
 
-def _borders(batches: Iterable[pa.RecordBatch], dim: int, features: Features, shared, block: tuple[list[str], int, int, int, int], radius: float, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _raw_sums(batches: Iterable[pa.RecordBatch], dim: int, cells: int) -> Iterator[pa.RecordBatch]:
+    """Rows and sums of unit vectors of the cells that the task meets; columns id, cell, v."""
+    count, total = np.zeros(cells, dtype=np.int64), np.zeros((cells, dim))
+    for b in batches:
+        cell, x = b.column("cell").to_numpy(), unit(unpacked(b.column("v"), dim))
+        order = np.argsort(cell, kind="stable")
+        some, first = np.unique(cell[order], return_index=True)
+        if len(some):
+            total[some] += np.add.reduceat(x[order], first, axis=0)
+            count[some] += np.diff(np.append(first, len(cell)))
+    met = np.flatnonzero(count)
+    yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(count[met]), pa.array(np.zeros(len(met))), packed(total[met]) if len(met) else pa.array([], pa.binary())], names=["cell", "rows", "far", "v"])
+
+
+def _borders(batches: Iterable[pa.RecordBatch], dim: int, shared, block: tuple[list[str], int, int, int, int], radius: float, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Links of rows to close members of other cells, a spanning forest for each part of rows and cell.
 
-    In feature space x of cell c and y of cell e are at most ``radius`` apart if they are so by themselves, and the signed
-    distances of x and y from the plane halfway between the two centres add up to at most that, so one of them is within
-    half of it: (|x-e|^2 - |x-c|^2) <= radius |c-e| for x, or the like for y, which has its turn as a row.
+    Take the means c and e of two cells' vectors. If x of the first and y of the second are at most ``radius`` apart, the
+    signed distances of x and y from the plane halfway between c and e, each counted away from the other's side, add up to
+    at most that, so one of them is within half of it: (|x-e|^2 - |x-c|^2) <= radius |c-e| for x, or the like for y, which
+    has its turn as a row. That holds for any two points c and e, however rows came to their cells.
     """
-    centres, (m_ids, m_cell, m_packed) = shared.value, _members(*block)
+    means, (m_ids, m_cell, m_packed) = shared.value, _members(*block)
     if not len(m_ids):
         return
     cells, first = np.unique(m_cell, return_index=True)
     last = np.append(first[1:], len(m_cell))
-    apart = np.sqrt(squares(centres.astype(np.float64), centres[cells].astype(np.float64)))
+    apart = np.sqrt(squares(means.astype(np.float64), means[cells].astype(np.float64)))
+    sizes, turned = (means * means).sum(axis=1), np.ascontiguousarray(means[cells].T)
     y = unit(unpacked(m_packed, dim))
+    rough_y = y.astype(np.float32)
     for b in batches:
         for a in range(0, b.num_rows, 2000):
             some = b.slice(a, 2000)
             ids, own = some.column("id").to_numpy(zero_copy_only=False), some.column("cell").to_numpy()
-            raw = unpacked(some.column("v"), dim)
-            x = unit(raw)
-            gap = squares(features(raw), centres[cells]) - some.column("distance").to_numpy()[:, None] ** 2
+            x = unit(unpacked(some.column("v"), dim))
+            rough_x = x.astype(np.float32)
+            gap = (sizes[cells][None] - 2 * (rough_x @ turned)) - (sizes[own] - 2 * (rough_x * means[own]).sum(axis=1))[:, None]
             enter = (gap <= (radius + 2e-3) * apart[own] + 1e-5) & (own[:, None] != cells)  # with room for single precision
             for c in np.flatnonzero(enter.any(axis=0)):
                 i = np.flatnonzero(enter[:, c])
                 for low in range(first[c], last[c], 2000):
-                    near = _within(x[i], y[low : min(low + 2000, last[c])], radius)
+                    high = min(low + 2000, last[c])
+                    near = _within(x[i], y[low:high], radius, (rough_x[i], rough_y[low:high]))
                     p, q = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
                     if not len(p):
                         continue
@@ -356,6 +381,11 @@ class Clusters:
         block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
         pairs = rows.join(F.broadcast(many), "cell").select("id", "v", "cell", F.explode(block_pairs(block, F.col("blocks"))).alias("p")).select("id", "v", "cell", "p.left", "p.right")
         links = pairs.groupBy("cell", "left", "right").applyInArrow(lambda t: _close(t, dim, radius), link)
+        sums = map_arrow(rows.select("id", "cell", "v"), partial(_raw_sums, dim=dim, cells=len(self.centres)), _SUMS)
+        got = map_arrow(sums.repartition(max(1, min(64, len(self.centres) // 16)), "cell"), partial(_add, width=dim), _SUMS).toArrow()  # one row a cell
+        means = np.zeros((len(self.centres), dim), dtype=np.float32)
+        means[got.column("cell").to_numpy()] = unpacked(got.column("v"), dim) / got.column("rows").to_numpy()[:, None]
+        self.means = spark.sparkContext.broadcast(means)
         for found in self._between(rows, counts, radius, scan_rows, link) if len(counts) > 1 else []:
             links = links.unionByName(found)
         links = stage(links, "close", shuffled=4 * dim * self.rows)
@@ -382,7 +412,7 @@ class Clusters:
             files = stage(rows.repartitionByRange("cell", "part").sortWithinPartitions("cell", "part"), "members", "zstd")
         files = files.inputFiles()
         slices = max(-(-self.rows // 200_000), -(-2 * spark.sparkContext.defaultParallelism // len(spans)))
-        return [map_arrow(rows.coalesce(slices), partial(_borders, dim=self.dim, features=self.features, shared=self.shared, block=(files, *x), radius=radius, kind=kind), link) for x in spans]
+        return [map_arrow(rows.coalesce(slices), partial(_borders, dim=self.dim, shared=self.means, block=(files, *x), radius=radius, kind=kind), link) for x in spans]
 
 
 def similarity_clusters(df: DataFrame, id_col: str, vector_col: str) -> Clusters:

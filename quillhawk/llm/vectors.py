@@ -47,13 +47,15 @@ def packed(raw: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * flat.shape[1]), len(flat), [None, pa.py_buffer(planes)]).cast(pa.binary())
 
 
-def unpacked(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+def unpacked(column: pa.Array | pa.ChunkedArray, dim: int, kind: type = np.float64) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if not len(column):
-        return np.zeros((0, dim))
-    planes = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, 4, dim)
-    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.float32).reshape(-1, dim).astype(np.float64)
+        return np.zeros((0, dim), dtype=kind)
+    _, places, data = column.buffers()
+    places = np.frombuffer(places, dtype=np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    planes = np.frombuffer(data, dtype=np.uint8)[places[0] : places[-1]].reshape(-1, 4, dim)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.float32).reshape(-1, dim).astype(kind, copy=False)
 
 
 def block_pairs(block: Column, blocks: Column) -> Column:
