@@ -32,7 +32,7 @@ class Hashing:
     """Tables, projections and bucket width; further buckets probed."""
 
     tables: int = 5
-    projections: int = 20
+    projections: int = 24
     width: float = 2.0
     probes: int = 10
     seed: int = 7
@@ -179,21 +179,24 @@ def near_neighbours(df: DataFrame, id_col: str, vector_col: str, k: int = 5, rad
     keys = lambda probes: map_arrow(source, partial(_keys, dim=dim, h=hashing, probes=probes), f"key bigint, id {id_type}")
     signs = stage(map_arrow(source, partial(_signs, dim=dim, h=hashing), f"id {id_type}, s0 bigint, s1 bigint, s2 bigint, s3 bigint"), "signs")
     rows = signs.count()
-    theirs = signs.select(F.col("id").alias("mate"), *[F.col(f"s{i}").alias(f"r{i}") for i in range(4)])
+    ours = broadcast_if_small(signs, rows)
+    theirs = broadcast_if_small(signs.select(F.col("id").alias("mate"), *[F.col(f"s{i}").alias(f"r{i}") for i in range(4)]), rows)
     close = _close_signs(sign_limit(radius))
     first = keys(0).groupBy("key").agg(F.min("id").alias("mate"), F.count(F.lit(1)).alias("n"))
     asked = rows * hashing.tables * (1 + hashing.probes)
     met = stage(keys(hashing.probes).join(first, "key").where("n > 1 or id <> mate").select("key", "id", "mate"), "met", shuffled=24 * asked)
-    links = met.where("id <> mate").select("id", "mate").distinct().join(signs, "id").join(theirs, "mate").where(close)
+    links = met.where("id <> mate").groupBy("id").agg(F.collect_set("mate").alias("mates"))  # at most tables * (1 + probes) of them
+    links = links.select("id", F.explode("mates").alias("mate")).join(ours, "id").join(theirs, "mate").where(close)
     lead = stage(links.groupBy("id").agg(F.min("mate").alias("m")).select("id", F.least("id", "m").alias("leader")), "lead", shuffled=24 * asked)
     jump = lead.select(F.col("id").alias("leader"), F.col("leader").alias("top"))
     placed = signs.select("id").join(lead, "id", "left").select("id", F.coalesce("leader", "id").alias("leader")).join(jump, "leader", "left").select("id", F.coalesce("top", "leader").alias("leader"))
     placed = stage(placed, "placed", shuffled=16 * rows)
-    home = keys(0).join(placed, "id")
+    at = broadcast_if_small(placed, rows)
+    home = keys(0).join(at, "id")
     span = home.groupBy("key").agg(F.min("leader").alias("low"), F.max("leader").alias("high"))
-    strays = met.select("key", "id").join(placed, "id").join(span, "key").where("low <> leader or high <> leader").select("key", "id", "leader")  # a bucket of the own place only has nothing to visit
+    strays = met.select("key", "id").join(at, "id").join(span, "key").where("low <> leader or high <> leader").select("key", "id", "leader")  # a bucket of the own place only has nothing to visit
     hosts = home.select("key", F.col("id").alias("mate"), F.col("leader").alias("host"))
-    visits = strays.join(signs, "id").join(hosts.join(theirs, "mate"), "key").where((F.col("host") != F.col("leader")) & close).select("id", F.col("host").alias("leader")).distinct()
+    visits = strays.join(ours, "id").join(hosts.join(theirs, "mate"), "key").where((F.col("host") != F.col("leader")) & close).select("id", F.col("host").alias("leader")).distinct()
     visits = stage(visits, "visits", shuffled=48 * asked)
     sizes = placed.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).join(visits.select("leader").distinct().withColumn("visited", F.lit(True)), "leader", "left")
     places = sizes.where("n > 1 or visited").select("leader", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
@@ -201,9 +204,9 @@ def near_neighbours(df: DataFrame, id_col: str, vector_col: str, k: int = 5, rad
     alone = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(j.alias("left"), j.alias("right"), F.lit(True).alias("is_left")))
     stay = placed.join(places, "leader").select("id", "leader", F.explode(block_pairs(block, F.col("blocks"))).alias("p"), F.lit(False).alias("visits"))
     come = visits.join(places, "leader").select("id", "leader", F.explode(alone).alias("p"), F.lit(True).alias("visits"))
-    seats = stay.unionByName(come).select("id", "leader", "p.left", "p.right", "p.is_left", "visits")
+    seats = stage(stay.unionByName(come).select("id", "leader", "p.left", "p.right", "p.is_left", "visits"), "seats")
     vectors = source if is_packed else map_arrow(source, partial(_pack, dim=dim), f"id {id_type}, v binary")
-    out = vectors.join(seats, "id").groupBy("leader", "left", "right").applyInArrow(lambda t: _rank(t, dim, k), f"id {id_type}, neighbour {id_type}, distance double")
+    out = vectors.join(broadcast_if_small(seats, seats.count()), "id").groupBy("leader", "left", "right").applyInArrow(lambda t: _rank(t, dim, k), f"id {id_type}, neighbour {id_type}, distance double")
     return _best(stage(out, "near", shuffled=(4 * dim + 40) * rows), k)
 
 
