@@ -18,10 +18,12 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quillhawk.llm.frequencies import ngram_frequencies
 from quillhawk.llm.textarrays import blocks, text_batches, tokens
-from quillhawk.runtime import map_arrow
+from quillhawk.runtime import broadcast_if_small, map_arrow, stage
 
 #: Statistics of up to so many terms are sent to every executor (24 bytes each); more are joined by a shuffle.
 BROADCAST_TERMS = 1_000_000
+#: In that join a term held by more records than this is spread over several keys.
+SPREAD_RECORDS = 100_000
 
 _FACT = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, 4096, dtype=np.float64)))))
 
@@ -132,7 +134,10 @@ def _scored(batches: Iterable[pa.RecordBatch], shared, total: int, kind: pa.Data
 
 
 def _pairs(batches: Iterable[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    for ids, texts in blocks(text_batches(batches)):
+    """Terms with their counts; ``text_key`` tells rows of one id apart."""
+    keyed = ((list(zip(b.column(0).to_pylist(), b.column(2).to_pylist())), [t or "" for t in b.column(1).to_pylist()]) for b in batches)
+    for keys, texts in blocks(keyed):
+        ids, text_keys = zip(*keys)
         tok = tokens(texts)
         if not len(tok.hash):
             continue
@@ -140,8 +145,8 @@ def _pairs(batches: Iterable[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.
         pair, at, count = np.unique(tok.doc * len(used) + idx, return_index=True, return_counts=True)
         doc = pair // len(used)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, kind).take(pa.array(doc)), pa.array([tok.word(i) for i in at.tolist()], pa.string()), pa.array(count.astype(np.int64)), pa.array(tok.counts()[doc].astype(np.int64))],
-            names=["id", "term", "count", "length"],
+            [pa.array(ids, kind).take(pa.array(doc)), pa.array(text_keys, pa.int64()).take(pa.array(doc)), pa.array([tok.word(i) for i in at.tolist()], pa.string()), pa.array(count.astype(np.int64)), pa.array(tok.counts()[doc].astype(np.int64))],
+            names=["id", "text_key", "term", "count", "length"],
         )
 
 
@@ -151,14 +156,16 @@ def _tails(batches: Iterable[pa.RecordBatch], total: int) -> Iterator[pa.RecordB
         yield b.append_column("ln_p", pa.array(ln_p))
 
 
-def term_scores(df: DataFrame, id_col: str, text_col: str, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+def term_scores(df: DataFrame, id_col: str, text_col: str, broadcast_terms: int = BROADCAST_TERMS, spread_records: int = SPREAD_RECORDS) -> DataFrame:
     """Every distinct term of every record with its score: (id, term, count, length, occurrences, records, p_value, score).
 
     ``count`` is within the record, ``length`` the record's term occurrences, ``occurrences`` and ``records`` those of the
     whole collection. Texts that are null or without letters give no rows; each row is a record, so a repeated id is
     scored once for each of its rows; equal p-values share the better rank's adjustment. Up to ``broadcast_terms``
-    distinct terms their statistics are sent to the executors and no pair is shuffled; beyond, pairs meet the statistics
-    in a shuffle join.
+    distinct terms their statistics are sent to the executors and no pair is shuffled (terms are told apart by 64-bit
+    hashes); beyond, pairs meet the statistics in a shuffle join, in which frequent terms are spread over several keys.
+    Both ways give equal scores; rows of one id and one text count as one another's copies in the second, which changes no
+    adjusted value.
     """
     df = df.where(F.col(id_col).isNotNull())
     table, _, total = ngram_frequencies(df, id_col, text_col, 1)
@@ -176,10 +183,14 @@ def term_scores(df: DataFrame, id_col: str, text_col: str, broadcast_terms: int
         arrays = (h[order], *(stats.column(c).to_numpy()[order] for c in ("occurrences", "records")))
         shared = spark.sparkContext.broadcast(arrays)
         return map_arrow(source, partial(_scored, shared=shared, total=total, kind=kind), f"id {id_type}, term string, {_SCORED}")
-    pairs = map_arrow(source, partial(_pairs, kind=kind), f"id {id_type}, term string, count bigint, length bigint")
-    joined = pairs.join(table.select("term", "occurrences", "records"), "term").select("id", "term", "count", "length", "occurrences", "records")
+    pairs = map_arrow(source.withColumn("text_key", F.xxhash64("text")), partial(_pairs, kind=kind), f"id {id_type}, text_key bigint, term string, count bigint, length bigint")
+    salts = F.ceil(F.col("records") / spread_records).cast("int")
+    hot = stage(table.where(F.col("records") > spread_records).select("term", salts.alias("salts")), "hot")  # few: each is held by many records
+    pairs = pairs.join(broadcast_if_small(hot, hot.count()), "term", "left").withColumn("salt", F.pmod(F.xxhash64("id", "text_key"), F.coalesce("salts", F.lit(1))).cast("int"))
+    stats = table.select("term", "occurrences", "records", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    joined = pairs.join(stats, ["term", "salt"]).select("id", "text_key", "term", "count", "length", "occurrences", "records")
     joined = map_arrow(joined, partial(_tails, total=total), StructType([*joined.schema.fields, StructField("ln_p", DoubleType())]))
-    w = Window.partitionBy("id")
+    w = Window.partitionBy("id", "text_key")
     ranked = joined.withColumn("v", F.col("ln_p") + F.log(F.count(F.lit(1)).over(w)) - F.log(F.row_number().over(w.orderBy("ln_p", "term"))))
     best = F.min("v").over(w.orderBy("ln_p", "term").rowsBetween(0, Window.unboundedFollowing))
     return ranked.select("id", "term", "count", "length", "occurrences", "records", F.exp("ln_p").alias("p_value"), (-F.least(best, F.lit(0.0)) / F.log(F.lit(10.0))).alias("score"))

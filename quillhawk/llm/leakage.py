@@ -2,7 +2,8 @@
 
 The automaton holds every run of words of every item; it is built once and sent to the executors, which stream their
 documents through it and track the longest match. Items with more words than ``MOST_WORDS`` together are taken in shards
-of that size, one automaton each, so what is sent stays bounded.
+of that size, one automaton each, and ``TOGETHER`` of them take one pass over the documents, so what is sent and held for a
+pass stays bounded.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from quillhawk.llm.textarrays import blocks, text_batches, tokens
 from quillhawk.runtime import map_arrow
 
-#: Words of the items of one automaton (about 1 kB each at the worst).
-MOST_WORDS = 200_000
+#: Words of the items of one automaton (about 1 kB each at the worst), and automata taken through the documents together.
+MOST_WORDS, TOGETHER = 50_000, 4
 #: Soft hyphen, zero-width space, non-joiner, joiner, byte order mark: fixed values of the task.
 _INVISIBLE = re.compile("[­​‌‍﻿]")
 
@@ -122,12 +123,12 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _scan(batches: Iterable[pa.RecordBatch], shared, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    known, automaton, least = shared.value
+    """Every block of documents is tokenised once and streamed through all automata in ``shared``."""
     for ids, texts in blocks(text_batches(batches)):
         texts = [_bare(t) for t in texts]
         tok = tokens(texts, digits=True)
         rows: list[tuple] = []
-        if len(tok.hash) and len(known):
+        for known, automaton, least in (s.value for s in shared) if len(tok.hash) else ():
             at = np.minimum(np.searchsorted(known, tok.hash), len(known) - 1)
             word = np.where(known[at] == tok.hash, at, -1)
             cut = (word < 0) | np.concatenate(([True], tok.doc[1:] != tok.doc[:-1]))
@@ -165,14 +166,14 @@ def leaked_spans(docs: DataFrame, id_col: str, text_col: str, items: DataFrame,
     kind = source.schema["doc_id"].dataType
     schema = f"doc_id {kind.simpleString()}, item_id bigint, start int, stop int, words int"
     shard: list[tuple[int, np.ndarray]] = []
-    held, parts = 0, []
+    held, automata = 0, []
 
     def close() -> None:
         nonlocal shard, held
         known = np.unique(np.concatenate([h for _, h in shard]))
         words = [(i, np.searchsorted(known, h).tolist()) for i, h in shard]
         value = (known, Automaton(words, run), min(min(len(w) for _, w in words), run))
-        parts.append(map_arrow(source, partial(_scan, shared=spark.sparkContext.broadcast(value), kind=to_arrow_type(kind)), schema))
+        automata.append(spark.sparkContext.broadcast(value))
         shard, held = [], 0
 
     for r in items.select(F.col(item_col).cast("bigint").alias("i"), F.col(item_text_col).alias("t")).where("i is not null and t is not null").distinct().orderBy("i", "t").toLocalIterator():
@@ -184,6 +185,7 @@ def leaked_spans(docs: DataFrame, id_col: str, text_col: str, items: DataFrame,
                 close()
     if shard:
         close()
+    parts = [map_arrow(source, partial(_scan, shared=automata[a : a + TOGETHER], kind=to_arrow_type(kind)), schema) for a in range(0, len(automata), TOGETHER)]
     if not parts:
         return spark.createDataFrame([], schema)
     out = parts[0]

@@ -19,9 +19,14 @@ from pyspark.sql import functions as F
 
 from quillhawk.llm.components import components
 from quillhawk.llm.textarrays import Tokens, blocks, mix64, text_batches, tokens
+from quillhawk.llm.vectors import block_pairs
 from quillhawk.runtime import broadcast_if_small, map_arrow, stage
 
 POSITIONS, BLOCK, TAKEN = 48, 4, 3
+#: A mask value of more texts is cut into blocks of so many, and every pair of blocks is joined by itself.
+KEY_ROWS = 2_000
+#: Times a mask value must occur in one task to be counted as a frequent one.
+_SEEN = 20
 
 
 def masks(positions: int = POSITIONS, block: int = BLOCK, taken: int = TAKEN) -> list[tuple[int, ...]]:
@@ -83,6 +88,17 @@ def _sets(batches: Iterable[pa.RecordBatch], run: int, least: int, kind: pa.Data
             yield pa.RecordBatch.from_arrays([pa.array(ids, kind).take(pa.array(which)), pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64)))], names=["id", "set"])
 
 
+def _frequent(batches: Iterable[pa.RecordBatch], seen: int) -> Iterator[pa.RecordBatch]:
+    """Mask values that the task meets at least ``seen`` times, with the times."""
+    held: dict[int, int] = {}
+    for b in batches:
+        keys, times = np.unique(b.column(0).to_numpy(), return_counts=True)
+        for k, n in zip(keys[times > 1].tolist(), times[times > 1].tolist()):
+            held[k] = held.get(k, 0) + n
+    found = [(k, n) for k, n in held.items() if n >= seen]
+    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], names=["key", "n"])
+
+
 class NearDuplicates:
     """``classes``: (id, class_id, set_size), texts with equal sets share the smallest id. ``links``: (a, b, similarity), a < b, class ids."""
 
@@ -109,13 +125,14 @@ class NearDuplicates:
         return self.classes.select("id", "class_id").join(about, "class_id").select("id", "class_id", "copies", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"), F.coalesce("group_id", "class_id").alias("group_id"))
 
 
-def near_duplicates(df: DataFrame, id_col: str, text_col: str, similarity: float = 0.8, run: int = 5, least_words: int = 30) -> NearDuplicates:
+def near_duplicates(df: DataFrame, id_col: str, text_col: str, similarity: float = 0.8, run: int = 5, least_words: int = 30, key_rows: int = KEY_ROWS) -> NearDuplicates:
     """Classes of equal word-run sets, and links between classes of at least ``similarity`` (Jaccard).
 
     Words are longest runs of letters of the lower-cased text, the set holds all runs of ``run`` words. Null texts and
     texts of fewer than ``least_words`` words take no part; null ids neither; ids are taken as unique. An empty table
-    gives empty results. No bucket is capped: classes collapse copies first and the join on mask values may split a hot
-    one. Pairs within the covering radius are found surely given the sketch; a pair of similarity 0.55 lies in reach of
+    gives empty results. No bucket is capped: classes collapse copies first, and a mask value of more than ``key_rows``
+    texts is joined in pairs of blocks, each a key of its own. (Values are counted in the tasks that meet them ``_SEEN``
+    times; one spread thinner than that is left to adaptive execution.) Pairs within the covering radius are found surely given the sketch; a pair of similarity 0.55 lies in reach of
     some mask with probability above 0.99, one of 0.6 above 0.999.
     """
     from pyspark.sql.pandas.types import to_arrow_type
@@ -131,14 +148,24 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, similarity: float
     classes = known.select("id", F.coalesce("class_id", "id").alias("class_id"), F.col("size").alias("set_size"))
     reps = known.where("class_id is null or class_id = id")
     keys = F.array(*[F.xxhash64(F.lit(m), *[F.get("sketch", i) for i in mask]) for m, mask in enumerate(masks())])
+    texts_in, words_in = sketches.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     rows = reps.select("id", "size", F.explode(keys).alias("key"))
+    hot = map_arrow(rows.select("key"), partial(_frequent, seen=min(_SEEN, key_rows)), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > key_rows)
+    hot = stage(hot.select("key", F.ceil(F.col("n") / key_rows).cast("int").alias("blocks")), "hot")
+    n_hot = hot.count()
+    if n_hot:
+        blocks_of = F.coalesce("blocks", F.lit(1))
+        spread = rows.join(broadcast_if_small(hot, n_hot), "key", "left").select("id", "size", "key", F.explode(block_pairs(F.pmod(F.xxhash64("id"), blocks_of).cast("int"), blocks_of)).alias("p"))
+        rows = spread.select("id", "size", F.xxhash64("key", "p.left", "p.right").alias("key"))  # two blocks that meet twice give a pair twice; distinct follows
     a, b = rows.withColumnsRenamed({"id": "a", "size": "sa"}), rows.withColumnsRenamed({"id": "b", "size": "sb"})
     sized = (F.least("sa", "sb") >= similarity * F.greatest("sa", "sb")) & (F.col("a") < F.col("b"))
-    candidates = stage(a.join(b, "key").where(sized).select("a", "b").distinct(), "candidates")
+    candidates = stage(a.join(b, "key").where(sized).select("a", "b").distinct(), "candidates", shuffled=texts_in * len(masks()) * 24)
+    n_candidates = candidates.count()
     ends = stage(candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct(), "ends")
     texts = source.join(broadcast_if_small(ends, ends.count()), "id", "left_semi")
     sets = stage(map_arrow(texts, partial(_sets, run=run, least=least_words, kind=kind), f"id {name}, set array<bigint>"), "sets")
     both = candidates.join(sets.withColumnsRenamed({"id": "a", "set": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "set": "y"}), "b")
     common = F.size(F.array_intersect("x", "y"))
     scored = both.select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("n")).select("a", "b", (F.col("c") / (F.col("n") - F.col("c"))).alias("similarity"))
-    return NearDuplicates(classes, stage(scored.where(F.col("similarity") >= similarity), "near"))
+    weight = 16 * n_candidates * words_in // max(texts_in, 1)
+    return NearDuplicates(classes, stage(scored.where(F.col("similarity") >= similarity), "near", shuffled=weight))

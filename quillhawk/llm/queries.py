@@ -90,9 +90,9 @@ def p4_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every n-gram of up to three terms that occurs at least twice, with its occurrences and records."""
+    """Every n-gram of up to three terms with its occurrences and records."""
     table, _, _ = ngram_frequencies(_texts(spark, sf_dir), "id", "content", 3)
-    return table.where("occurrences >= 2").select("n", "term", "occurrences", "records")
+    return table.select("n", "term", "occurrences", "records")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

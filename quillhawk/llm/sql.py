@@ -90,7 +90,7 @@ select modality, min(b) as cluster_id, a as id from (select modality, a, b from
         "p4_terms": f"with {_COUNTS} select term, occurrences, records, case when records <= 2 and records > 0.35 * (select count(*) from terms) then 'rare,common' when records <= 2 then 'rare' when records > 0.35 * (select count(*) from terms) then 'common' else '' end as mark from df",
         "p4_found": f"with {_COUNTS} select term, 'rare' as mark from df where records <= 2 union all select term, 'common' from df where records > 0.35 * (select count(*) from terms)",
         "p4_ngrams": f"""with {_TERMS}, g as (select n, id, array_to_string(ts[p:p + n - 1], ' ') as term from (select id, ts, n, unnest(range(1, len(ts) - n + 2)) as p from terms, (select unnest([1, 2, 3])::int as n)))
-select n, term, count(*) as occurrences, count(distinct id) as records from g group by all having count(*) >= 2""",
+select n, term, count(*) as occurrences, count(distinct id) as records from g group by all""",
         "p5_found": chains,
         "p6_found": rf"select id, case when len(list_filter(string_split({_break('content')}, chr(1)), lambda x: length(x) > 800)) > 0 then 'hard' else 'soft' end as kind from {_TEXTS} where length(regexp_replace(content, '^{WS}+|{WS}+$', '', 'g')) > 800",
         "p7_found": f"with {_NEAR}, five as (select * from near qualify count(*) over (partition by modality, a) >= 5 and row_number() over (partition by modality, a order by d, b) <= 5) select distinct modality, least(a, b) as id_a, greatest(a, b) as id_b from five",

@@ -84,12 +84,12 @@ def test_adjustment_is_benjamini_hochberg():
 
 
 def test_scores_do_not_depend_on_the_join(spark):
-    rows = corpus(40, 2, [(50, None), (None, "ab ab"), (51, "rare rare rare ab")])
+    rows = corpus(40, 2, [(50, None), (None, "ab ab"), (51, "rare rare rare ab"), (7, "ab c c c"), (8, "dd e"), (8, "dd e")])
     df = spark.createDataFrame(rows, "score int, term string").withColumn("id", F.lit("clash"))
-    a = {(r.id, r.term): (r["count"], r.length, r.occurrences, r.records, round(r.p_value, 10), round(r.score, 8)) for r in term_scores(df, "score", "term").collect()}
-    b = {(r.id, r.term): (r["count"], r.length, r.occurrences, r.records, round(r.p_value, 10), round(r.score, 8)) for r in term_scores(df, "score", "term", broadcast_terms=0).collect()}
+    a = {(r.id, r.term, r.length): (r["count"], r.length, r.occurrences, r.records, round(r.p_value, 10), round(r.score, 8)) for r in term_scores(df, "score", "term").collect()}
+    b = {(r.id, r.term, r.length): (r["count"], r.length, r.occurrences, r.records, round(r.p_value, 10), round(r.score, 8)) for r in term_scores(df, "score", "term", broadcast_terms=0, spread_records=5).collect()}
     assert a == b
-    assert max(a, key=lambda k: a[k][-1]) == (51, "rare")
+    assert max(a, key=lambda k: a[k][-1])[:2] == (51, "rare")
     assert term_scores(df.limit(0), "score", "term").count() == 0
 
 
@@ -168,6 +168,8 @@ def test_near_duplicates_equal_brute_force(spark):
     want = {(x, y) for x, y in combinations(sorted(sets), 2) if len(sets[x] & sets[y]) >= 0.5 * len(sets[x] | sets[y])}
     found = near_duplicates(df, "a", "b", 0.5, 3, 30)
     assert {(r.id_a, r.id_b) for r in found.pairs().collect()} == want
+    split = near_duplicates(df, "a", "b", 0.5, 3, 30, key_rows=2)  # every shared mask value is a hot one
+    assert {(r.id_a, r.id_b) for r in split.pairs().collect()} == want
     groups = {r.id: r for r in found.groups().collect()}
     assert set(groups) == set(sets)
     assert groups[503].class_id == 0 and groups[503].copies >= 2
