@@ -46,8 +46,26 @@ def pre_emphasis(signal: Column, coefficient: float = 0.97) -> Column:
     return F.zip_with(signal, F.slice(before, 1, F.greatest(F.size(signal), F.lit(0))), lambda x, p: x - F.lit(coefficient) * p)
 
 
-def patch_grid(df: DataFrame, id_col: str, width: str, height: str, patch: int = 224, stride: int = 112) -> DataFrame:
-    """(id, patch_index, x, y, padded): the patch corners, rows outer, columns inner."""
+def clean_audio(signal: Column) -> Column:
+    """Samples as floats, none for null; of several channels (an array of arrays) the mean of each moment."""
+    return F.coalesce(signal.cast("array<float>"), F.array().cast("array<float>"))
+
+
+def mixed_channels(channels: Column) -> Column:
+    """The mean over channels at each moment, to the length of the shortest; none for null or no channels."""
+    n = F.array_min(F.transform(channels, lambda c: F.size(c)))
+    at = F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    mean = lambda i: F.aggregate(channels, F.lit(0.0), lambda s, c: s + F.get(c, i).cast("double")) / F.size(channels)
+    return F.transform(at, mean).cast("array<float>")
+
+
+def patch_grid(df: DataFrame, id_col: str, width: str, height: str, patch: int = 224, stride: int = 112, keep_borders: bool = True) -> DataFrame:
+    """(id, patch_index, x, y, padded): the patch corners, rows outer, columns inner.
+
+    Patches of images smaller than one patch are to be padded; without ``keep_borders`` they are left out.
+    """
+    if not keep_borders:
+        df = df.where((F.col(width) >= patch) & (F.col(height) >= patch))
     rows = df.select(id_col, width, height, F.explode(positions(F.col(height), patch, stride)).alias("y"))
     rows = rows.select(id_col, width, height, "y", F.explode(positions(F.col(width), patch, stride)).alias("x"))
     n_x = F.size(positions(F.col(width), patch, stride))
@@ -63,6 +81,41 @@ def cut_patch(image: np.ndarray, x: int, y: int, patch: int) -> np.ndarray:
     return out
 
 
+def patch_pixels(height: Column, width: Column, data: Column, x: Column, y: Column, patch: int = 224) -> Column:
+    """RGB bytes of one patch, zero-padded to its full size; null for null or wrongly sized data."""
+
+    @F.pandas_udf("binary")
+    def run(h: pd.Series, w: pd.Series, d: pd.Series, at_x: pd.Series, at_y: pd.Series) -> pd.Series:
+        def one(a, b, raw, i, j):
+            if raw is None or pd.isna(a) or pd.isna(b) or not len(raw) or len(raw) != int(a) * int(b) * 3:
+                return None
+            return cut_patch(np.frombuffer(raw, dtype=np.uint8).reshape(int(a), int(b), 3), int(i), int(j), patch).tobytes()
+
+        return pd.Series([one(*r) for r in zip(h, w, d, at_x, at_y)])
+
+    return run(height, width, data, x, y)
+
+
+def grid_descriptors(image: np.ndarray, tile: int = 16, floor: float = 1e-6) -> np.ndarray:
+    """Gradient descriptors (128 components) of the tiles of a grey image, a stand-in where no key-point detector is installed.
+
+    A tile is divided into 4 x 4 cells with eight directions each; tiles without any gradient give none, so a flat image
+    has no descriptors.
+    """
+    x = image.astype(np.float64)
+    rows, columns = x.shape[0] // tile, x.shape[1] // tile
+    if not rows or not columns:
+        return np.zeros((0, 128))
+    down, right = np.gradient(x)
+    size = np.hypot(down, right)[: rows * tile, : columns * tile]
+    turn = np.floor((np.arctan2(down, right)[: rows * tile, : columns * tile] + np.pi) / (2 * np.pi) * 8).astype(np.int64) % 8
+    i, j = np.indices(size.shape)
+    cell = tile // 4
+    place = ((i // tile) * columns + j // tile) * 128 + ((i % tile) // cell * 4 + (j % tile) // cell) * 8 + turn
+    out = np.bincount(place.ravel(), weights=size.ravel(), minlength=rows * columns * 128).reshape(-1, 128)
+    return out[out.sum(axis=1) > floor]
+
+
 def grey(image: np.ndarray) -> np.ndarray:
     """Luminance of a three-channel image taken as BGR; one channel is squeezed, others pass."""
     if image.ndim == 3 and image.shape[2] == 3:
@@ -211,6 +264,22 @@ def tone(frequency: Column, samples: int, sample_rate: int = SAMPLE_RATE, amplit
     return F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), value)
 
 
+def noise(seed: Column, samples: int, amplitude: float = 0.5) -> Column:
+    """``samples`` values spread evenly over -amplitude..amplitude, the same for the same seed."""
+    return F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda i: (F.pmod(F.xxhash64(seed, i), F.lit(1 << 24)) / F.lit(float(1 << 23)) - 1) * F.lit(amplitude))
+
+
+def encode_wav(samples: np.ndarray, sample_rate: int = SAMPLE_RATE) -> bytes:
+    """Sixteen-bit mono WAV bytes of samples in -1..1."""
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(sample_rate)
+        w.writeframes(np.rint(np.clip(samples, -1, 1) * 32767).astype("<i2").tobytes())
+    return out.getvalue()
+
+
 def decode_wav(raw: bytes, max_seconds: float | None = None, target_rate: int = SAMPLE_RATE) -> tuple[np.ndarray, int]:
     """Mono samples in -1..1 of PCM WAV bytes (8, 16 or 32 bit), resampled linearly to ``target_rate``."""
     with wave.open(io.BytesIO(raw)) as w:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import time
+from collections.abc import Callable
+from typing import TypeVar
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillhawk.operators.selection import exact_quantile, first_of_groups
 from quillhawk.runtime import broadcast_if_small, stage
 
+T = TypeVar("T")
+
 
 def label_counts(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("items"))
@@ -63,6 +69,39 @@ def balanced_sample(df: DataFrame, label: str, n: int, order: str, tie: str) ->
     return first_of_groups(df, label, order, tie, quota)
 
 
+def asked_texts(df: DataFrame, id_col: str, text_col: str, n: int = 20, chars: int = 200) -> DataFrame:
+    """(query_id, text): the first ``n`` queries by id, their text cut to ``chars``; blank ones are left out after the cut."""
+    first = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("query_id"), F.substring(F.coalesce(text_col, F.lit("")), 1, chars).alias("text")).orderBy("query_id").limit(n)
+    return first.where(F.trim("text") != "")
+
+
+def answered_only(per_query: DataFrame, hits: DataFrame) -> DataFrame:
+    """Effectiveness rows of the queries that have an answer; the mean over them leaves empty answers out."""
+    return per_query.join(hits.select("query_id").distinct(), "query_id", "left_semi")
+
+
+def measured(spark: SparkSession, run: Callable[[], T]) -> tuple[T, dict[str, float]]:
+    """What ``run`` returns, with its seconds, the driver's peak heap in MB and the bytes read from file systems meanwhile."""
+    heap = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getMemoryPoolMXBeans()
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem
+    read = lambda: sum(s.getBytesRead() for s in files.getAllStatistics())
+    for pool in heap:
+        pool.resetPeakUsage()
+    began, before = time.perf_counter(), read()
+    out = run()
+    peak = sum(p.getPeakUsage().getUsed() for p in heap if p.getType().toString() == "Heap memory")
+    return out, {"seconds": round(time.perf_counter() - began, 3), "peak_mb": round(peak / 1048576, 1), "read_bytes": float(read() - before)}
+
+
+def codebook_sweep(spark: SparkSession, sizes: list[int], run: Callable[[int], DataFrame]) -> DataFrame:
+    """(size, seconds, queries, precision, recall): effectiveness for each codebook size; ``run(size)`` gives rows per query."""
+    rows = []
+    for size in sizes:
+        (mean, figures) = measured(spark, lambda: mean_effectiveness(run(size)).first())  # one row
+        rows.append((size, figures["seconds"], int(mean.queries), float(mean.precision or 0), float(mean.recall or 0)))
+    return spark.createDataFrame(rows, "size int, seconds double, queries bigint, precision double, recall double")
+
+
 def seeded_order(id_col: str, seed: int = 42) -> F.Column:
     """A scrambled order of whole numbers by arithmetic that any SQL can repeat: multiplication modulo a prime."""
     prime = 2_147_483_647

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillhawk.functions import text as T
-from quillhawk.operators import search, tabular
-from quillhawk.plans.common import records, registry, sql_first, table
+from quillhawk.operators import codebook as cb
+from quillhawk.operators import search, tabular, tfidf
+from quillhawk.plans import service
+from quillhawk.plans.common import SQL_BOOK, SQL_CHUNKS, STOP, records, registry, sql_first, sql_tokens, table
 from quillhawk.sources.tables import unique_ids
 
 REGISTERED, query = registry()
@@ -89,6 +91,53 @@ def songs_with_lyrics(spark, sf_dir):
     return rows.select("track_id", F.length("lyrics").alias("num_chars"), F.coalesce("track_name", F.lit("")).alias("title"), F.coalesce("track_artist", F.lit("")).alias("artist"))
 
 
+_LYRICS = f"(select track_id, lyrics as text, track_name, track_artist, playlist_genre from {_SONGS} where lyrics_lang = 'en' and lyrics is not null)"
+_LYRIC_CHUNKS = SQL_CHUNKS.replace("doc_id", "track_id").replace("from documents", f"from {_LYRICS}").replace("track_id::varchar as track_id", "track_id")
+
+
+def _english(spark, sf_dir):
+    return _songs(spark, sf_dir).where("lyrics_lang = 'en' and lyrics is not null")
+
+
+@query(f"""with {_LYRIC_CHUNKS} select track_id, chunk_index, chunk_id, content, coalesce(s.track_name, '') as title, coalesce(s.track_artist, '') as artist, coalesce(s.playlist_genre, '') as genre
+from chunks left join {_LYRICS} s using (track_id)""")
+def lyrics_chunks(spark, sf_dir):
+    """Chunks of the English lyrics with their song."""
+    songs = _english(spark, sf_dir)
+    chunks = T.chunks(songs, "track_id", "lyrics").withColumnRenamed("doc_id", "track_id")
+    return service.with_songs(chunks.select("track_id", "chunk_index", "chunk_id", "content"), service.song_details(songs))
+
+
+@query(f"""with {SQL_BOOK.replace(SQL_CHUNKS, _LYRIC_CHUNKS)},
+qtf as (select track_id as query_id, term, count(*) as count from (select track_id, unnest({sql_tokens('track_name')}) as term from {_LYRICS} where try_cast(substring(track_id, 4) as bigint) % 10 = 0) group by all),
+qh as (select query_id, idx, (1 + ln(count)) * idf as wq from qtf join book using (term)),
+ih as (select chunk_id, idx, (1 + ln(count)) * idf as wi from ctf join book using (term)),
+qn as (select query_id, sqrt(sum(wq * wq)) as nq from qh group by all), cn as (select chunk_id, sqrt(sum(wi * wi)) as ni from ih group by all),
+scored as (select query_id, chunk_id, round(sum(wq * wi / (nq * ni)), 8) as score from qh join ih using (idx) join qn using (query_id) join cn using (chunk_id) group by all),
+hits as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as r from scored qualify r <= 30),
+best as (select *, regexp_extract(chunk_id, '^(.*)_text_', 1) as track_id from hits qualify row_number() over (partition by query_id, track_id order by r) = 1)
+select query_id, (row_number() over (partition by query_id order by score desc, chunk_id))::int as rank, track_id, chunk_id, round(score, 4) as score, coalesce(s.track_name, '') as title, coalesce(s.track_artist, '') as artist, coalesce(s.playlist_genre, '') as genre
+from best left join {_LYRICS} s using (track_id) qualify rank <= 10""")
+def lyrics_search(spark, sf_dir):
+    """The best songs for every tenth song's name, by the best chunk of their lyrics."""
+    songs = _english(spark, sf_dir)
+    pipeline = service.LyricsPipeline(tfidf.Preprocess(custom=STOP))
+    pipeline.index_songs(songs)
+    asked = songs.where("try_cast(substring(track_id, 4) as bigint) % 10 = 0").select(F.col("track_id").alias("query_id"), "track_name")
+    if not pipeline.ready:
+        return spark.createDataFrame([], "query_id string, rank int, track_id string, chunk_id string, score double, title string, artist string, genre string")
+    weights = cb.text_histogram(tfidf.term_frequency(asked, "query_id", "track_name", pipeline.how), pipeline.book, "query_id")
+    hits = search.text_search(weights, pipeline.items, "query_id", "chunk_id", 30)
+    first = search.first_per_document(hits, "query_id", "chunk_id", F.regexp_extract("chunk_id", "^(.*)_text_", 1), 10).withColumnRenamed("document", "track_id")
+    return service.with_songs(first, pipeline.songs)
+
+
+@query(f"select track_id, {', '.join(f'round({c}::decimal(18, 8), {tabular.DECIMALS.get(c, 3)})::double as {c}' for c in tabular.FEATURES)} from {_SONGS}")
+def song_metadata(spark, sf_dir):
+    """The songs' features rounded for display."""
+    return tabular.metadata(_songs(spark, sf_dir), "track_id")
+
+
 _OK = " and ".join(f"{c} is not null and not isnan({c}::double)" for c in tabular.FEATURES)
 _SCALED = f"s as (select * from {_SONGS} where {_OK}), r as (select {', '.join(f'min({c})::double as lo_{c}, max({c})::double as hi_{c}' for c in tabular.FEATURES)} from s), f as (select track_id, [{', '.join(f'({c}::double - lo_{c}) / coalesce(nullif(hi_{c} - lo_{c}, 0), 1)' for c in tabular.FEATURES)}] as features from s, r)"
 

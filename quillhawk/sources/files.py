@@ -31,6 +31,24 @@ def read_texts(spark: SparkSession, dirs: list[str], max_files: int | None = Non
     return _placed(raw.select("path", file_stem(F.col("path")).alias("doc_id"), "text"), dirs, max_files)
 
 
+def read_document(spark: SparkSession, path: str, decode: Callable[[bytes], list[str]] | None = None) -> DataFrame:
+    """(doc_id, page, text) of one file: text and Markdown as page 1, paged documents by ``decode``.
+
+    A missing file is a ``FileNotFoundError``, a file of another kind a ``ValueError``.
+    """
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        raise FileNotFoundError(path)
+    kind = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
+    if kind in ("txt", "md"):
+        text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+        return text.select(file_stem(F.col("path")).alias("doc_id"), F.lit(1).alias("page"), F.col("value").alias("text"))
+    if kind == "pdf":
+        raw = spark.read.format("binaryFile").load(path)
+        return read_pages(raw.select(file_stem(F.col("path")).alias("doc_id"), "content"), decode)
+    raise ValueError(f"files of kind {kind!r} are not read")
+
+
 def read_binaries(spark: SparkSession, dirs: list[str], kinds: tuple[str, ...], limit: int | None = None) -> DataFrame:
     """(path, doc_id, content, dir_rank) of the directories and all below them, by extension in any case."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(dirs)

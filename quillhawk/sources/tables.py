@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from quillhawk.runtime import first_wins
 
 SCHEMAS = {
-    "pg_text_docs": "id bigint, chunk_id string, title string, snippet string, source string, content string",
-    "pg_image_docs": "id bigint, chunk_id string, filename string, image_url string, title string, embedding array<float>",
-    "pg_audio_docs": "id bigint, chunk_id string, filename string, genre string, title string, audio_url string, embedding array<float>",
+    "pg_text_docs": "id bigint, chunk_id string, title string, snippet string, source string, content string, indexed_at timestamp",
+    "pg_image_docs": "id bigint, chunk_id string, filename string, image_url string, title string, embedding array<float>, indexed_at timestamp",
+    "pg_audio_docs": "id bigint, chunk_id string, filename string, genre string, title string, audio_url string, embedding array<float>, indexed_at timestamp",
 }
 
 
@@ -41,11 +41,11 @@ def merge_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return new.unionByName(old.join(new.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
 
 
-def unique_ids(df: DataFrame, id_col: str, order: str) -> DataFrame:
-    """Later rows with an id get ``id__dup{n}_{order}``; the id before is kept as ``source_{id}``."""
+def unique_ids(df: DataFrame, id_col: str, order: str, suffix: str | None = None) -> DataFrame:
+    """Later rows with an id get ``id__dup{n}_{suffix}`` (``order`` without one); the id before is kept as ``source_{id}``."""
     n = F.row_number().over(Window.partitionBy(id_col).orderBy(order)) - 1
     out = df.withColumn(f"source_{id_col}", F.col(id_col)).withColumn("__n", n)
-    again = F.concat(F.col(id_col), F.lit("__dup"), F.col("__n").cast("string"), F.lit("_"), F.col(order).cast("string"))
+    again = F.concat(F.col(id_col), F.lit("__dup"), F.col("__n").cast("string"), F.lit("_"), F.col(suffix or order).cast("string"))
     return out.withColumn(id_col, F.when(F.col("__n") > 0, again).otherwise(F.col(id_col))).drop("__n")
 
 
