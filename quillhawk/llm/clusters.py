@@ -199,7 +199,7 @@ def fit_kmeans(vectors: DataFrame, dim: int, features: Features, k: int, rounds:
 
     def step() -> pa.Table:
         sums = map_arrow(vectors, partial(_sums, dim=dim, features=features, shared=share(centres)), _SUMS)
-        parts = max(1, min(64, len(centres) // 16))
+        parts = max(1, min(64, len(centres) * width * 4 >> 20))  # a task's sums of all centres, in megabytes
         return map_arrow(sums.repartition(parts, "cell"), partial(_add, width=width), _SUMS).toArrow()  # one row a centre
 
     weight, got = np.zeros(len(centres)), step()
@@ -229,44 +229,54 @@ def _light(batches: Iterable[pa.RecordBatch], dim: int, features: Features, shar
         yield b.drop_columns(["v"])
 
 
-def _labels(near: np.ndarray) -> np.ndarray:
-    """Component of each row of a symmetric boolean matrix: the smallest member's position."""
-    n = len(near)
-    label = np.full(n, -1)
-    for start in range(n):
-        if label[start] >= 0:
-            continue
-        label[start] = start
-        front = np.array([start])
-        while len(front):
-            front = np.flatnonzero(near[front].any(axis=0) & (label < 0))
-            label[front] = start
-    return label
-
-
-def _within(x: np.ndarray, y: np.ndarray, radius: float, rough: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-    """Which rows of x and y, of unit length, are at most ``radius`` apart; products in single precision, doubts in double."""
-    limit = radius * radius
-    a, b = rough or (x.astype(np.float32), y.astype(np.float32))
-    d = 2 - 2 * (a @ b.T)
-    near = d <= limit
-    i, j = np.nonzero(np.abs(d - limit) < 1e-5)
-    if len(i):
-        near[i, j] = np.sqrt(exact_squares(x[i], y[j])) <= radius
-    return near
+def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest place in the component of each of n places that the pairs (i, j) join."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        least = np.minimum(label[i], label[j])
+        np.minimum.at(label, label[i], least)
+        np.minimum.at(label, label[j], least)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def _close_links(x: np.ndarray, some: np.ndarray, y: np.ndarray, rough_x: np.ndarray, rough_y: np.ndarray, radius: float, same: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of rows of x among ``some`` and rows of y, of unit length, at most ``radius`` apart.
+
+    Rows of y are counted on from those of x; with ``same`` y is x and every pair is looked at once. Products are taken in
+    single precision (``rough_x``, ``rough_y``), pairs in doubt are compared by double-precision differences.
+    """
+    least, shift = 1 - radius * radius / 2, 0 if same else len(x)
+    cosine = rough_x[some] @ rough_y.T
+    i, j = np.divmod(np.flatnonzero(cosine >= np.float32(least - 1e-5)), len(y))
+    if same:
+        i, j = i[i < j], j[i < j]
+    doubt = np.flatnonzero(cosine[i, j] < least + 1e-5)
+    if len(doubt):
+        far = np.concatenate([np.sqrt(exact_squares(x[some[i[d]]], y[j[d]])) > radius for d in np.array_split(doubt, 1 + len(doubt) // 20_000)])
+        i, j = np.delete(i, doubt[far]), np.delete(j, doubt[far])
+    if not len(i):
+        return i, j
+    ends, place = np.unique(np.concatenate([some[i], j + shift]), return_inverse=True)
+    label = _labels(len(ends), place[: len(i)], place[len(i) :])
+    rest = np.flatnonzero(label != np.arange(len(ends)))
+    return ends[rest], ends[label[rest]]
 
 
 def _close(table: pa.Table, dim: int, radius: float) -> pa.Table:
-    """Within a block pair, links of every row to the smallest row of its component of pairs at most ``radius`` apart."""
-    table = table.sort_by("id")
+    """Within a block of a cell, or between two blocks, links of rows at most ``radius`` apart."""
     ids, x = table.column("id").combine_chunks(), unit(unpacked(table.column("v"), dim))
-    near = _within(x, x, radius)
-    near |= near.T
-    np.fill_diagonal(near, False)
-    some = np.flatnonzero(near.any(axis=1))
-    label = some[_labels(near[np.ix_(some, some)])] if len(some) else some
-    keep = some != label
-    return pa.table([ids.take(pa.array(some[keep])), ids.take(pa.array(label[keep]))], names=["a", "b"])
+    rough = x.astype(np.float32)
+    if table.column("left")[0].as_py() == table.column("right")[0].as_py():
+        a, b = _close_links(x, np.arange(len(x)), x, rough, rough, radius, same=True)
+    else:
+        left = table.column("is_left").to_numpy(zero_copy_only=False)
+        one, two = np.flatnonzero(left), np.flatnonzero(~left)
+        place = np.concatenate([one, two])
+        a, b = (place[e] for e in _close_links(x[one], np.arange(len(one)), x[two], rough[one], rough[two], radius))
+    return pa.table([ids.take(pa.array(a)), ids.take(pa.array(b))], names=["a", "b"])
 
 
 def _members(files: list[str], low: int, high: int, part: int, parts: int) -> tuple[np.ndarray, np.ndarray, pa.ChunkedArray]:
@@ -322,15 +332,10 @@ def _borders(batches: Iterable[pa.RecordBatch], dim: int, shared, block: tuple[l
                 i = np.flatnonzero(enter[:, c])
                 for low in range(first[c], last[c], 2000):
                     high = min(low + 2000, last[c])
-                    near = _within(x[i], y[low:high], radius, (rough_x[i], rough_y[low:high]))
-                    p, q = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
-                    if not len(p):
-                        continue
-                    whole = np.zeros((len(p) + len(q),) * 2, dtype=bool)
-                    whole[: len(p), len(p) :] = near[np.ix_(p, q)]
-                    label = _labels(whole | whole.T)
-                    names, keep = np.concatenate([ids[i[p]], m_ids[low + q]]), label != np.arange(len(label))
-                    yield pa.RecordBatch.from_arrays([pa.array(names[keep], kind), pa.array(names[label[keep]], kind)], names=["a", "b"])
+                    p, q = _close_links(x, i, y[low:high], rough_x, rough_y[low:high], radius)
+                    if len(p):
+                        names = np.concatenate([ids, m_ids[low:high]])
+                        yield pa.RecordBatch.from_arrays([pa.array(names[p], kind), pa.array(names[q], kind)], names=["a", "b"])
 
 
 class Clusters:
@@ -379,13 +384,13 @@ class Clusters:
         counts = sorted((r.cell, r.n) for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect())  # one row a cell
         many = spark.createDataFrame([(c, -(-n // block_rows)) for c, n in counts if n > 1], "cell bigint, blocks int")
         block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-        pairs = rows.join(F.broadcast(many), "cell").select("id", "v", "cell", F.explode(block_pairs(block, F.col("blocks"))).alias("p")).select("id", "v", "cell", "p.left", "p.right")
-        links = pairs.groupBy("cell", "left", "right").applyInArrow(lambda t: _close(t, dim, radius), link)
         sums = map_arrow(rows.select("id", "cell", "v"), partial(_raw_sums, dim=dim, cells=len(self.centres)), _SUMS)
-        got = map_arrow(sums.repartition(max(1, min(64, len(self.centres) // 16)), "cell"), partial(_add, width=dim), _SUMS).toArrow()  # one row a cell
+        got = map_arrow(sums.repartition(max(1, min(64, len(self.centres) * dim * 4 >> 20)), "cell"), partial(_add, width=dim), _SUMS).toArrow()  # one row a cell
         means = np.zeros((len(self.centres), dim), dtype=np.float32)
         means[got.column("cell").to_numpy()] = unpacked(got.column("v"), dim) / got.column("rows").to_numpy()[:, None]
         self.means = spark.sparkContext.broadcast(means)
+        pairs = rows.join(F.broadcast(many), "cell").select("id", "v", "cell", F.explode(block_pairs(block, F.col("blocks"))).alias("p")).select("id", "v", "cell", "p.left", "p.right", "p.is_left")
+        links = pairs.groupBy("cell", "left", "right").applyInArrow(lambda t: _close(t, dim, radius), link)
         for found in self._between(rows, counts, radius, scan_rows, link) if len(counts) > 1 else []:
             links = links.unionByName(found)
         links = stage(links, "close", shuffled=4 * dim * self.rows)
