@@ -1,4 +1,4 @@
-"""Snowball stemming (English and Spanish), from the published descriptions of the algorithms, as an Arrow function."""
+"""Snowball stemming (English, Spanish and German), from the published descriptions of the algorithms, as an Arrow function."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillhawk.runtime import broadcast_if_small, ship, stage
 
-_VOWELS = {"english": "aeiouy", "spanish": "aeiouáéíóúü"}
+_VOWELS = {"english": "aeiouy", "spanish": "aeiouáéíóúü", "german": "aeiouyäöü"}
 
 
 def _region(word: str, vowels: str, start: int = 0) -> int:
@@ -193,7 +193,55 @@ def stem_spanish(word: str) -> str:
     return w.translate(plain)
 
 
-_STEMMERS = {"english": stem_english, "spanish": stem_spanish}
+# Fixed values of the published German algorithm: letters that may stand before a final s and before a final st.
+_DE_S, _DE_ST = "bdfghklmnrt", "bdfghklmnt"
+
+
+def stem_german(word: str) -> str:
+    v = _VOWELS["german"]
+    w = word.lower().replace("ß", "ss")
+    w = "".join(c.upper() if c in "uy" and 0 < i < len(w) - 1 and w[i - 1] in v and w[i + 1] in v else c for i, c in enumerate(w))
+    r1 = _region(w, v)
+    r2 = _region(w, v, r1)
+    r1 = max(r1, min(3, len(w)))
+
+    def ends(ending: str, region: int) -> bool:
+        return w.endswith(ending) and len(w) - len(ending) >= region
+
+    # plurals and cases
+    e = _longest(w, ("em", "ern", "er", "e", "en", "es", "s"))
+    if e and ends(e, r1) and (e != "s" or (len(w) > 1 and w[-2] in _DE_S)):
+        w = w[: -len(e)]
+        if e in ("e", "en", "es") and w.endswith("niss"):
+            w = w[:-1]
+    # comparison
+    e = _longest(w, ("en", "er", "est", "st"))
+    if e and ends(e, r1) and (e != "st" or (len(w) > 5 and w[-3] in _DE_ST)):
+        w = w[: -len(e)]
+    # derivation
+    e = _longest(w, ("end", "ung", "ig", "ik", "isch", "lich", "heit", "keit"))
+    if e and ends(e, r2):
+        rest = w[: -len(e)]
+        if e in ("end", "ung"):
+            w = rest
+            if ends("ig", r2) and not w.endswith("eig"):
+                w = w[:-2]
+        elif e in ("ig", "ik", "isch"):
+            w = w if rest.endswith("e") else rest
+        elif e in ("lich", "heit"):
+            w = rest
+            if ends("er", r1) or ends("en", r1):
+                w = w[:-2]
+        else:
+            w = rest
+            for inner in ("lich", "ig"):
+                if ends(inner, r2):
+                    w = w[: -len(inner)]
+                    break
+    return w.lower().translate(str.maketrans("äöü", "aou"))
+
+
+_STEMMERS = {"english": stem_english, "spanish": stem_spanish, "german": stem_german}
 
 
 @lru_cache(maxsize=200_000)

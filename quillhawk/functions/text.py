@@ -125,6 +125,22 @@ def static_url(prefix: str, path: Column) -> Column:
     return F.concat(F.lit(prefix + "/"), F.array_join(F.transform(F.split(path, "/"), lambda s: F.regexp_replace(F.url_encode(s), r"\+", "%20")), "/"))
 
 
+def below(path: Column, root: str) -> Column:
+    """The part of a path below the folder ``root`` (its first occurrence), null if the path isn't below it."""
+    return F.nullif(F.regexp_extract(path, rf"^(?:.*?/)?{root}/(.+)$", 1), F.lit(""))
+
+
+def file_id(path: Column, root: str = "data") -> Column:
+    """The folders below ``root`` and the stem, joined by underscores; of other paths the last folder and the stem."""
+    parts = lambda p: F.regexp_replace(F.regexp_replace(p, r"(?<=[^/])\.[^./]*$", ""), "/", "_")
+    return F.coalesce(parts(below(path, root)), parts(F.regexp_extract(path, r"([^/]*/?[^/]*)$", 1)))
+
+
+def media_url(path: Column, places: dict[str, str]) -> Column:
+    """The encoded URL of a file below the first matching folder of ``places`` (folder -> URL prefix), empty for other files."""
+    return F.coalesce(*[static_url(prefix, below(path, folder)) for folder, prefix in places.items()], F.lit(""))
+
+
 def repaired_path(path: Column, root: str = "data") -> Column:
     """A stored path re-rooted at ``full/`` or ``samples/`` under ``root``; other paths stay."""
     return F.regexp_replace(path, r"^.*?/?data/(full|samples)/", f"{root}/$1/")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillhawk.functions.stem import stem_tokens
+from quillhawk.functions.stem import stem_tokens, stemmed
 from quillhawk.functions.text import stopwords, tokens
 from quillhawk.runtime import broadcast_if_small
 
@@ -20,9 +20,11 @@ class Preprocess:
     custom: tuple[str, ...] = ()
     stem: bool = False
 
+    def stop(self, df: DataFrame) -> list[str]:
+        return stopwords(df.sparkSession, self.language, custom=self.custom) if self.language else list(self.custom)
+
     def tokens(self, df: DataFrame, text: str) -> Column:
-        stop = stopwords(df.sparkSession, self.language, custom=self.custom) if self.language else list(self.custom)
-        found = tokens(F.col(text), stop)
+        found = tokens(F.col(text), self.stop(df))
         return stem_tokens(found, self.language or "") if self.stem else found
 
 
@@ -34,9 +36,17 @@ def token_rows(df: DataFrame, id_col: str, text_col: str, how: Preprocess = Prep
 def term_frequency(df: DataFrame, id_col: str, text_col: str, how: Preprocess = Preprocess()) -> DataFrame:
     """(id, term, count); texts without terms have no rows here, so keep the item table beside it.
 
-    An item's terms arise in one task, so the partial aggregation already ends with one row per item and term.
+    An item's terms arise in one task, so the partial aggregation already ends with one row per item and term. Stop words
+    are dropped by a hash lookup, stems are taken of the distinct terms.
     """
-    return df.select(id_col, F.explode(how.tokens(df, text_col)).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("count"))
+    words = df.select(id_col, F.explode(tokens(F.col(text_col))).alias("term"))
+    stop = how.stop(df)
+    if stop:
+        words = words.join(F.broadcast(df.sparkSession.createDataFrame([(w,) for w in stop], "term string")), "term", "left_anti")  # a fixed list
+    counts = words.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("count"))
+    if not how.stem:
+        return counts
+    return stemmed(counts, "term", how.language or "").groupBy(id_col, "term").agg(F.sum("count").alias("count"))
 
 
 def term_maps(items: DataFrame, tf: DataFrame, id_col: str) -> DataFrame:

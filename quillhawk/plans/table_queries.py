@@ -64,6 +64,15 @@ def manifest_paths(spark, sf_dir):
     return rows.select(T.file_stem(F.col("path")).alias("stem"), genre.alias("genre"), T.repaired_path(F.col("path"), "mnt").alias("repaired")).distinct()
 
 
+@query(r"""with p as (select distinct path, regexp_extract(path, '^(?:.*?/)?data/(.+)$', 1) as rel, regexp_extract(path, '^(?:.*?/)?data/samples/audio/(.+)$', 1) as sample, regexp_extract(path, '^(?:.*?/)?data/full/(.+)$', 1) as whole from audio_manifest where path is not null)
+select path, replace(regexp_replace(case when rel <> '' then rel else regexp_extract(path, '([^/]*/?[^/]*)$', 1) end, '([^/])\.[^./]*$', '\1'), '/', '_') as file_id,
+ case when sample <> '' then '/audio-samples/' || replace(url_encode(sample), '%2F', '/') when whole <> '' then '/audio-full/' || replace(url_encode(whole), '%2F', '/') else '' end as url from p""")
+def media_urls(spark, sf_dir):
+    """Ids and URLs of the recordings of the manifest, from their paths."""
+    rows = table(spark, sf_dir, "audio_manifest").where("path is not null").select("path").distinct()
+    return rows.select("path", T.file_id(F.col("path")).alias("file_id"), T.media_url(F.col("path"), {"data/samples/audio": "/audio-samples", "data/full": "/audio-full"}).alias("url"))
+
+
 @query(f"""with m as (select lower(song_id) as stem, min(dataset) as dataset from audio_manifest where song_id is not null group by all)
 select id, regexp_extract(filename, '^(.+)\\.[^.]*$', 1) as stem, coalesce(dataset, '') as dataset from {sql_first('pg_audio_docs', 'filename')} a left join m on m.stem = regexp_extract(filename, '^(.+)\\.[^.]*$', 1) where filename is not null and filename like '%.%'""")
 def manifest_join(spark, sf_dir):

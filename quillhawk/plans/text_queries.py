@@ -51,7 +51,7 @@ def text_tokens(spark, sf_dir):
 
 @query()
 def stem_tokens_languages(spark, sf_dir):
-    """Full preprocessing by the documents' language: the library's stop words where it has them, Snowball stems for English and Spanish, other words as they are."""
+    """Full preprocessing by the documents' language: the library's stop words where it has them, Snowball stems for English, Spanish and German, other words as they are."""
     lang = F.coalesce(F.lower(F.substring(F.trim("lang"), 1, 2)), F.lit(""))
     known = (("en", "english"), ("es", "spanish"), ("fr", "french"), ("de", "german"))
     out = None

@@ -103,4 +103,24 @@ def test_stems_of_all_languages(spark, tmp_path):
     rows = [(1, "en", "running houses"), (2, "ES-mx", "casas"), (3, "fr", "les maisons"), (4, "de", "und katzen"), (5, None, "the running"), (6, "xx", "running")]
     spark.createDataFrame(rows, "doc_id bigint, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((r.doc_id, r.stem) for r in stem_tokens_languages(spark, str(tmp_path)).collect())
-    assert got == [(1, "hous"), (1, "run"), (2, "cas"), (3, "maisons"), (4, "katzen"), (5, "running"), (5, "the"), (6, "running")]
+    assert got == [(1, "hous"), (1, "run"), (2, "cas"), (3, "maisons"), (4, "katz"), (5, "running"), (5, "the"), (6, "running")]
+
+
+def test_file_ids_and_urls(spark):
+    paths = ["x/data/full/a b/c.d.wav", "data/samples/audio/t.wav", "other/dir/n.wav", "n", "data/.hidden"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    got = {r.p: (r.i, r.u) for r in df.select("p", T.file_id(F.col("p")).alias("i"), T.media_url(F.col("p"), {"data/samples/audio": "/s", "data/full": "/f"}).alias("u")).collect()}
+    assert got == {"x/data/full/a b/c.d.wav": ("full_a b_c.d", "/f/a%20b/c.d.wav"), "data/samples/audio/t.wav": ("samples_audio_t", "/s/t.wav"), "other/dir/n.wav": ("dir_n", ""), "n": ("n", ""), "data/.hidden": (".hidden", "")}
+
+
+def test_german_stems():
+    from quillhawk.functions.stem import stem
+
+    known = {"häuser": "haus", "bedeutungen": "bedeut", "aufeinander": "aufeinand", "kategorien": "kategori", "freundlichkeit": "freundlich", "ergebnisse": "ergebnis", "größer": "gross", "jahre": "jahr", "reinheit": "reinheit", "neuigkeit": "neuig", "ei": "ei", "": ""}
+    assert {w: stem(w, "german") for w in known} == known
+
+
+def test_counts_drop_stop_words_and_join_stems(spark):
+    df = spark.createDataFrame([(1, "The running runs and the run"), (2, None)], "id int, term string")
+    how = tfidf.Preprocess(language="english", stem=True)
+    assert [tuple(r) for r in tfidf.term_frequency(df, "id", "term", how).collect()] == [(1, "run", 3)]
