@@ -3,7 +3,7 @@
 The automaton holds every run of words of every item; it is built once and sent to the executors, which stream their
 documents through it and track the longest match. Items with more words than ``MOST_WORDS`` together are taken in shards
 of that size, one automaton each, and ``TOGETHER`` of them take one pass over the documents, so what is sent and held for a
-pass stays bounded.
+pass stays bounded; the spans of a pass are staged and its automata given up before the next are built.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillhawk.llm.textarrays import blocks, text_batches, tokens
-from quillhawk.runtime import map_arrow
+from quillhawk.runtime import map_arrow, stage
 
 #: Words of the items of one automaton (about 1 kB each at the worst), and automata taken through the documents together.
 MOST_WORDS, TOGETHER = 50_000, 4
@@ -166,7 +166,14 @@ def leaked_spans(docs: DataFrame, id_col: str, text_col: str, items: DataFrame,
     kind = source.schema["doc_id"].dataType
     schema = f"doc_id {kind.simpleString()}, item_id bigint, start int, stop int, words int"
     shard: list[tuple[int, np.ndarray]] = []
-    held, automata = 0, []
+    held, automata, parts = 0, [], []
+
+    def scan() -> None:
+        """One pass with the automata at hand, which are then given up."""
+        parts.append(stage(map_arrow(source, partial(_scan, shared=list(automata), kind=to_arrow_type(kind)), schema), "spans"))
+        for sent in automata:
+            sent.destroy()
+        automata.clear()
 
     def close() -> None:
         nonlocal shard, held
@@ -174,6 +181,8 @@ def leaked_spans(docs: DataFrame, id_col: str, text_col: str, items: DataFrame,
         words = [(i, np.searchsorted(known, h).tolist()) for i, h in shard]
         value = (known, Automaton(words, run), min(min(len(w) for _, w in words), run))
         automata.append(spark.sparkContext.broadcast(value))
+        if len(automata) == TOGETHER:
+            scan()
         shard, held = [], 0
 
     for r in items.select(F.col(item_col).cast("bigint").alias("i"), F.col(item_text_col).alias("t")).where("i is not null and t is not null").distinct().orderBy("i", "t").toLocalIterator():
@@ -185,7 +194,8 @@ def leaked_spans(docs: DataFrame, id_col: str, text_col: str, items: DataFrame,
                 close()
     if shard:
         close()
-    parts = [map_arrow(source, partial(_scan, shared=automata[a : a + TOGETHER], kind=to_arrow_type(kind)), schema) for a in range(0, len(automata), TOGETHER)]
+    if automata:
+        scan()
     if not parts:
         return spark.createDataFrame([], schema)
     out = parts[0]
