@@ -88,15 +88,34 @@ def _sets(batches: Iterable[pa.RecordBatch], run: int, least: int, kind: pa.Data
             yield pa.RecordBatch.from_arrays([pa.array(ids, kind).take(pa.array(which)), pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64)))], names=["id", "set"])
 
 
-def _frequent(batches: Iterable[pa.RecordBatch], seen: int) -> Iterator[pa.RecordBatch]:
-    """Mask values that the task meets at least ``seen`` times, with the times."""
-    held: dict[int, int] = {}
+def _frequent(batches: Iterable[pa.RecordBatch], seen: int, kept: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """Mask values that the task meets at least about ``seen`` times, with the times, in bounded memory.
+
+    Counts of frequent items by decrement: when more than twice ``kept`` values are held, all lose the count of the one at
+    place ``kept``. A value loses at most the task's rows divided by ``kept``; that share is added to every count at the end,
+    so none that is frequent is missed.
+    """
+    keys, times, lost = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    waiting: list[np.ndarray] = []
+
+    def merge() -> None:
+        nonlocal keys, times, lost
+        some, n = np.unique(np.concatenate([keys[:0], *waiting]), return_counts=True)
+        waiting.clear()
+        keys, back = np.unique(np.concatenate([keys, some]), return_inverse=True)
+        times = np.bincount(back, weights=np.concatenate([times, n]), minlength=len(keys)).astype(np.int64)
+        if len(keys) > 2 * kept:
+            cut = int(np.partition(times, len(times) - kept)[len(times) - kept])
+            lost += cut
+            keys, times = keys[times > cut], times[times > cut] - cut
+
     for b in batches:
-        keys, times = np.unique(b.column(0).to_numpy(), return_counts=True)
-        for k, n in zip(keys[times > 1].tolist(), times[times > 1].tolist()):
-            held[k] = held.get(k, 0) + n
-    found = [(k, n) for k, n in held.items() if n >= seen]
-    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], names=["key", "n"])
+        waiting.append(b.column(0).to_numpy())
+        if sum(map(len, waiting)) >= 4 * kept:
+            merge()
+    merge()
+    found = times + lost >= seen
+    yield pa.RecordBatch.from_arrays([pa.array(keys[found]), pa.array(times[found] + lost)], names=["key", "n"])
 
 
 class NearDuplicates:
@@ -132,7 +151,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, similarity: float
     texts of fewer than ``least_words`` words take no part; null ids neither; ids are taken as unique. An empty table
     gives empty results. No bucket is capped: classes collapse copies first, and a mask value of more than ``key_rows``
     texts is joined in pairs of blocks, each a key of its own. (Values are counted in the tasks that meet them ``_SEEN``
-    times; one spread thinner than that is left to adaptive execution.) Pairs within the covering radius are found surely given the sketch; a pair of similarity 0.55 lies in reach of
+    times or more; one spread thinner than that over the tasks is left to adaptive execution.) Pairs within the covering radius are found surely given the sketch; a pair of similarity 0.55 lies in reach of
     some mask with probability above 0.99, one of 0.6 above 0.999.
     """
     from pyspark.sql.pandas.types import to_arrow_type

@@ -15,7 +15,7 @@ from quillhawk.llm.components import components
 from quillhawk.llm.distinctive import adjust, ln_upper_tail, term_scores
 from quillhawk.llm.frequencies import mark_frequencies, ngram_frequencies
 from quillhawk.llm.leakage import Automaton, clean_documents, leaked_items, leaked_spans
-from quillhawk.llm.nearduplicates import masks, near_duplicates, radius
+from quillhawk.llm.nearduplicates import _frequent, masks, near_duplicates, radius
 from quillhawk.llm.spam import LABELS, LEVELS, STATES, first_model, fit, label, label_alone, spam_pages, units
 from quillhawk.llm.splitting import cut, split_oversized
 from quillhawk.llm.textarrays import tokens
@@ -179,6 +179,20 @@ def test_near_duplicates_equal_brute_force(spark):
     assert empty.pairs().count() == 0 and empty.groups().count() == 0
 
 
+def test_frequent_values_are_not_missed():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    keys = np.concatenate([np.repeat([7, 8], [4000, 900]), rng.integers(100, 2**60, 60_000)])
+    rng.shuffle(keys)
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[a : a + 1000])], names=["key"]) for a in range(0, len(keys), 1000)]
+    for kept in (500, 100_000):
+        found = pa.Table.from_batches(_frequent(batches, 500, kept)).to_pydict()
+        got = dict(zip(found["key"], found["n"]))
+        assert got[7] >= 4000 and got[8] >= 900 and got[7] <= 4000 + len(keys) / kept
+    assert set(got) == {7, 8} and got[7] == 4000
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 100), (300, 300), (7, 7)] + [(1000, 1000 + i) for i in range(1, 50)]
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "a int, b int"), "a", "b").collect()}
