@@ -120,3 +120,48 @@ def test_mix(spark):
     assert sum(r.share for r in by.values()) == pytest.approx(1)
     empty, report = mix_sources(docs.limit(0), "doc_id", "text", "source", "category", "lang", targets)
     assert empty.count() == 0 and report.count() == 3
+
+
+def test_sizes_are_tokens_and_shortages_follow_the_documents(spark):
+    """A short source with documents in two domains leaves its shortage to the siblings of each in equal parts."""
+    from quillhawk.llm.mixing import VOCABULARY, _encoding
+
+    encode = _encoding(VOCABULARY).encode_ordinary
+    text = "Die Katze sat on the mat, and 12 ratones ran! " * 3
+    rows = [(i, text, "short", "a" if i % 2 else "b", "en") for i in range(4)]
+    rows += [(100 + i, text, "in_a", "a", "en") for i in range(60)] + [(200 + i, text, "in_b", "b", "EN") for i in range(60)] + [(300 + i, text + str(i), "apart", "c", "de") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string, category string, lang string")
+    targets = spark.createDataFrame([("short", 0.4, 2), ("in_a", 0.2, 4), ("in_b", 0.2, 4), ("apart", 0.2, 4)], "source string, weight double, max_repeats int")
+    usage, report = mix_sources(docs, "doc_id", "text", "source", "category", "lang", targets)
+    by = {r.source: r for r in report.collect()}
+    sizes = {s: sum(len(encode(t)) for _, t, x, _, _ in rows if x == s) for s in by}
+    assert {s: r["size"] for s, r in by.items()} == sizes
+    whole = sum(sizes.values())
+    missing = 0.4 * whole - 2 * sizes["short"]
+    assert by["short"].planned == pytest.approx(2 * sizes["short"]) and by["short"].short
+    assert by["apart"].planned == pytest.approx(0.2 * whole)
+    assert by["in_a"].planned == pytest.approx(0.2 * whole + missing / 2) and by["in_b"].planned == pytest.approx(by["in_a"].planned)
+    tokens = {i: len(encode(t)) for i, t, *_ in rows}
+    used = {}
+    for r in usage.collect():
+        assert r.tokens == tokens[r.doc_id]
+        used[r.source] = used.get(r.source, 0) + r.uses * r.tokens
+    longest = max(tokens.values())
+    for s, r in by.items():
+        assert r.used == used[s] and abs(r.used - r.planned) <= longest
+
+
+def test_found_rows_need_the_plan(spark, monkeypatch):
+    """Without the exchanges of counts or the budgets the reports name other rows."""
+    from quillhawk.llm import mixing, proportional
+
+    df = spark.createDataFrame([(i, "a") for i in range(80)] + [(100 + i, "b") for i in range(5)], "id int, g string")
+    goals = {"g": [Target("a", 0.5, 1), Target("b", 0.5, 1)]}
+    assert {r.category for r in proportional_sample(df, "id", goals, 0.4)[1].where("short").collect()} == {"b"}
+    monkeypatch.setattr(proportional, "plan_counts", lambda available, member, target, floor, size, seed: np.minimum(available, size // len(available) // 4))
+    assert proportional_sample(df, "id", goals, 0.4)[1].where("short").count() == 0
+    docs = spark.createDataFrame([(i, "word " * 10, "big" if i else "tiny", "m", "en") for i in range(30)], "doc_id int, text string, source string, category string, lang string")
+    targets = spark.createDataFrame([("big", 0.5, 2), ("tiny", 0.5, 2)], "source string, weight double, max_repeats int")
+    assert {r.source for r in mix_sources(docs, "doc_id", "text", "source", "category", "lang", targets)[1].where("short").collect()} == {"tiny"}
+    monkeypatch.setattr(mixing, "budgets", lambda leaves, amount: [0.0] * len(leaves))
+    assert mix_sources(docs, "doc_id", "text", "source", "category", "lang", targets)[1].where("short").count() == 0

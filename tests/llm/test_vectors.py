@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillhawk.llm.clusters import Clusters, component_weights, feature_count, hashed_features, similarity_clusters
-from quillhawk.llm.neighbours import all_neighbours, near_neighbours, probe_sets, scan_neighbours
+from quillhawk.llm.neighbours import Hashing, all_neighbours, near_neighbours, probe_sets, scan_neighbours, sign_limit
 from quillhawk.llm.vectors import packed, unpacked
 
 DIM = 24
@@ -149,3 +149,17 @@ def test_steps_across_cell_borders(spark):
     assert model.cells().select("cell").distinct().count() > 4
     for scan_rows in (10_000, 7):
         assert {r.id: r.cluster_id for r in model.close(0.4, scan_rows=scan_rows).collect()} == {i: 0 for i in range(160)}
+
+
+def test_tables_and_probes_decide_what_is_found(spark, groups):
+    """One table without probes misses neighbours that the full set of tables and probes finds."""
+    d = exact(groups)
+    near = {(i, j) for i, j in zip(*np.nonzero(d <= 0.4))}
+
+    def found(h):
+        return {(r.id, r.neighbour) for r in near_neighbours(table(spark, groups), "key", "v", 7, hashing=h).collect()} & near
+
+    few, many = found(Hashing(tables=1, probes=0)), found(Hashing())
+    assert len(few) < 0.9 * len(near) and few < many
+    assert len(many) >= 0.999 * len(near)
+    assert sign_limit(0.4) < sign_limit(0.6) < 256
