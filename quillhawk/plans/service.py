@@ -219,6 +219,12 @@ def check_k(k: int) -> None:
         raise ValueError("k must be from 1 to 100")
 
 
+def stateless_search(records: DataFrame, query: list[float], k: int, modality: str) -> dict:
+    """The envelope of a search over records that come with the request; k from 1 to 100."""
+    check_k(k)
+    return envelope(lambda: search.search_records(records, query, k, modality), {"n_comparisons": records.count(), "vector_dim": len(query)})
+
+
 class FulltextTable:
     """Stored full-text postings of a table and the search surface over them; rows with blank texts are left out."""
 

@@ -160,6 +160,15 @@ def test_index_build_and_accessors(spark, tmp_path):
         index.build(records.union(records), path)
 
 
+def test_stateless_search(spark):
+    records = spark.createDataFrame([("a", "image", [1.0, 0.0], {}), ("b", "image", [0.0, 1.0], {"k": "v"})], "chunk_id string, modality string, histogram array<double>, metadata map<string,string>")
+    out = service.stateless_search(records, [0.0, 1.0], 1, "image")
+    assert [(r["chunk_id"], r["score"], r["metadata"]) for r in out["results"]] == [("b", 0.0, {"k": "v"})] and out["stats"]["vector_dim"] == 2
+    for k in (0, 101):
+        with pytest.raises(ValueError):
+            service.stateless_search(records, [0.0, 1.0], k, "image")
+
+
 def test_evaluation_helpers(spark):
     df = spark.createDataFrame([(i, "x" * 300 if i % 2 else " ", "one") for i in range(60)], "id int, t string, label string")
     asked = evaluate.asked_texts(df, "id", "t").collect()
