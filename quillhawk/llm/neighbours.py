@@ -31,10 +31,10 @@ from quillhawk.runtime import broadcast_if_small, map_arrow, stage
 class Hashing:
     """Tables, projections and bucket width; further buckets probed."""
 
-    tables: int = 5
+    tables: int = 12
     projections: int = 24
     width: float = 2.0
-    probes: int = 10
+    probes: int = 5
     seed: int = 7
 
 
