@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillhawk.functions import text as T
 from quillhawk.operators import codebook as cb
-from quillhawk.operators import search, tabular, tfidf
+from quillhawk.operators import evaluate, search, tabular, tfidf
 from quillhawk.plans import service
 from quillhawk.plans.common import SQL_BOOK, SQL_CHUNKS, STOP, records, registry, sql_first, sql_tokens, table
 from quillhawk.sources.tables import unique_ids
@@ -34,6 +34,31 @@ def repair_ids(spark, sf_dir):
     return unique_ids(table(spark, sf_dir, "pg_text_docs").select("id", "chunk_id"), "chunk_id", "id").select("id", "chunk_id", "source_chunk_id")
 
 
+_STEM = r"case when regexp_matches(filename, '[^/]\.[^./]*$') then regexp_extract(filename, '([^/]+)\.[^./]*$', 1) else regexp_extract(filename, '([^/]*)$', 1) end"
+
+
+@query(f"select id, case when n > 0 then chunk_id || '__dup' || n || '_' || {_STEM} else chunk_id end as chunk_id from (select id, chunk_id, filename, row_number() over (partition by chunk_id order by id) - 1 as n from pg_image_docs where filename is not null and filename <> '')")
+def repair_image_ids(spark, sf_dir):
+    """Ids of images that were used before get the file's stem."""
+    rows = table(spark, sf_dir, "pg_image_docs").where("filename is not null and filename <> ''").select("id", "chunk_id", T.file_stem(F.col("filename")).alias("stem"))
+    return unique_ids(rows, "chunk_id", "id", "stem").select("id", "chunk_id")
+
+
+_REASON = "case when chunk_id is null or embedding is null or len(embedding) = 0 then 'missing' when len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) > 0 then 'not finite' when len(list_filter(embedding, lambda x: x <> 0)) = 0 then 'zero' end"
+
+
+@query(f"select chunk_id, {_REASON} as reason from {sql_first('pg_image_docs', 'embedding')} where {_REASON} is not null")
+def rejected_vectors(spark, sf_dir):
+    """Images that an index leaves out, with the reason."""
+    return service.VectorPipeline().index(records(spark, sf_dir, "pg_image_docs", "embedding"), "chunk_id", "embedding")
+
+
+@query(f"select id as query_id, substring(coalesce(content, ''), 1, 200) as text from (select id, content from {sql_first('pg_text_docs', 'content')} order by id limit 20) where trim(substring(coalesce(content, ''), 1, 200)) <> ''")
+def eval_queries(spark, sf_dir):
+    """The first twenty texts, cut to 200 characters, as queries; blank ones are left out."""
+    return evaluate.asked_texts(records(spark, sf_dir, "pg_text_docs", "content"), "id", "content")
+
+
 @query(f"select id, coalesce(nullif(title, ''), chunk_id) as title, coalesce(snippet, '') as snippet, coalesce(content, snippet, '') as content from {sql_first('pg_text_docs', 'title, snippet, content')}")
 def null_safe_output(spark, sf_dir):
     rows = records(spark, sf_dir, "pg_text_docs", "title", "snippet", "content")

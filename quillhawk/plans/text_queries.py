@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillhawk.functions import text as T
 from quillhawk.functions.stem import stemmed
 from quillhawk.operators import codebook as cb
-from quillhawk.operators import fulltext, index, search, tfidf
+from quillhawk.operators import extractors, fulltext, index, search, tfidf
 from quillhawk.plans.common import SQL_BOOK, SQL_CHUNKS, STOP, records, registry, sql_clean, sql_first, sql_paragraphs, sql_strip, sql_tokens, table
 from quillhawk.runtime import stage
 
@@ -92,6 +92,13 @@ def tfidf_fit(spark, sf_dir):
     return _model(spark, sf_dir, _tf(spark, sf_dir)).vocabulary.withColumn("idf", F.round("idf", 8))
 
 
+@query(f"with {_TF}, top as (select term, count(*) as df from tf group by term order by df desc, term limit 100) select (row_number() over (order by df desc, term) - 1)::int as idx, term from top")
+def tfidf_feature_names(spark, sf_dir):
+    """Names of the hundred features of a bounded vocabulary."""
+    extractor = extractors.TfidfExtractor("doc_id", "text", HOW, 100).fit(_docs(spark, sf_dir))
+    return extractor.model.feature_names()
+
+
 @query(f"""with {_FIT}, w as (select doc_id, term, idx, (1 + ln(count)) * idf as w from tf join vocab using (term))
 select doc_id, term, idx, round(w / sqrt(sum(w * w) over (partition by doc_id)), 8) as weight from w""")
 def tfidf_transform(spark, sf_dir):
@@ -275,6 +282,13 @@ def spimi_blocks(spark, sf_dir):
     return _flat(index.blocks(_text_records(spark, sf_dir), 100), "block_id", "codeword")
 
 
+@query(f"select chunk_id, histogram[4] as frequency from {_HIST} where histogram[4] > 0")
+def index_lookup(spark, sf_dir):
+    """The postings of codeword 3 from a stored index."""
+    stored = stage(index.clustered(index.postings(_text_records(spark, sf_dir))), "index")
+    return stored.where("codeword = 3").select("chunk_id", "frequency")
+
+
 @query(f"with {_BLOCKS} select codeword, chunk_id, frequency from f where frequency > 0")
 def spimi_merge(spark, sf_dir):
     return index.merge_blocks(index.blocks(_text_records(spark, sf_dir), 100))

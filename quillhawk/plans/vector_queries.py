@@ -8,7 +8,7 @@ from quillhawk.functions import media
 from quillhawk.functions import vector as V
 from quillhawk.operators import ann
 from quillhawk.operators import codebook as cb
-from quillhawk.operators import evaluate, search
+from quillhawk.operators import evaluate, extractors, search
 from quillhawk.plans.common import records, registry, sql_first, table
 from quillhawk.runtime import stage
 
@@ -227,6 +227,39 @@ def patch_grid(spark, sf_dir):
     return media.patch_grid(parts, "p_partkey", "w", "h")
 
 
+@query("""with g as (select p_partkey, 224 + p_size * 16 - 320 as w, 200 + p_size * 9 as h from part), ok as (select * from g where w >= 224 and h >= 224),
+ys as (select *, unnest(list_sort(list_distinct(list_append(range(0, h - 224 + 1, 112), h - 224)))) as y from ok),
+xs as (select *, unnest(list_sort(list_distinct(list_append(range(0, w - 224 + 1, 112), w - 224)))) as x from ys)
+select p_partkey, (row_number() over (partition by p_partkey order by y, x) - 1)::int as patch_index, x::int as x, y::int as y from xs""")
+def patch_grid_whole(spark, sf_dir):
+    """Patches without those of images smaller than one."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", (224 + F.col("p_size") * 16 - 320).alias("w"), (200 + F.col("p_size") * 9).alias("h"))
+    return media.patch_grid(parts, "p_partkey", "w", "h", keep_borders=False).drop("padded")
+
+
+@query(f"select vec_id, list_transform(range(1, 33), lambda i: (({E})[i] / 2 + ({E})[i + 32] / 2)::float::double) as mono from embeddings")
+def mixed_channels(spark, sf_dir):
+    """Both halves of a vector as channels, mixed to one."""
+    df = _emb(spark, sf_dir)
+    return df.select("vec_id", V.as_double(media.mixed_channels(F.array(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32)))).alias("mono"))
+
+
+@query(f"select vec_id, (i // 16)::int as position, round(list_sum(({E})[i + 1:i + 16]), 6) as total from (select *, unnest([0, 16, 32, 48]) as i from embeddings)")
+def stacked_parts(spark, sf_dir):
+    """Quarters of vectors as stacked descriptors."""
+    parts = _emb(spark, sf_dir).select("vec_id", F.array(*[F.slice("embedding", 1 + 16 * i, 16) for i in range(4)]).alias("parts"))
+    rows = extractors.stacked(parts, ["vec_id"], "parts", "x")
+    return rows.select("vec_id", "position", F.round(F.aggregate("x", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+@query("""with s as (select distinct pitch_key from songs where pitch_key is not null)
+select pitch_key, list_transform(range(0, 64), lambda i: round(0.5::double * sin(2 * pi() * (220.0::double * pow(2.0::double, pitch_key / 12.0::double)) * (i / 22050.0::double)), 6)) as samples from s""")
+def tones(spark, sf_dir):
+    """The first samples of the tone of every key."""
+    keys = table(spark, sf_dir, "songs").where("pitch_key is not null").select("pitch_key").distinct()
+    return keys.select("pitch_key", F.transform(media.tone(F.lit(220.0) * F.pow(F.lit(2.0), F.col("pitch_key") / 12), 64), lambda x: F.round(x, 6)).alias("samples"))
+
+
 @query()
 def ann_cells(spark, sf_dir):
     """Recall of three of the nearest cells for the images whose id is divisible by 100."""
