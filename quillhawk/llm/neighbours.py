@@ -254,8 +254,8 @@ def all_neighbours(df: DataFrame, id_col: str, vector_col: str, k: int = 5, sure
     """The k nearest of every valid vector: (id, neighbour, distance, rank).
 
     A vector with k neighbours within ``sure`` among those of ``near_neighbours`` keeps them. Every other vector is
-    compared with all vectors: such vectors are sent to the executors in blocks of ``block`` rows, each block one pass over
-    the packed table in slices of about ``slice_rows``, so the cost grows as their number times the rows. Validity,
+    compared with all vectors: such vectors are sent to the executors in blocks of ``block`` rows, one after the other, each
+    one pass over the packed table in slices of about ``slice_rows``, so the cost grows as their number times the rows. Validity,
     distances and ties as in ``near_neighbours``; fewer than k rows come out only if there are no k other valid vectors.
     """
     from pyspark.sql.pandas.types import to_arrow_type
@@ -277,17 +277,15 @@ def all_neighbours(df: DataFrame, id_col: str, vector_col: str, k: int = 5, sure
     if passes > 8:  # a block's rows together; fewer passes may each read all
         queries = queries.repartitionByRange("block").sortWithinPartitions("block")
     queries = stage(queries, "queries", "zstd")
-    slices = max(-(-rows // slice_rows), -(-4 * spark.sparkContext.defaultParallelism // passes))
-    parts = []
+    slices = max(-(-rows // slice_rows), 2 * spark.sparkContext.defaultParallelism)
     for p in range(passes):
         some = queries.where(F.col("block") == p).select("id", "v").toArrow()  # about ``block`` rows
         if some.num_rows:
-            value = (some.column("id").to_numpy(), unpacked(some.column("v"), dim).astype(np.float32))
-            parts.append(map_arrow(vectors.coalesce(slices), partial(_scan_short, shared=spark.sparkContext.broadcast(value), dim=dim, k=k, kind=to_arrow_type(kind)), schema))
-    found = parts[0]
-    for x in parts[1:]:
-        found = found.unionByName(x)
-    return out.unionByName(_best(found, k))
+            sent = spark.sparkContext.broadcast((some.column("id").to_numpy(), unpacked(some.column("v"), dim, np.float32)))
+            found = map_arrow(vectors.coalesce(slices), partial(_scan_short, shared=sent, dim=dim, k=k, kind=to_arrow_type(kind)), schema)
+            out = out.unionByName(stage(_best(found, k), "scanned"))
+            sent.destroy()  # one block is held at a time
+    return out
 
 
 def _scan(batches: Iterable[pa.RecordBatch], shared, dim: int, k: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
@@ -325,13 +323,15 @@ def scan_neighbours(df: DataFrame, id_col: str, vector_col: str, queries: F.Colu
     source = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
     dim, kind = usual_length(source, "v"), source.schema["id"].dataType
     asked = df.where(queries).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    parts, held, size = [], [], 0
+    parts, held = [], []
 
     def close() -> None:
-        nonlocal held, size
-        value = (np.concatenate([i for i, _ in held]), np.concatenate([x for _, x in held]))
-        parts.append(map_arrow(source, partial(_scan, shared=spark.sparkContext.broadcast(value), dim=dim, k=k, kind=to_arrow_type(kind)), f"id {kind.simpleString()}, neighbour {kind.simpleString()}, distance double"))
-        held, size = [], 0
+        nonlocal held
+        sent = spark.sparkContext.broadcast((np.concatenate([i for i, _ in held]), np.concatenate([x for _, x in held])))
+        found = map_arrow(source, partial(_scan, shared=sent, dim=dim, k=k, kind=to_arrow_type(kind)), f"id {kind.simpleString()}, neighbour {kind.simpleString()}, distance double")
+        parts.append(stage(_best(found, k), "scanned"))
+        sent.destroy()  # one block is held at a time
+        held = []
 
     n_parts = max(1, -(-asked.count() // block))
     for p in range(n_parts):
@@ -347,4 +347,4 @@ def scan_neighbours(df: DataFrame, id_col: str, vector_col: str, queries: F.Colu
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    return _best(out, k)
+    return out
