@@ -132,6 +132,7 @@ def vector_search(queries: DataFrame, base: DataFrame, id_col: str, vector_col:
     schema = f"query_id {kind}, id {kind}, score double"
     asked = queries.where(rows).select(F.col(id_col).alias("id"), as_double(F.col(vector_col)).alias("v"))
     stored = base.where(rows).select(F.col(id_col).alias("id"), as_double(F.col(vector_col)).alias("v"))
+    best = F.asc("score") if metric == "l2" else F.desc("score")
     parts = max(1, -(-asked.count() // block))
     if parts > 1:
         asked = stage(asked, "asked")
@@ -145,8 +146,11 @@ def vector_search(queries: DataFrame, base: DataFrame, id_col: str, vector_col:
         ids, v = (c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in (ids, v))
         shared = spark.sparkContext.broadcast((ids, _plain(ids), _vectors(v, len(v[0]))))
         found = map_arrow(stored, partial(_scan, shared=shared, k=k, metric=metric, exclude_self=exclude_self), schema)
+        if parts > 1:  # one block of queries is held at a time
+            found = stage(top_k(found, "query_id", best, "id", k).drop("rank"), "scored")
+            shared.destroy()
         scored = found if p == 0 else scored.unionByName(found)
-    ranked = top_k(scored, "query_id", F.asc("score") if metric == "l2" else F.desc("score"), "id", k)
+    ranked = top_k(scored, "query_id", best, "id", k)
     return ranked.select("query_id", "rank", "id", "score")
 
 

@@ -87,6 +87,13 @@ def test_ties_go_by_id(spark):
     assert [r["id"] for r in rows] == [1, 2]
 
 
+def test_queries_in_blocks_give_the_same(spark):
+    df = spark.createDataFrame([(i, [float(i * i % 17), float(i % 5), 1.0]) for i in range(60)], "id int, v array<double>")
+    for metric in ("l2", "cosine"):
+        whole, parts = (sorted(map(tuple, search.vector_search(df, df, "id", "v", 3, metric, True, block=b).collect())) for b in (1000, 7))
+        assert whole == parts and len(whole) == 180
+
+
 def test_kmeans_codebook_assigns_nearest(spark):
     df = spark.createDataFrame([(i, [float(i % 2 * 10), float(i)]) for i in range(20)], "id int, v array<double>")
     table = cb.centroid_table(cb.kmeans_codebook(df, "v", 3), spark)
