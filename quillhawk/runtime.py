@@ -104,23 +104,43 @@ def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
 PARTITION_BYTES = 64 << 20
 
 
-def stage(df: DataFrame, name: str, codec: str = "snappy", shuffled: int = 0) -> DataFrame:
+#: Spark deletes a command's shuffle files as it ends, instead of when the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage(df: DataFrame, name: str, codec: str = "snappy", shuffled: int = 0, tidy: bool = False) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts the lineage and survives lost executors.
 
     With ``shuffled``, the bytes that its largest shuffle will carry, the write runs with enough shuffle partitions that
-    none exceeds ``PARTITION_BYTES`` on average; adaptive execution joins those that stay small.
+    none exceeds ``PARTITION_BYTES`` on average; adaptive execution joins those that stay small. With ``tidy`` the
+    write's shuffle files are deleted at its end.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillhawk/{name}-{uuid.uuid4().hex[:12]}"
     before = spark.conf.get("spark.sql.shuffle.partitions")
     wanted = max(int(before), -(-shuffled // PARTITION_BYTES))
+    cleanup = spark.conf.get(_CLEANUP, "false")
     try:
         spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+        if tidy:
+            spark.conf.set(_CLEANUP, "true")
         df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set(_CLEANUP, cleanup)
     _staged.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Deletes tables that ``stage`` returned, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _staged.remove(df.staged_at)
 
 
 def release_staged(spark: SparkSession, since: int = 0) -> None:

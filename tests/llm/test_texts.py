@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 from itertools import combinations, groupby, product
+from pathlib import Path
 from unicodedata import category
 
 import numpy as np
@@ -15,7 +16,8 @@ from quillhawk.llm.components import components
 from quillhawk.llm.distinctive import adjust, ln_upper_tail, term_scores
 from quillhawk.llm.frequencies import mark_frequencies, ngram_frequencies
 from quillhawk.llm.leakage import Automaton, clean_documents, leaked_items, leaked_spans
-from quillhawk.llm.nearduplicates import _frequent, masks, near_duplicates, radius
+from quillhawk.llm import nearduplicates
+from quillhawk.llm.nearduplicates import _frequent, least_agreeing, masks, near_duplicates, radius
 from quillhawk.llm.spam import LABELS, LEVELS, STATES, first_model, fit, label, label_alone, spam_pages, units
 from quillhawk.llm.splitting import cut, split_oversized
 from quillhawk.llm.textarrays import tokens
@@ -179,6 +181,57 @@ def test_near_duplicates_equal_brute_force(spark):
     assert empty.pairs().count() == 0 and empty.groups().count() == 0
 
 
+def test_unlike_texts_with_common_phrases_are_no_candidates(spark, monkeypatch):
+    """Texts that share an eighth of their runs collide in some table in their thousands; the pairs whose sets are compared stay few, in any number of passes."""
+    rng = random.Random(8)
+    notice = [f"notice{''.join(rng.choices('abcdefgh', k=3))}" for _ in range(14)]
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    rows = [(i, " ".join(notice + [word() for _ in range(40)])) for i in range(300)]
+    rows += [(1000 + i, f"{t} {word()}") for i, t in rows[:20]]
+    df = spark.createDataFrame(rows, "id int, text string")
+    staged = []
+
+    def counted(df, name, *args, **more):
+        out = stage(df, name, *args, **more)
+        staged.append((name, out.count()))
+        return out
+
+    stage = nearduplicates.stage
+    monkeypatch.setattr(nearduplicates, "stage", counted)
+    found = near_duplicates(df, "id", "text", 0.5, 3, 30)
+    compared = sum(n for name, n in staged if name == "candidates")
+    want = {(i, 1000 + i) for i in range(20)}
+    assert {(r.a, r.b) for r in found.links.collect()} == want
+    assert compared < 400
+    staged.clear()
+    many = near_duplicates(df, "id", "text", 0.5, 3, 30, masks_pass=5, share_pass=0.01)
+    assert {(r.a, r.b) for r in many.links.collect()} == want
+    assert sum(name == "sets" for name, _ in staged) > 4 and sum(name == "met" for name, _ in staged) == 10
+
+
+def test_positions_asked_to_agree():
+    for similarity in (0.4, 0.5, 0.8):
+        p, k = similarity + (1 - similarity) / 256, least_agreeing(similarity) - 3
+        lost = [sum(math.comb(45, j) * p**j * (1 - p) ** (45 - j) for j in range(n)) for n in (k, k + 1)]
+        assert lost[0] <= 5e-6 < lost[1]
+
+
+def test_staged_shuffles_are_deleted(spark):
+    from quillhawk.runtime import stage, unstage
+
+    def files():
+        return sum(len(list(Path(d).rglob("shuffle_*.data"))) for d in dirs)
+
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    dirs = list(manager.localDirsString())
+    before = files()
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    tidy = stage(df, "tidy", tidy=True)
+    assert files() <= before and tidy.count() == 7
+    unstage(tidy)
+    assert not Path(tidy.staged_at.removeprefix("file://")).exists()
+
+
 def test_frequent_values_are_not_missed():
     import pyarrow as pa
 
