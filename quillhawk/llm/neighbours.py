@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quillhawk.llm.textarrays import mix64
 from quillhawk.llm.vectors import BLOCK_ROWS, block_pairs, exact_squares, matrices, matrix, packed, unit, unpacked, usual_length
-from quillhawk.runtime import broadcast_if_small, map_arrow, stage
+from quillhawk.runtime import broadcast_if_small, map_arrow, stage, unstage
 
 
 @dataclass(frozen=True)
@@ -38,6 +38,8 @@ class Hashing:
     seed: int = 7
 
 
+#: A side of a join is broadcast up to so many rows: the driver holds it as a hash table of about 100 bytes a row.
+SENT_ROWS = 200_000
 #: Signs of random projections in a sketch, in four 64-bit words.
 SIGNS = 256
 
@@ -161,7 +163,7 @@ def _close_signs(limit: int) -> F.Column:
     return sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"r{i}"))) for i in range(1, 4)), F.bit_count(F.col("s0").bitwiseXOR(F.col("r0")))) <= limit
 
 
-def near_neighbours(df: DataFrame, id_col: str, vector_col: str, k: int = 5, radius: float = 0.40, hashing: Hashing = Hashing(), block_rows: int = BLOCK_ROWS, dim: int | None = None) -> DataFrame:
+def near_neighbours(df: DataFrame, id_col: str, vector_col: str, k: int = 5, radius: float = 0.40, hashing: Hashing = Hashing(), block_rows: int = BLOCK_ROWS, dim: int | None = None, sent_rows: int = SENT_ROWS) -> DataFrame:
     """The k nearest of every vector among those its hash tables reach: (id, neighbour, distance, rank).
 
     Valid vectors have the table's most frequent length, finite components and are not all zero; others take no part,
@@ -171,7 +173,8 @@ def near_neighbours(df: DataFrame, id_col: str, vector_col: str, k: int = 5, rad
     ``radius`` isn't dropped. Nothing is capped: a place of more than ``block_rows`` vectors is cut into blocks, every
     pair of blocks is a task's group, and a visitor meets every block. Vectors with fewer than k others near them may
     come out with fewer than k rows or none: see ``all_neighbours``. With ``dim`` the vectors are packed ones of that
-    length, all valid.
+    length, all valid. Tables of up to ``sent_rows`` are broadcast, larger ones joined by shuffles whose files are deleted
+    after each step; both ways give equal rows.
     """
     source = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
     id_type, is_packed = source.schema["id"].dataType.simpleString(), dim is not None
@@ -179,35 +182,41 @@ def near_neighbours(df: DataFrame, id_col: str, vector_col: str, k: int = 5, rad
     keys = lambda probes: map_arrow(source, partial(_keys, dim=dim, h=hashing, probes=probes), f"key bigint, id {id_type}")
     signs = stage(map_arrow(source, partial(_signs, dim=dim, h=hashing), f"id {id_type}, s0 bigint, s1 bigint, s2 bigint, s3 bigint"), "signs")
     rows = signs.count()
-    ours = broadcast_if_small(signs, rows)
-    theirs = broadcast_if_small(signs.select(F.col("id").alias("mate"), *[F.col(f"s{i}").alias(f"r{i}") for i in range(4)]), rows)
+    ours = broadcast_if_small(signs, rows, sent_rows)
+    theirs = broadcast_if_small(signs.select(F.col("id").alias("mate"), *[F.col(f"s{i}").alias(f"r{i}") for i in range(4)]), rows, sent_rows)
     close = _close_signs(sign_limit(radius))
     first = keys(0).groupBy("key").agg(F.min("id").alias("mate"), F.count(F.lit(1)).alias("n"))
     asked = rows * hashing.tables * (1 + hashing.probes)
-    met = stage(keys(hashing.probes).join(first, "key").where("n > 1 or id <> mate").select("key", "id", "mate"), "met", shuffled=24 * asked)
+    met = stage(keys(hashing.probes).join(first, "key").where("n > 1 or id <> mate").select("key", "id", "mate"), "met", shuffled=24 * asked, tidy=True)
     links = met.where("id <> mate").groupBy("id").agg(F.collect_set("mate").alias("mates"))  # at most tables * (1 + probes) of them
     links = links.select("id", F.explode("mates").alias("mate")).join(ours, "id").join(theirs, "mate").where(close)
-    lead = stage(links.groupBy("id").agg(F.min("mate").alias("m")).select("id", F.least("id", "m").alias("leader")), "lead", shuffled=24 * asked)
+    lead = stage(links.groupBy("id").agg(F.min("mate").alias("m")).select("id", F.least("id", "m").alias("leader")), "lead", shuffled=24 * asked, tidy=True)
     jump = lead.select(F.col("id").alias("leader"), F.col("leader").alias("top"))
     placed = signs.select("id").join(lead, "id", "left").select("id", F.coalesce("leader", "id").alias("leader")).join(jump, "leader", "left").select("id", F.coalesce("top", "leader").alias("leader"))
-    placed = stage(placed, "placed", shuffled=16 * rows)
-    at = broadcast_if_small(placed, rows)
+    placed = stage(placed, "placed", shuffled=16 * rows, tidy=True)
+    unstage(lead)
+    at = broadcast_if_small(placed, rows, sent_rows)
     home = keys(0).join(at, "id")
     span = home.groupBy("key").agg(F.min("leader").alias("low"), F.max("leader").alias("high"))
     strays = met.select("key", "id").join(at, "id").join(span, "key").where("low <> leader or high <> leader").select("key", "id", "leader")  # a bucket of the own place only has nothing to visit
+    strays = stage(strays, "strays", shuffled=24 * asked, tidy=True)
+    unstage(met)
     hosts = home.select("key", F.col("id").alias("mate"), F.col("leader").alias("host"))
     visits = strays.join(ours, "id").join(hosts.join(theirs, "mate"), "key").where((F.col("host") != F.col("leader")) & close).select("id", F.col("host").alias("leader")).distinct()
-    visits = stage(visits, "visits", shuffled=48 * asked)
+    visits = stage(visits, "visits", shuffled=48 * asked, tidy=True)
+    unstage(strays)
     sizes = placed.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).join(visits.select("leader").distinct().withColumn("visited", F.lit(True)), "leader", "left")
     places = sizes.where("n > 1 or visited").select("leader", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     alone = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(j.alias("left"), j.alias("right"), F.lit(True).alias("is_left")))
     stay = placed.join(places, "leader").select("id", "leader", F.explode(block_pairs(block, F.col("blocks"))).alias("p"), F.lit(False).alias("visits"))
     come = visits.join(places, "leader").select("id", "leader", F.explode(alone).alias("p"), F.lit(True).alias("visits"))
-    seats = stage(stay.unionByName(come).select("id", "leader", "p.left", "p.right", "p.is_left", "visits"), "seats")
+    seats = stage(stay.unionByName(come).select("id", "leader", "p.left", "p.right", "p.is_left", "visits"), "seats", shuffled=32 * rows, tidy=True)
     vectors = source if is_packed else map_arrow(source, partial(_pack, dim=dim), f"id {id_type}, v binary")
-    out = vectors.join(broadcast_if_small(seats, seats.count()), "id").groupBy("leader", "left", "right").applyInArrow(lambda t: _rank(t, dim, k), f"id {id_type}, neighbour {id_type}, distance double")
-    return _best(stage(out, "near", shuffled=(4 * dim + 40) * rows), k)
+    out = vectors.join(broadcast_if_small(seats, seats.count(), sent_rows), "id").groupBy("leader", "left", "right").applyInArrow(lambda t: _rank(t, dim, k), f"id {id_type}, neighbour {id_type}, distance double")
+    out = stage(out, "near", shuffled=(4 * dim + 40) * rows, tidy=True)
+    unstage(signs, placed, visits, seats)
+    return _best(out, k)
 
 
 def _exact(q: np.ndarray, i: np.ndarray, x: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -265,25 +274,25 @@ def all_neighbours(df: DataFrame, id_col: str, vector_col: str, k: int = 5, sure
     dim, kind = usual_length(source, "v"), source.schema["id"].dataType
     schema = f"id {kind.simpleString()}, neighbour {kind.simpleString()}, distance double"
     vectors = stage(map_arrow(source, partial(_pack, dim=dim), f"id {kind.simpleString()}, v binary"), "vectors", "zstd")
-    near = stage(near_neighbours(vectors, "id", "v", k, sure, hashing, dim=dim), "near")
+    near = stage(near_neighbours(vectors, "id", "v", k, sure, hashing, dim=dim), "near", tidy=True)
     done = near.where(F.col("distance") <= sure).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("id")
-    short = stage(vectors.join(done, "id", "left_anti").select("id"), "short")
+    short = stage(vectors.select("id").join(done, "id", "left_anti"), "short", tidy=True)
     rows, asked = vectors.count(), short.count()
     passes = -(-asked // block)
     out = near.join(done, "id", "left_semi")
     if not passes:
         return out
-    queries = vectors.join(broadcast_if_small(short, asked), "id", "left_semi").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(passes)).cast("int"))
+    queries = vectors.join(broadcast_if_small(short, asked, SENT_ROWS), "id", "left_semi").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(passes)).cast("int"))
     if passes > 8:  # a block's rows together; fewer passes may each read all
         queries = queries.repartitionByRange("block").sortWithinPartitions("block")
-    queries = stage(queries, "queries", "zstd")
+    queries = stage(queries, "queries", "zstd", tidy=True)
     slices = max(-(-rows // slice_rows), 2 * spark.sparkContext.defaultParallelism)
     for p in range(passes):
         some = queries.where(F.col("block") == p).select("id", "v").toArrow()  # about ``block`` rows
         if some.num_rows:
             sent = spark.sparkContext.broadcast((some.column("id").to_numpy(), unpacked(some.column("v"), dim, np.float32)))
             found = map_arrow(vectors.coalesce(slices), partial(_scan_short, shared=sent, dim=dim, k=k, kind=to_arrow_type(kind)), schema)
-            out = out.unionByName(stage(_best(found, k), "scanned"))
+            out = out.unionByName(stage(_best(found, k), "scanned", tidy=True))
             sent.destroy()  # one block is held at a time
     return out
 

@@ -86,6 +86,32 @@ def test_neighbours_equal_brute_force(spark, groups, block_rows):
     assert {i: got.get(i) for i in want} == want
 
 
+def test_large_tables_are_not_sent_through_the_driver(spark, groups, monkeypatch):
+    """Beyond the limit of rows no side is hinted for broadcast, the rows stay the same, and the steps' tables are deleted."""
+    from quillhawk import runtime
+    from quillhawk.llm import neighbours
+
+    df, sent, hinted = table(spark, groups), neighbours.broadcast_if_small, []
+
+    def watched(side, rows, *limit):
+        hinted.append(rows <= (*limit, runtime.BROADCAST_ROWS)[0])
+        return sent(side, rows, *limit)
+
+    monkeypatch.setattr(neighbours, "broadcast_if_small", watched)
+    small = {tuple(r) for r in near_neighbours(df, "key", "v", 5).collect()}
+    assert all(hinted)
+    hinted.clear()
+    since = len(runtime._staged)
+    large = {tuple(r) for r in near_neighbours(df, "key", "v", 5, sent_rows=100).collect()}
+    assert large == small and len(large) > 1000
+    assert hinted and not any(hinted)
+    assert len(runtime._staged) - since == 1  # the result's
+    hinted.clear()
+    monkeypatch.setattr(neighbours, "broadcast_if_small", lambda side, rows, *limit: watched(side, 300_000, *limit))  # as if of so many rows
+    assert {tuple(r) for r in near_neighbours(df, "key", "v", 5).collect()} == small
+    assert hinted and not any(hinted)
+
+
 def test_every_row_has_its_neighbours(spark, groups):
     d = exact(groups)
     for block in (20_000, 60):
