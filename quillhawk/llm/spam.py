@@ -3,15 +3,16 @@
 A page is cut into line units (lines, sentences, and windows of a dozen words in longer ones). Each unit shows eight
 signs, all from counts over character classes and word hashes of the whole batch: function words, addresses, labels,
 separators, commas, capitals, a sentence's end, and words the page keeps repeating. A model of four states (prose, link
-list, tag list, menu) is estimated from pages without labels and labels every unit in the context of its page; pages
-whose characters lie mostly in units that are not prose are flagged.
+list, tag list, menu) is estimated from all pages without labels and labels every unit in the context of its page;
+pages whose characters lie mostly in units that are not prose are flagged. For the estimation a page is the sequence of its
+units' signs, and equal sequences are counted; every round sums expected counts over the tasks.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache, partial
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillhawk.llm.textarrays import blocks, text_batches, tokens
-from quillhawk.runtime import map_arrow
+from quillhawk.runtime import map_arrow, stage, unstage
 
 #: Hidden states and the label of each: prose comes in whole sentences or in wrapped and broken lines.
 LABELS = ("prose", "link list", "tag list", "menu")
@@ -31,6 +32,8 @@ WINDOW, LONG = 12, 120
 #: Values of each sign: function words (no words, none, few, some, many), addresses, labels, separators and commas (none,
 #: few, many), capitals (few, many, all), sentence end (no, yes), repetition (none, some, most).
 LEVELS = (5, 3, 3, 3, 3, 3, 2, 3)
+#: Units whose expected counts are taken at once; a longer page is by itself.
+BLOCK_UNITS = 100_000
 _INVISIBLE = re.compile("[­​‌‍﻿]")
 _BLANK, _BREAK, _LETTER, _DIGIT, _UPPER, _END, _OTHER = 1, 2, 4, 8, 16, 32, 64
 
@@ -236,19 +239,33 @@ def label_alone(m: Model, signs: np.ndarray) -> np.ndarray:
     return (_log_emit(m, signs) + np.log(m.start)).argmax(axis=1).astype(np.int8)
 
 
-def fit(m: Model, signs: np.ndarray, length: np.ndarray, rounds: int = 40, prior: float = 20.0, least: float = 1e-4) -> Model:
-    """Baum-Welch from ``m`` until the log-likelihood per unit grows by less than ``least``.
+@lru_cache(maxsize=1)
+def _all_signs() -> np.ndarray:
+    """The signs of every code that ``sign_codes`` may give."""
+    return np.stack(np.unravel_index(np.arange(np.prod(LEVELS)), LEVELS), axis=1)
 
-    The tables of the start count as ``prior`` observations of each state, which decides what a state is only where the
-    pages hold few units of its kind.
-    """
-    steps, seen, base = list(_by_step(length)), -np.inf, m
-    if not steps:
-        return m
-    for _ in range(rounds):
-        log_e = _log_emit(m, signs)
-        top = log_e.max(axis=1, keepdims=True)
-        e = np.exp(log_e - top)
+
+def sign_codes(signs: np.ndarray) -> np.ndarray:
+    """One number for all signs of a unit."""
+    return np.ravel_multi_index(tuple(signs.T), LEVELS).astype("<i2")
+
+
+class Expectation:
+    """What Baum-Welch sums over pages under a model: units, log-likelihood, and expected counts of first states, steps and signs."""
+
+    def __init__(self, m: Model) -> None:
+        log_e = _log_emit(m, _all_signs())
+        self.model, self.top = m, log_e.max(axis=1)
+        self.emit = np.exp(log_e - self.top[:, None])
+        k = len(m.start)
+        self.units, self.likelihood, self.start, self.step, self.codes = 0.0, 0.0, np.zeros(k), np.zeros((k, k)), np.zeros((len(log_e), k))
+
+    def add(self, code: np.ndarray, length: np.ndarray, times: np.ndarray) -> None:
+        """Adds pages of ``length`` units each, every page ``times`` over."""
+        steps, m = list(_by_step(length)), self.model
+        if not steps:
+            return
+        e, w = self.emit[code], np.repeat(times, length).astype(np.float64)[:, None]
         a, b, scale = np.empty_like(e), np.ones_like(e), np.empty(len(e))
         for t, (at, _) in enumerate(steps):
             x = (m.start if t == 0 else a[at - 1] @ m.step) * e[at]
@@ -257,24 +274,95 @@ def fit(m: Model, signs: np.ndarray, length: np.ndarray, rounds: int = 40, prior
         for at, _ in steps[:0:-1]:
             b[at - 1] = (e[at] * b[at]) @ m.step.T / scale[at][:, None]
         g = a * b
-        g /= g.sum(axis=1, keepdims=True)
-        start, step = prior * base.start + g[steps[0][0]].sum(axis=0), prior * base.step
+        g *= w / g.sum(axis=1, keepdims=True)
+        self.units += float(w.sum())
+        self.likelihood += float((w[:, 0] * (np.log(scale) + self.top[code])).sum())
+        self.start += g[steps[0][0]].sum(axis=0)
         for at, _ in steps[1:]:
-            step += m.step * (a[at - 1].T @ (e[at] * b[at] / scale[at][:, None]))
-        tables = []
-        for s, n in enumerate(LEVELS):
-            counts = prior * base.signs[s]
-            for v in range(n):
-                counts[:, v] += g[signs[:, s] == v].sum(axis=0)
-            tables.append(counts / counts.sum(axis=1, keepdims=True))
-        m = Model(start / start.sum(), step / step.sum(axis=1, keepdims=True), tuple(tables))
-        now = float((np.log(scale) + top[:, 0]).mean())
+            self.step += m.step * ((a[at - 1] * w[at]).T @ (e[at] * b[at] / scale[at][:, None]))
+        for j in range(len(m.start)):
+            self.codes[:, j] += np.bincount(code, weights=g[:, j], minlength=len(self.codes))
+
+    def sums(self) -> np.ndarray:
+        signs = (np.stack([np.bincount(_all_signs()[:, s], weights=c, minlength=n) for c in self.codes.T]).ravel() for s, n in enumerate(LEVELS))
+        return np.concatenate([[self.units, self.likelihood], self.start, self.step.ravel(), *signs])
+
+
+def _estimate(m: Model, expected: Callable[[Model], np.ndarray | None], rounds: int = 40, prior: float = 20.0, least: float = 1e-4) -> Model:
+    """Baum-Welch from ``m`` until the log-likelihood per unit grows by less than ``least``; ``expected`` has the sums of ``Expectation`` under a model.
+
+    The tables of the start count as ``prior`` observations of each state, which decides what a state is only where the
+    pages hold few units of its kind.
+    """
+    seen, base, k = -np.inf, m, len(m.start)
+    for _ in range(rounds):
+        sums = expected(m)
+        if sums is None or not sums[0]:
+            return m
+        units, likelihood, start, step, *tables = np.split(sums, np.cumsum([1, 1, k, k * k, *(k * n for n in LEVELS[:-1])]))
+        start, step = prior * base.start + start, prior * base.step + step.reshape(k, k)
+        counts = [prior * t + x.reshape(k, -1) for t, x in zip(base.signs, tables)]
+        m = Model(start / start.sum(), step / step.sum(axis=1, keepdims=True), tuple(c / c.sum(axis=1, keepdims=True) for c in counts))
+        now = float(likelihood[0] / units[0])
         if now - seen < least:
             break
         seen = now
     return m
 
 
+def fit(m: Model, signs: np.ndarray, length: np.ndarray, rounds: int = 40, prior: float = 20.0, least: float = 1e-4) -> Model:
+    """The model estimated from ``m`` on pages in memory, see ``_estimate``."""
+    code, once = sign_codes(signs), np.ones(len(length))
+
+    def expected(m: Model) -> np.ndarray:
+        found = Expectation(m)
+        found.add(code, length, once)
+        return found.sums()
+
+    return _estimate(m, expected, rounds, prior, least)
+
+
+def _sequences(batches: Iterable[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """The sign codes of every page that has units, two bytes a unit."""
+    for _, texts in blocks(text_batches(batches)):
+        u = units(texts, shared.value)
+        data, end = sign_codes(u.signs).tobytes(), 2 * np.cumsum(u.length)
+        yield pa.RecordBatch.from_arrays([pa.array([data[e - 2 * n : e] for n, e in zip(u.length.tolist(), end.tolist()) if n], pa.binary())], names=["codes"])
+
+
+def _expected(batches: Iterable[pa.RecordBatch], m: Model) -> Iterator[pa.RecordBatch]:
+    """The task's sums under ``m``, as one row."""
+    found = Expectation(m)
+    for b in batches:
+        codes, times = b.column(0).to_pylist(), b.column(1).to_numpy()
+        block = np.cumsum([len(c) // 2 for c in codes]) // BLOCK_UNITS
+        for part in np.split(np.arange(len(codes)), np.flatnonzero(np.diff(block)) + 1):
+            held = [codes[i] for i in part]
+            found.add(np.frombuffer(b"".join(held), dtype="<i2"), np.array([len(c) // 2 for c in held], dtype=np.int64), times[part])
+    yield pa.RecordBatch.from_arrays([pa.array([found.sums().tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+
+def fit_pages(df: DataFrame, text_col: str, common: np.ndarray, m: Model) -> Model:
+    """The model estimated from ``m`` on all pages of ``df``.
+
+    Equal sequences of units count together. Each round is one pass over the sequences and sends one row of some hundred
+    sums a task to the driver. A page's units are gone through one after the other, so the longest page bounds a round's time.
+    """
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast(common)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    pages = map_arrow(df.select(F.lit(0).alias("id"), F.col(text_col).alias("text")), partial(_sequences, shared=shared), "codes binary")
+    pages = stage(pages.groupBy("codes").agg(F.count(F.lit(1)).alias("times")).repartition(tasks), "sequences", tidy=True)
+
+    def expected(m: Model) -> np.ndarray | None:
+        rows = map_arrow(pages, partial(_expected, m=m), "sums array<double>").collect()  # one row a task
+        return np.sum([r.sums for r in rows], axis=0) if rows else None
+
+    m = _estimate(m, expected)
+    unstage(pages)
+    return m
+
+
 _SCHEMA = "units int, words bigint, chars bigint, prose_share double, link_share double, tag_share double, menu_share double, word_share double, spam boolean"
 _LABEL_OF = np.array([LABELS.index(s) for s in STATES])
 
@@ -296,12 +384,12 @@ def _label(batches: Iterable[pa.RecordBatch], shared, most: float, kind: pa.Data
         )
 
 
-def spam_pages(df: DataFrame, id_col: str, text_col: str, most_share: float = 0.5, fit_rows: int = 2_000) -> DataFrame:
+def spam_pages(df: DataFrame, id_col: str, text_col: str, most_share: float = 0.5) -> DataFrame:
     """Every page with the shares of its characters by label, and whether it is spam: (id, units, words, chars, prose_share, link_share, tag_share, menu_share, word_share, spam).
 
     ``spam``: more than ``most_share`` of the characters lie in line units labelled link list, tag list or menu;
-    ``word_share`` is the same share of words outside addresses. The model is estimated without labels on the ``fit_rows``
-    pages that come first by hashed id (a bounded sample); every page is labelled. Null and empty texts have no units and
+    ``word_share`` is the same share of words outside addresses. The model is estimated without labels on all pages, and
+    every page is labelled. Null and empty texts have no units and
     are no spam; rows with a null id are left out; repeated rows come out each; an empty table gives an empty result.
     """
     from pyspark.sql.pandas.types import to_arrow_type
@@ -310,8 +398,6 @@ def spam_pages(df: DataFrame, id_col: str, text_col: str, most_share: float = 0.
     common = function_words(spark)
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
     kind = source.schema["id"].dataType
-    some = [r.text or "" for r in source.select(F.xxhash64("id").alias("h"), "text").orderBy("h", "text").limit(fit_rows).collect()]  # fit_rows pages
-    parts = [units(texts, common) for _, texts in blocks([(list(range(len(some))), some)])]
-    model = fit(first_model(), np.concatenate([p.signs for p in parts]), np.concatenate([p.length for p in parts])) if parts else first_model()
+    model = fit_pages(source, "text", common, first_model())
     shared = spark.sparkContext.broadcast((common, model))
     return map_arrow(source, partial(_label, shared=shared, most=most_share, kind=to_arrow_type(kind)), f"id {kind.simpleString()}, {_SCHEMA}")

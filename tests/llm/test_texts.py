@@ -2,6 +2,7 @@ import math
 import random
 import re
 from collections import Counter
+from functools import partial
 from itertools import combinations, groupby, product
 from pathlib import Path
 from unicodedata import category
@@ -12,13 +13,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quillhawk.llm import nearduplicates, spam
 from quillhawk.llm.components import components
 from quillhawk.llm.distinctive import adjust, ln_upper_tail, term_scores
 from quillhawk.llm.frequencies import mark_frequencies, ngram_frequencies
 from quillhawk.llm.leakage import Automaton, clean_documents, leaked_items, leaked_spans
-from quillhawk.llm import nearduplicates
 from quillhawk.llm.nearduplicates import _frequent, least_agreeing, masks, near_duplicates, radius
-from quillhawk.llm.spam import LABELS, LEVELS, STATES, first_model, fit, label, label_alone, spam_pages, units
+from quillhawk.llm.spam import LABELS, LEVELS, STATES, first_model, fit, fit_pages, label, label_alone, spam_pages, units
 from quillhawk.llm.splitting import cut, split_oversized
 from quillhawk.llm.textarrays import tokens
 
@@ -332,6 +333,43 @@ def test_estimation_changes_labels():
     assert (share[:60] > 0.9).all() and (share[60:105] < 0.5).all() and (share[105:] > 0.9).all()
 
 
+def test_all_pages_make_the_model(spark, monkeypatch):
+    """500 pages of links and titles that come last by hashed id, behind 2,000 of prose, shape the model; blocks and tasks do not."""
+    corpora = [spam_corpus(random.Random(seed)) for seed in range(40)]
+    prose, other = [p for c in corpora for p in c[:60]][:2000], [p for c in corpora for p in c[60:105]][:500]
+    ids = [r.id for r in spark.range(2500).orderBy(F.xxhash64("id")).collect()]
+    rows = [*zip(ids, prose + other), (9000, None), (9001, ""), (None, "x" * 99)]
+    df = spark.createDataFrame(rows, "id bigint, text string").repartition(7)
+    common = spam.function_words(spark)
+    all_units, some_units = units(prose + other, common), units(prose, common)
+    whole, part = fit(first_model(), all_units.signs, all_units.length), fit(first_model(), some_units.signs, some_units.length)
+    found = fit_pages(df.where("id is not null"), "text", common, first_model())
+    for a, b in zip((found.start, found.step, *found.signs), (whole.start, whole.step, *whole.signs)):
+        assert np.allclose(a, b, rtol=1e-6, atol=1e-12)
+    assert not np.allclose(whole.step, part.step, rtol=0.01)
+    used = []
+    monkeypatch.setattr(spam, "partial", lambda f, **more: used.append(more) or partial(f, **more))
+    assert spam_pages(df, "id", "text").where("spam").count() == 500
+    model = next(x["shared"].value[1] for x in used if "most" in x)
+    assert np.allclose(model.step, whole.step, rtol=1e-6) and not np.allclose(model.step, part.step, rtol=0.01)
+    assert all(np.array_equal(a, b) for a, b in zip(fit_pages(df.limit(0), "text", common, first_model()).signs, first_model().signs))
+
+
+def test_expected_counts_add_up():
+    rng = np.random.default_rng(3)
+    signs, length = np.stack([rng.integers(0, n, 60) for n in LEVELS], axis=1), np.array([10, 0, 20, 30])
+    code = spam.sign_codes(signs)
+    assert (spam._all_signs()[code] == signs).all()
+    once, twice, apart = (spam.Expectation(first_model()) for _ in range(3))
+    once.add(code, length, np.array([2, 5, 1, 3]))
+    for a, n, times in ((0, 10, 2), (10, 20, 1), (30, 30, 3)):
+        apart.add(code[a : a + n], np.array([n]), np.array([times]))
+        for _ in range(times):
+            twice.add(code[a : a + n], np.array([n]), np.array([1]))
+    assert np.allclose(once.sums(), twice.sums()) and np.allclose(once.sums(), apart.sums())
+    assert once.sums()[0] == once.codes.sum() == 2 * 10 + 20 + 3 * 30 and once.start.sum() == pytest.approx(6)
+
+
 def test_labels_are_the_best_path():
     rng = np.random.default_rng(0)
     model = fit(first_model(), np.stack([rng.integers(0, n, 200) for n in LEVELS], axis=1), np.array([50, 0, 100, 50]), rounds=3)
