@@ -199,12 +199,15 @@ def near_neighbours(df: DataFrame, id_col: str, vector_col: str, k: int = 5, rad
     home = keys(0).join(at, "id")
     span = home.groupBy("key").agg(F.min("leader").alias("low"), F.max("leader").alias("high"))
     strays = met.select("key", "id").join(at, "id").join(span, "key").where("low <> leader or high <> leader").select("key", "id", "leader")  # a bucket of the own place only has nothing to visit
-    strays = stage(strays, "strays", shuffled=24 * asked, tidy=True)
-    unstage(met)
+    held = [met]
+    if rows > sent_rows:  # the joins so far shuffle; their files go before the next
+        strays = stage(strays, "strays", shuffled=24 * asked, tidy=True)
+        unstage(met)
+        held = [strays]
     hosts = home.select("key", F.col("id").alias("mate"), F.col("leader").alias("host"))
     visits = strays.join(ours, "id").join(hosts.join(theirs, "mate"), "key").where((F.col("host") != F.col("leader")) & close).select("id", F.col("host").alias("leader")).distinct()
     visits = stage(visits, "visits", shuffled=48 * asked, tidy=True)
-    unstage(strays)
+    unstage(*held)
     sizes = placed.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).join(visits.select("leader").distinct().withColumn("visited", F.lit(True)), "leader", "left")
     places = sizes.where("n > 1 or visited").select("leader", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
