@@ -92,7 +92,7 @@ def mean_centroids(df: DataFrame, label_col: str, vector_col: str) -> DataFrame:
     return means.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"))
 
 
-def _nearest(batches: Iterable[pa.RecordBatch], shared, name: str) -> Iterator[pa.RecordBatch]:
+def _nearest(batches: Iterable[pa.RecordBatch], shared, names: list[str]) -> Iterator[pa.RecordBatch]:
     clusters, book = shared.value
     sizes = (book * book).sum(axis=1)
     for batch in batches:
@@ -107,24 +107,27 @@ def _nearest(batches: Iterable[pa.RecordBatch], shared, name: str) -> Iterator[p
             d = np.round(np.sqrt(((x[i] - book[j]) ** 2).sum(axis=1)), 8)
             order = np.lexsort((clusters[j], d, i))
             first = order[np.unique(i[order], return_index=True)[1]]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(clusters[j[first]]), pa.array(d[first])], names=[name, "cluster", "distance"])
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(clusters[j[first]]), pa.array(d[first])], names=[*names, "cluster", "distance"])
 
 
-def assign(df: DataFrame, id_col: str, vector: Column, centroids: DataFrame) -> DataFrame:
+def assign(df: DataFrame, id_col: str, vector: Column, centroids: DataFrame, keep: str | None = None) -> DataFrame:
     """(id, cluster, distance): the nearest centroid, ties to the smaller cluster; null vectors are left out.
 
+    With ``keep`` the vector stands under that name after the id, as doubles.
+
     The centroids are k rows and sent to the executors; vectors meet them in matrix products, and what may be nearest is
     compared by exact differences.
     """
     book = sorted((r["cluster"], r["centroid"]) for r in centroids.select("cluster", "centroid").collect())  # k rows
     kind, cluster = df.schema[id_col].dataType.simpleString(), centroids.schema["cluster"].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, cluster {cluster}, distance double"
+    names = [id_col, keep] if keep else [id_col]
+    schema = f"`{id_col}` {kind}, {f'`{keep}` array<double>, ' if keep else ''}cluster {cluster}, distance double"
     if not book:
         return df.sparkSession.createDataFrame([], schema)
     clusters = np.array([c for c, _ in book], dtype=np.int32 if cluster == "int" else np.int64)
     shared = df.sparkSession.sparkContext.broadcast((clusters, np.array([c for _, c in book], dtype=np.float64)))
     rows = df.select(F.col(id_col), as_double(vector).alias("__v")).where("__v is not null")
-    return map_arrow(rows, partial(_nearest, shared=shared, name=id_col), schema)
+    return map_arrow(rows, partial(_nearest, shared=shared, names=names), schema)
 
 
 def word_histogram(assigned: DataFrame, item: Column, cluster: str = "cluster") -> DataFrame:

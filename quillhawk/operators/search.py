@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -76,7 +76,10 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
 def _best(q: np.ndarray, x: np.ndarray, same: np.ndarray | None, x_ids: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions in q and x and the rounded scores of the k best rows of x for every row of q."""
     if metric == "l2":
-        rough = (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1) - 2 * (q @ x.T)
+        rough = q @ x.T  # in place: fresh blocks cost more than their sums
+        rough *= -2
+        rough += (q * q).sum(axis=1)[:, None]
+        rough += (x * x).sum(axis=1)
     else:
         n = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((x * x).sum(axis=1))
         rough = -np.divide(q @ x.T, n, out=np.zeros((len(q), len(x))), where=n > 0)
@@ -84,7 +87,8 @@ def _best(q: np.ndarray, x: np.ndarray, same: np.ndarray | None, x_ids: np.ndarr
         rough = np.where(same, np.inf, rough)
     cut = np.partition(rough, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
     scale = 1e-6 * (1 + np.abs(np.where(np.isfinite(cut), cut, 0)))
-    i, j = np.nonzero((rough <= (cut + scale)[:, None]) & np.isfinite(rough))
+    at = np.flatnonzero(rough <= (cut + scale)[:, None])
+    i, j = np.divmod(at[np.isfinite(rough.ravel()[at])], len(x))
     if metric == "l2":
         d = q[i] - x[j]
         score = np.round(np.sqrt((d * d).sum(axis=1)), 8)
@@ -96,19 +100,34 @@ def _best(q: np.ndarray, x: np.ndarray, same: np.ndarray | None, x_ids: np.ndarr
     return i[keep], j[keep], score[keep]
 
 
+def _meetings(part: pa.RecordBatch, probed: dict[int, np.ndarray] | None, queries: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of queries and of the part's rows that meet: all, or those of each cell."""
+    if probed is None:
+        yield np.arange(queries), np.arange(part.num_rows)
+        return
+    cells = part.column(2).to_numpy(zero_copy_only=False)
+    for c in np.unique(cells):
+        if len(asked := probed.get(int(c), ())):
+            yield asked, np.nonzero(cells == c)[0]
+
+
 def _scan(batches: Iterable[pa.RecordBatch], shared, k: int, metric: str, exclude_self: bool) -> Iterator[pa.RecordBatch]:
     """The task's k best rows per query."""
-    q_arrow, q_ids, q = shared.value
+    q_arrow, q_ids, q, probed = shared.value
     held: list[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]] = []
     for batch in batches:
         for a in range(0, batch.num_rows, 2000):
             part = batch.slice(a, 2000)
             ids, x = part.column(0), _vectors(part.column(1), q.shape[1])
             plain = _plain(ids)
-            for b in range(0, len(q), 500):
-                same = q_ids[b : b + 500][:, None] == plain[None, :] if exclude_self else None
-                i, j, score = _best(q[b : b + 500], x, same, plain, k, metric)
-                held.append((i + b, ids.take(pa.array(j)), plain[j], score))
+            for asked, rows in _meetings(part, probed, len(q)):
+                for b in range(0, len(asked), 500):
+                    few = asked[b : b + 500]
+                    same = q_ids[few][:, None] == plain[rows][None, :] if exclude_self else None
+                    i, j, score = _best(q[few], x[rows], same, plain[rows], k, metric)
+                    held.append((few[i], ids.take(pa.array(rows[j])), plain[rows[j]], score))
+            if not held:
+                continue
             i, some, plain, score = np.concatenate([h[0] for h in held]), pa.concat_arrays([h[1] for h in held]), np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
             order = np.lexsort((plain, score if metric == "l2" else -score, i))
             order = order[np.arange(len(order)) - np.searchsorted(i[order], i[order], side="left") < k]
@@ -127,11 +146,20 @@ def vector_search(queries: DataFrame, base: DataFrame, id_col: str, vector_col:
     vectors take no part; vectors of another length than the queries are an error.
     """
     check_k(k)
-    spark, rows = base.sparkSession, F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()
-    kind = base.schema[id_col].dataType.simpleString()
-    schema = f"query_id {kind}, id {kind}, score double"
+    rows = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()
     asked = queries.where(rows).select(F.col(id_col).alias("id"), as_double(F.col(vector_col)).alias("v"))
     stored = base.where(rows).select(F.col(id_col).alias("id"), as_double(F.col(vector_col)).alias("v"))
+    return best_stored(asked, stored, k, metric, exclude_self, block)
+
+
+def best_stored(asked: DataFrame, stored: DataFrame, k: int, metric: str = "l2", exclude_self: bool = False, block: int = MOST_QUERIES, probe: Callable[[np.ndarray], dict[int, np.ndarray]] | None = None) -> DataFrame:
+    """``vector_search`` of (id, v) among stored (id, v), both without nulls.
+
+    With ``probe`` the stored rows have a cell as third column, and a query meets only those of its own cells: ``probe``
+    gives, for a matrix of queries, the positions of those that meet each cell.
+    """
+    spark, kind = stored.sparkSession, stored.schema["id"].dataType.simpleString()
+    schema = f"query_id {kind}, id {kind}, score double"
     best = F.asc("score") if metric == "l2" else F.desc("score")
     parts = max(1, -(-asked.count() // block))
     if parts > 1:
@@ -144,7 +172,8 @@ def vector_search(queries: DataFrame, base: DataFrame, id_col: str, vector_col:
             continue
         ids, v = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (held.column("id"), held.column("v")))
         ids, v = (c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in (ids, v))
-        shared = spark.sparkContext.broadcast((ids, _plain(ids), _vectors(v, len(v[0]))))
+        q = _vectors(v, len(v[0]))
+        shared = spark.sparkContext.broadcast((ids, _plain(ids), q, probe(q) if probe else None))
         found = map_arrow(stored, partial(_scan, shared=shared, k=k, metric=metric, exclude_self=exclude_self), schema)
         if parts > 1:  # one block of queries is held at a time
             found = stage(top_k(found, "query_id", best, "id", k).drop("rank"), "scored")

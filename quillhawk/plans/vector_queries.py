@@ -264,8 +264,10 @@ def tones(spark, sf_dir):
 def ann_cells(spark, sf_dir):
     """Recall of three of the nearest cells for the images whose id is divisible by 100."""
     df = _finite(records(spark, sf_dir, "pg_image_docs", "embedding"), 116)
-    found = ann.CellIndex(df, "id", "embedding", 16).search(_asked(df, "id"), "id", "embedding", 10, 6)
-    return ann.recall(found, search.vector_search(_asked(df, "id"), df, "id", "embedding", 10))
+    df = stage(df.select("id", V.as_double(F.col("embedding")).alias("embedding")), "vectors", "zstd")  # read several times, cast once
+    asked = stage(_asked(df, "id"), "asked")
+    found = ann.CellIndex(df, "id", "embedding", 16).search(asked, "id", "embedding", 10, 6)
+    return ann.recall(found, search.vector_search(asked, df, "id", "embedding", 10))
 
 
 @query()

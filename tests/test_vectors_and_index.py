@@ -1,7 +1,11 @@
+from functools import partial
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillhawk.functions import vector as V
+from quillhawk.operators import ann
 from quillhawk.operators import codebook as cb
 from quillhawk.operators import evaluate, fulltext, index, search, tabular
 
@@ -101,6 +105,32 @@ def test_kmeans_codebook_assigns_nearest(spark):
     assert {r.cluster for r in cb.assign(df, "id", F.col("v"), table).collect()} <= {0, 1, 2}
 
 
+def test_cells_are_searched_without_a_row_for_each_pair(spark):
+    x = np.random.default_rng(5).normal(size=(400, 6))
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id int, v array<double>")
+    index = ann.CellIndex(df, "id", "v", 8)
+    centres = np.array([r.centroid for r in index.centroids.orderBy("cluster").collect()])
+    far = np.sqrt(((x[:, None, :] - centres) ** 2).sum(axis=2))
+    own, want = far.argmin(axis=1), set()
+    for i in range(0, 400, 10):
+        inside = np.nonzero(np.isin(own, np.argsort(far[i], kind="stable")[:3]))[0]
+        d = np.round(np.sqrt(((x[inside] - x[i]) ** 2).sum(axis=1)), 8)
+        want |= {(i, rank + 1, int(inside[j]), float(d[j])) for rank, j in enumerate(np.lexsort((inside, d))[:5])}
+    asked = df.where("id % 10 = 0")
+    found = index.search(asked, "id", "v", 5, 3)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert set(map(tuple, found.collect())) == want and len(want) == 200
+    probe = partial(ann._probed, clusters=np.arange(8), centres=centres, probes=3)
+    assert set(map(tuple, search.best_stored(asked, index.placed, 5, block=7, probe=probe).collect())) == want
+
+
+def test_rows_that_share_an_id_have_a_cell_each(spark):
+    df = spark.createDataFrame([(7, [0.0, 0.0]), (7, [9.0, 9.0]), (8, [0.0, 1.0]), (9, [9.0, 8.0])], "id int, v array<double>")
+    placed = ann.CellIndex(df, "id", "v", 2).placed.collect()
+    assert sorted((r.id, r.v) for r in placed) == sorted((r.id, r.v) for r in df.collect())
+    assert len({(r.v[0], r.cluster) for r in placed}) == 2
+
+
 def test_web_queries(spark):
     q = fulltext.parse_web_query('red "blue sky" -rain or snow')
     assert q.groups == [([["red"], ["blue", "sky"]], [["rain"]]), ([["snow"]], [])]
